@@ -121,4 +121,5 @@ def repetition(text: Column, top_ns: Sequence[int], dup_ns: Sequence[int]) -> Co
         frames = [repetition_frame(run, top_ns, dup_ns) for run in _runs(texts)]
         return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=fields, dtype=float)
 
-    return scores(text)
+    # Marked so that filters on the scores stay above it and do not run it once more each.
+    return scores.asNondeterministic()(text)

@@ -22,10 +22,8 @@ FILE_NAME = "file_name"
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path is there, on whatever file system it names."""
-    try:
-        return bool(spark.read.format("binaryFile").load(path).select("path").take(1))
-    except AnalysisException:
-        return False
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def read_documents(
@@ -66,10 +64,13 @@ def spread_few_files(df: DataFrame) -> DataFrame:
     """Give every core rows when the input has fewer files than cores; otherwise leave the scan alone.
 
     A small file is often a single row group, and so a single task, whatever the split size.  A large corpus
-    has far more files than cores, and is never shuffled here.
+    has far more files than cores, and is never shuffled here.  Select the needed columns before.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    if len(df.inputFiles()) >= cores:
+        return df
+    # Later filters would otherwise be pushed below the shuffle, to where a single task does all the work.
+    return df.repartition(cores).select(F.inline(F.array(F.struct("*"))))
 
 
 def input_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
