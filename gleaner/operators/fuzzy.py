@@ -6,6 +6,7 @@ a grouping that combines on the map side, and each other member gets one edge to
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -62,9 +63,11 @@ def lsh_buckets(sigs: DataFrame, config: FuzzyConfig) -> DataFrame:
     return rows.select(config.id_field, "band", "bucket.h1", "bucket.h2")
 
 
-def bucket_edges(buckets: DataFrame, id_field: str, rows_per_salt: int | None = None) -> DataFrame:
-    """Edges ``(src, dst, band, h1, h2)`` from each member of a shared bucket to the smallest id in it."""
-    key = ["band", "h1", "h2"]
+def bucket_edges(
+    buckets: DataFrame, id_field: str, rows_per_salt: int | None = None, key: Sequence[str] = ("band", "h1", "h2")
+) -> DataFrame:
+    """Edges ``(src, dst, *key)`` from each member of a shared bucket to the smallest id in it."""
+    key = list(key)
     centres = buckets.groupBy(*key).agg(F.min(id_field).alias("dst"), F.count("*").alias("n")).filter("n > 1")
     joined = join_by_heavy_key(buckets, centres, key, centres, rows_per_salt=rows_per_salt)
     return joined.filter(F.col(id_field) != F.col("dst")).select(F.col(id_field).alias("src"), "dst", *key)
