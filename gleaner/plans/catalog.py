@@ -215,7 +215,7 @@ def score_and_filter(spark, sf_dir):
 
 @query
 def modify_text(spark, sf_dir):
-    return compose.Modify(F.upper)(docs(spark, sf_dir))
+    return compose.Modify(F.lower)(docs(spark, sf_dir))
 
 
 @query
