@@ -44,11 +44,13 @@ def chat_turns(prompt: Column, label: Column) -> Column:
 
 # Typographic ligatures, and characters that are taken out.
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-_DROP = {c: None for c in [*range(0x09), 0x0B, *range(0x0E, 0x20), 0x7F, 0xFEFF, 0xFFFE, 0xFFFF]}
+_DROP = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufeff\ufffe\uffff]")
 _LINE_BREAKS = re.compile("\r\n|[\r\x85\u2028\u2029]")
 _ENTITY = re.compile(r"&(#\d+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 _WIDE = re.compile("[\uff01-\uff5e\u3000\uffe0-\uffe6]")
 
+_LIGATURE = re.compile("[" + "".join(LIGATURES) + "]")
+
 # How the bytes 80 to BF, the continuation bytes of UTF-8, look when read as Windows-1252 (Latin-1 where that has none).
 _HIGH = {(bytes([b]).decode("windows-1252", "ignore") or chr(b)): b for b in range(0x80, 0x100)}
 _NEXT = "[" + re.escape("".join(c for c, b in _HIGH.items() if b < 0xC0)) + "]"
@@ -73,11 +75,10 @@ def reformat_text(text: str) -> str:
     if "&" in text and "<" not in text:  # with tags present the text is markup, where entities belong
         text = _ENTITY.sub(lambda m: html.unescape(m.group()), text)
     if text.isascii():
-        return _LINE_BREAKS.sub("\n", text).translate(_DROP)
-    text = repair_encoding(text)
-    text = "".join(LIGATURES.get(c, c) for c in text) if any(c in text for c in LIGATURES) else text
+        return _DROP.sub("", _LINE_BREAKS.sub("\n", text))
+    text = _LIGATURE.sub(lambda m: LIGATURES[m.group()], repair_encoding(text))
     text = _WIDE.sub(lambda m: unicodedata.normalize("NFKC", m.group()), text)
-    return unicodedata.normalize("NFC", _LINE_BREAKS.sub("\n", text).translate(_DROP))
+    return unicodedata.normalize("NFC", _DROP.sub("", _LINE_BREAKS.sub("\n", text)))
 
 
 def reformat_unicode(text: Column) -> Column:

@@ -1,24 +1,30 @@
 """Text classifiers: language, domain and quality, trained and applied on the cluster.
 
-A model is any function that adds a prediction to a DataFrame, so a user's own model can stand in.  The built-in
-ones are Spark ML models over hashed n-grams, whose size is set by ``features`` and not by the corpus.
+A model is any function that adds a prediction to a DataFrame, so a user's own model can stand in.  Language and
+domain use naive Bayes over hashed character n-grams, counted per task and summed by a grouping; quality uses
+Spark ML's logistic regression over hashed word n-grams.  The size of a model is set by ``features`` and the
+number of labels, not by the corpus.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, NaiveBayes
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, NGram, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.functions.charmodel import CharacterModel, grams, runs
 from gleaner.functions.modify import label_prefix
 from gleaner.functions.text import hash_unit, words
 from gleaner.operators.sampling import sample_about, shuffle
+from gleaner.session import materialize
 
 # The domain names.
 DOMAINS = [
@@ -29,59 +35,85 @@ DOMAINS = [
     "Sensitive_Subjects", "Shopping", "Sports", "Travel_and_Transportation",
 ]
 
-_UNITS: dict[str, Callable[[Column], Column]] = {
-    "char": lambda text: F.split(F.lower(text), ""),
-    "word": lambda text: words(F.lower(text)),
-}
+MAX_LABELS = 1000
+
+
+def predict(model: CharacterModel, df: DataFrame, text_field: str = "text") -> DataFrame:
+    """Add ``_score`` and ``_label`` of the likeliest label."""
+    shared = df.sparkSession.sparkContext.broadcast(model)  # labels times features, fixed when it was trained
+
+    @F.pandas_udf("score double, label string")
+    def likeliest(texts: pd.Series) -> pd.DataFrame:
+        best = shared.value.best(texts.tolist())
+        return pd.DataFrame({"score": best[0], "label": best[1]})
+
+    best = df.withColumn("_best", likeliest.asNondeterministic()(F.coalesce(F.col(text_field), F.lit(""))))
+    return best.select(*df.columns, F.col("_best.score").alias("_score"), F.col("_best.label").alias("_label"))
+
+
+def train_character_model(
+    df: DataFrame, text_field: str, label_field: str, ns: Sequence[int], features: int
+) -> CharacterModel:
+    """Count features per label in every task, then sum the counts: one pass, whatever the share of a label."""
+    ns = tuple(ns)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        totals: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for label, part in batch.groupby("label"):
+                held = totals.setdefault(label, np.zeros(features + 1, np.int64))
+                held[features] += len(part)  # the last place counts the texts
+                for run in runs(part["text"].tolist()):
+                    for _, gram in grams(run, ns, features):
+                        held[:features] += np.bincount(gram, minlength=features)
+        for label, held in totals.items():
+            used = np.flatnonzero(held)
+            yield pd.DataFrame({"label": label, "feature": used, "n": held[used]})
+
+    labelled = df.select(F.col(label_field).cast("string").alias("label"), F.col(text_field).alias("text")).dropna()
+    counts = labelled.mapInPandas(count, "label string, feature bigint, n bigint")
+    summed = counts.groupBy("label", "feature").agg(F.sum("n").alias("n"))
+    summed = materialize(summed, "model")
+    labels = [r.label for r in summed.select("label").distinct().orderBy("label").take(MAX_LABELS + 1)]
+    if not 0 < len(labels) <= MAX_LABELS:
+        raise ValueError(f"between 1 and {MAX_LABELS} labels are needed")
+    table = np.zeros((features + 1, len(labels)))
+    rows = summed.toPandas()  # at most labels times features
+    table[rows["feature"], rows["label"].map({name: i for i, name in enumerate(labels)})] = rows["n"]
+    smooth = table[:features] + 1.0
+    return CharacterModel(
+        labels, np.log(table[features] / table[features].sum()), np.log(smooth / smooth.sum(axis=0)).astype(np.float32), ns
+    )
 
 
 @dataclass
-class TextClassifier:
-    """A fitted model with its label names."""
+class WordModel:
+    """A fitted Spark ML model over word n-grams with its label names."""
 
     model: PipelineModel
     labels: Sequence[str]
-    unit: str
-
-    def probabilities(self, df: DataFrame, text_field: str = "text") -> DataFrame:
-        """Add ``_p``, the probability of each label in the order of ``labels``."""
-        units = df.withColumn("_units", _UNITS[self.unit](F.coalesce(F.col(text_field), F.lit(""))))
-        scored = self.model.transform(units)
-        return scored.withColumn("_p", vector_to_array("probability")).select(*df.columns, "_p")
-
-    def predict(self, df: DataFrame, text_field: str = "text") -> DataFrame:
-        """Add ``_score`` and ``_label`` of the likeliest label."""
-        names = F.array(*[F.lit(name) for name in self.labels])
-        best = self.probabilities(df, text_field).withColumn("_score", F.array_max("_p"))
-        label = F.element_at(names, F.array_position("_p", F.col("_score")).cast("int"))
-        return best.withColumn("_label", label).drop("_p")
-
-
-def _fit(df: DataFrame, text_field: str, label_field: str, unit: str, n: int, features: int, classifier) -> TextClassifier:
-    labelled = df.filter(F.col(label_field).isNotNull()).select(
-        F.col(label_field).cast("string").alias("_name"),
-        _UNITS[unit](F.coalesce(F.col(text_field), F.lit(""))).alias("_units"),
-    )
-    # Ordered by name, so that the numbering does not depend on the counts.
-    indexer = StringIndexer(inputCol="_name", outputCol="_index", stringOrderType="alphabetAsc").fit(labelled)
-    steps = [
-        NGram(n=n, inputCol="_units", outputCol="_grams"),
-        HashingTF(numFeatures=features, inputCol="_grams", outputCol="features"),
-        classifier.setLabelCol("_index").setFeaturesCol("features"),
-    ]
-    return TextClassifier(Pipeline(stages=steps).fit(indexer.transform(labelled)), list(indexer.labels), unit)
+
+    def probability(self, df: DataFrame, label: str, text_field: str, into: str) -> DataFrame:
+        scored = self.model.transform(df.withColumn("_units", _units(text_field)))
+        place = list(self.labels).index(label) + 1
+        return scored.select(*df.columns, F.element_at(vector_to_array("probability"), place).alias(into))
 
 
-def train_language_model(df: DataFrame, text_field: str = "text", label_field: str = "lang", features: int = 1 << 15) -> TextClassifier:
-    """Naive Bayes over character trigrams; one pass over the labelled texts."""
-    return _fit(df, text_field, label_field, "char", 3, features, NaiveBayes())
+def _units(text_field: str) -> Column:
+    return words(F.lower(F.coalesce(F.col(text_field), F.lit(""))))
+
+
+def train_language_model(
+    df: DataFrame, text_field: str = "text", label_field: str = "lang", ns: Sequence[int] = (1, 2, 3), features: int = 1 << 16
+) -> CharacterModel:
+    return train_character_model(df, text_field, label_field, ns, features)
 
 
 def identify_language(
-    df: DataFrame, model: TextClassifier, text_field: str = "text", score_field: str = "language", min_score: float = 0.0
+    df: DataFrame, model: CharacterModel, text_field: str = "text", score_field: str = "language", min_score: float = 0.0
 ) -> DataFrame:
     """Add ``language`` as a struct of score and upper-case code, and drop rows under the least score."""
-    scored = model.predict(df, text_field)
+    scored = predict(model, df, text_field)
     pair = F.struct(F.col("_score").alias("score"), F.upper("_label").alias("lang"))
     return scored.filter(F.col("_score") >= min_score).select(*df.columns, pair.alias(score_field))
 
@@ -91,21 +123,23 @@ def language_code(field: str = "language") -> Column:
     return F.col(field)["lang"]
 
 
-def train_domain_model(df: DataFrame, text_field: str = "text", label_field: str = "domain", features: int = 1 << 15) -> TextClassifier:
-    """Naive Bayes over single words; labels must be known domains."""
-    known = F.when(
-        F.col(label_field).isin(DOMAINS), F.col(label_field)
-    ).otherwise(F.raise_error(F.concat(F.lit("unknown domain "), F.col(label_field))))
-    return _fit(df.withColumn(label_field, known), text_field, label_field, "word", 1, features, NaiveBayes())
+def train_domain_model(
+    df: DataFrame, text_field: str = "text", label_field: str = "domain", ns: Sequence[int] = (4, 6), features: int = 1 << 16
+) -> CharacterModel:
+    """Labels must be known domains."""
+    known = F.when(F.col(label_field).isin(DOMAINS), F.col(label_field)).otherwise(
+        F.raise_error(F.concat(F.lit("unknown domain "), F.col(label_field)))
+    )
+    return train_character_model(df.withColumn(label_field, known), text_field, label_field, ns, features)
 
 
 def classify_domain(
-    df: DataFrame, model: TextClassifier | Callable[[DataFrame], DataFrame], text_field: str = "text", pred_field: str = "domain_pred"
+    df: DataFrame, model: CharacterModel | Callable[[DataFrame], DataFrame], text_field: str = "text", pred_field: str = "domain_pred"
 ) -> DataFrame:
     """Add the domain of every document; nothing is dropped.  ``model`` may be any function that adds the column."""
-    if not isinstance(model, TextClassifier):
+    if not isinstance(model, CharacterModel):
         return model(df)
-    return model.predict(df, text_field).withColumnRenamed("_label", pred_field).drop("_score")
+    return predict(model, df, text_field).withColumnRenamed("_label", pred_field).drop("_score")
 
 
 def quality_training_set(
@@ -127,17 +161,26 @@ def read_training_lines(df: DataFrame, field: str = "value") -> DataFrame:
 
 
 def train_quality_model(
-    df: DataFrame, text_field: str = "text", label_field: str = "label", word_ngrams: int = 2, epoch: int = 5, features: int = 1 << 14
-) -> TextClassifier:
-    """Logistic regression over word n-grams."""
-    return _fit(df, text_field, label_field, "word", word_ngrams, features, LogisticRegression(maxIter=epoch, regParam=0.01))
+    df: DataFrame, text_field: str = "text", label_field: str = "label", word_ngrams: int = 2, epoch: int = 5, features: int = 1 << 16
+) -> WordModel:
+    """Logistic regression over word n-grams, trained on a labelled sample."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    labelled = df.filter(F.col(label_field).isNotNull()).select(F.col(label_field).cast("string").alias("_name"), text_field)
+    # Training passes over the sample again and again: one written copy, spread over all cores.
+    labelled = materialize(labelled.repartition(cores), "training").withColumn("_units", _units(text_field))
+    # Ordered by name, so that the numbering does not depend on the counts.
+    indexer = StringIndexer(inputCol="_name", outputCol="_index", stringOrderType="alphabetAsc").fit(labelled)
+    steps = [
+        NGram(n=word_ngrams, inputCol="_units", outputCol="_grams"),
+        HashingTF(numFeatures=features, inputCol="_grams", outputCol="features"),
+        LogisticRegression(maxIter=epoch, regParam=0.01, labelCol="_index"),
+    ]
+    return WordModel(Pipeline(stages=steps).fit(indexer.transform(labelled)), list(indexer.labels))
 
 
-def score_quality(df: DataFrame, model: TextClassifier, high_label: str = "hq", text_field: str = "text") -> DataFrame:
+def score_quality(df: DataFrame, model: WordModel, high_label: str = "hq", text_field: str = "text") -> DataFrame:
     """Add ``quality_score``, the probability of the high-quality label."""
-    place = list(model.labels).index(high_label) + 1
-    scored = model.probabilities(df, text_field)
-    return scored.withColumn("quality_score", F.element_at("_p", place)).drop("_p")
+    return model.probability(df, high_label, text_field, "quality_score")
 
 
 def keep_by_quality(
