@@ -35,9 +35,12 @@ def _small_star(edges: DataFrame, rows_per_salt: int | None) -> DataFrame:
     return moved.unionByName(kept).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("hi", "lo"))).first()
-    return tuple(row)
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges are stars: every node has one low end, and no low end has one itself."""
+    if not edges.groupBy("hi").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return False
+    centres = edges.select("lo").distinct()
+    return centres.join(edges.select(F.col("hi").alias("lo")), "lo", "left_semi").isEmpty()
 
 
 def connected_components(
@@ -47,14 +50,11 @@ def connected_components(
     a, b = F.col(src), F.col(dst)
     current = edges.filter(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
     current = materialize(current, "edges")
-    state = _state(current)
     for _ in range(MAX_ROUNDS):
+        if _settled(current):
+            break
         current = materialize(_large_star(current, rows_per_salt), "large-star")
         current = materialize(_small_star(current, rows_per_salt), "small-star")
-        after = _state(current)
-        if after == state:
-            break
-        state = after
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     members = current.select(F.col("hi").alias(id_field), F.col("lo").alias("group"))

@@ -117,6 +117,7 @@ FILTERS: dict[str, tuple[str, str]] = {
     "ellipsis": (_line_share("regexp_matches(s, '(\\.\\.\\.|…)\\s*$')"), "score <= 0.3"),
     "bullets": (_line_share("regexp_matches(s, '^\\s*[•‣◦▪●–*-]')"), "score <= 0.9"),
 }
+PII_TYPES = ["EMAIL_ADDRESS", "URL", "IP_ADDRESS", "US_SSN", "PHONE_NUMBER"]
 CASCADE_RULES = {**{k: v[1] for k, v in FILTERS.items() if k != "complete_document"}, "word_count": "score BETWEEN 1 AND 100000"}
 TOP_LIMITS = {2: 0.2, 3: 0.18, 4: 0.16}
 DUP_LIMITS = {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
@@ -167,6 +168,17 @@ def _redacted(types: list[str]) -> str:
     return out
 
 
+def _spans(name: str) -> str:
+    """Spans of one type; the types of this query never overlap in the tables."""
+    pattern, score = pii.PATTERNS[name]
+    found = f"SELECT doc_id, string_split_regex(text, '{pattern}') AS rest, regexp_extract_all(text, '{pattern}') AS hits FROM documents"
+    each = f"SELECT doc_id, rest, hits, unnest(range(1, len(hits) + 1)) AS k FROM ({found})"
+    begin = "length(array_to_string(rest[1:k], '')) + length(array_to_string(hits[1:k - 1], ''))"
+    return f"""
+      SELECT doc_id, '{name}' AS "type", {begin} AS "start", {begin} + length(hits[k]) AS "end",
+             {score}::DOUBLE AS score, hits[k] AS value FROM ({each})"""
+
+
 _RANDOM = "md5('42:' || {0})"
 _COMPONENTS = f"""
   WITH RECURSIVE e AS ({LINE_EDGES}),
@@ -311,7 +323,8 @@ ORACLE: dict[str, str] = {
              array_to_string(list_concat(labels, list_transform(range(longest - len(labels)), lambda i: -100)), ' ') AS labels
       FROM m""",
     "over_length_flag": f"SELECT conv_id, turn, len(f) > 512 AS over_length FROM ({TOKENS})",
-    "pii_redaction": f"SELECT doc_id, {_redacted(['EMAIL_ADDRESS', 'URL', 'IP_ADDRESS', 'US_SSN', 'PHONE_NUMBER'])} AS text FROM documents",
+    "pii_spans": "\nUNION ALL\n".join(_spans(t) for t in PII_TYPES),
+    "pii_redaction": f"SELECT doc_id, {_redacted(PII_TYPES)} AS text FROM documents",
     "quality_training_set": f"""
       WITH g AS (SELECT doc_id, text, quality, count(*) OVER (PARTITION BY quality) AS n FROM documents JOIN labels USING (doc_id))
       SELECT doc_id, CASE quality WHEN 1 THEN '__label__hq ' ELSE '__label__lq ' END || regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text

@@ -53,7 +53,8 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/gleaner/{label}-{uuid.uuid4().hex}"
+    """A new folder of this application; all of them may go when the application has ended."""
+    return f"{scratch_root(spark)}/gleaner/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
