@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,19 @@ class Modify:
         return df.withColumn(self.text_field, self.modifier(F.col(self.text_field)))
 
 
+def python_modifier(function: Callable[[str], str]) -> Callable[[Column], Column]:
+    """A user's ``text -> text`` function as a modifier, run on Arrow batches; nulls stay null."""
+
+    def modifier(text: Column) -> Column:
+        @F.pandas_udf("string")
+        def modified(texts: pd.Series) -> pd.Series:
+            return texts.map(function, na_action="ignore")
+
+        return modified.asNondeterministic()(text)
+
+    return modifier
+
+
 class ScoreFilter:
     """Score the text, keep the rows whose score passes, and keep the score column only if it is named."""
 

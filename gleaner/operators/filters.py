@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -267,6 +268,21 @@ def custom_filter(name: str, score: Callable[[Column], Column], keep: Callable[[
     return TextFilter(name, lambda t: score(t.text), keep)
 
 
+def python_filter(
+    name: str, score: Callable[[str], Any], keep: Callable[[Column], Column], score_type: str = "double"
+) -> TextFilter:
+    """A user's ``text -> score`` function, run on Arrow batches, with a rule on the score column."""
+
+    def scored(text: Column) -> Column:
+        @F.pandas_udf(score_type)
+        def scores(texts: pd.Series) -> pd.Series:
+            return texts.map(score, na_action="ignore")
+
+        return scores.asNondeterministic()(text)
+
+    return TextFilter(name, lambda t: scored(t.text), keep)
+
+
 _DERIVED = {"words": words, "lines": lines, "paragraphs": paragraphs}
 
 

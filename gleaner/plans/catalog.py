@@ -12,7 +12,7 @@ from gleaner.functions.text import hash_unit, lines
 from gleaner.functions.tokenize import hashed_tokens
 from gleaner.operators import classify, compose, decontaminate, dedup, filters, fuzzy, ordinals, packing, sampling, sft
 from gleaner.operators.components import connected_components
-from gleaner.plans import curation
+from gleaner.plans import curation, sft_data
 from gleaner.session import materialize, scratch_path
 from gleaner.sources import readers, writers
 
@@ -152,6 +152,22 @@ def write_combined_text_json(spark, sf_dir):
     return spark.read.schema("text string").json(path)
 
 
+@query
+def prepare_prompt_label_files(spark, sf_dir):
+    """The whole preparation from a parquet glob: clean, split, write, count what was written."""
+    source, out = scratch_path(spark, "pairs"), scratch_path(spark, "prepared")
+    pairs(spark, sf_dir).select("prompt", "label").write.parquet(source)
+    return sft_data.prepare_jsonl(spark, f"{source}/*.parquet", out).groupBy().agg(F.sum("n_rows").alias("n_rows"))
+
+
+@query
+def combine_prompt_label_files(spark, sf_dir):
+    source, out = scratch_path(spark, "pairs"), scratch_path(spark, "combined")
+    pairs(spark, sf_dir).select("prompt", "label").write.parquet(source)
+    sft_data.combine_jsonl(spark, f"{source}/*.parquet", out)
+    return spark.read.schema("text string").json(out).select("text")
+
+
 @query
 def write_labelled_lines(spark, sf_dir):
     path = scratch_path(spark, "lines")
@@ -247,7 +263,7 @@ def curate_web_corpus(spark, sf_dir):
 
 @query
 def curate_pretraining_corpus(spark, sf_dir):
-    return curation.curate_pretraining_corpus(docs(spark, sf_dir), "doc_id", "HI").select("doc_id", "id")
+    return curation.curate_pretraining_corpus(spark, f"{sf_dir}/documents.parquet", "HI").select("doc_id", "id")
 
 
 # --- joins, grouping, order, sets ----------------------------------------------------------------------------

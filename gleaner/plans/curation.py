@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.modify import reformat_unicode, unify_quotes_and_tags
 from gleaner.functions.pii import pii_redactor
 from gleaner.operators import filters
-from gleaner.operators.compose import Modify, ScoreFilter, Sequential
+from gleaner.operators.compose import Modify, ScoreFilter, Sequential, skip_if_exists
 from gleaner.operators.dedup import remove_exact_duplicates
-from gleaner.operators.ordinals import add_id
+from gleaner.operators.ordinals import add_id_by_position
+from gleaner.session import materialize
+from gleaner.sources.readers import spread_few_files
 
 HEURISTICS = str(Path(__file__).parent.parent / "config" / "heuristic_filter_non_en.yaml")
 
@@ -45,14 +48,31 @@ def curate_web_corpus(df: DataFrame) -> DataFrame:
 
 def heuristic_filter(df: DataFrame, config: str = HEURISTICS) -> DataFrame:
     """At least ten words, then the configured cascade."""
-    minimum = ScoreFilter(filters.word_count(min_words=10, max_words=1_000_000_000))
-    return Sequential([minimum, filters.build_filter_cascade(config)])(df)
-
-
-def curate_pretraining_corpus(df: DataFrame, order_by: str, id_prefix: str, config: str = HEURISTICS) -> DataFrame:
-    """Reformat, number, remove exact copies, apply the quality heuristics."""
-    numbered = add_id(Modify(reformat_unicode)(df), order_by, "id", id_prefix)
-    return heuristic_filter(remove_exact_duplicates(numbered), config)
+    cascade = filters.build_filter_cascade(config)
+    minimum = filters.word_count(min_words=10, max_words=1_000_000_000)
+    return filters.FilterCascade([minimum, *cascade.filters], cascade.text_field)(df)
+
+
+def curate_pretraining_corpus(
+    spark: SparkSession,
+    paths: str | Sequence[str],
+    id_prefix: str,
+    stage_dir: str | None = None,
+    config: str = HEURISTICS,
+) -> DataFrame:
+    """Number, reformat, remove exact copies, apply the quality heuristics to a parquet corpus.
+
+    Ids come from the place in the files, so numbering moves no text.  The reformatted corpus is written once, as
+    both the hashing and the filtering read it; with ``stage_dir`` a rerun goes on from what is there.
+    """
+    numbered = spread_few_files(add_id_by_position(spark, paths, "id", id_prefix))
+    formatted = Modify(reformat_unicode)(numbered)
+    if stage_dir:
+        fresh = formatted
+        formatted = skip_if_exists(f"{stage_dir}/formatted", lambda: fresh, spark)
+    else:
+        formatted = materialize(formatted, "formatted")
+    return heuristic_filter(remove_exact_duplicates(formatted), config)
 
 
 def documents_per_language(df: DataFrame) -> DataFrame:

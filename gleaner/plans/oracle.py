@@ -226,6 +226,8 @@ ORACLE: dict[str, str] = {
       SELECT prompt, label, CASE WHEN {UNIT.format("'42:' || conv_id || ':' || turn")} < 0.02 THEN 'validation' ELSE 'train' END AS split
       FROM ({CLEAN})""",
     "write_combined_text_json": f"SELECT coalesce(prompt, '') || chr(10) || coalesce(label, '') AS text FROM ({PAIRS})",
+    "prepare_prompt_label_files": f"SELECT count(*) AS n_rows FROM ({CLEAN})",
+    "combine_prompt_label_files": f"SELECT coalesce(prompt, '') || chr(10) || coalesce(label, '') AS text FROM ({PAIRS})",
     "write_labelled_lines": "SELECT '__label__hq ' || regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS value FROM documents",
     "exact_duplicate_table_on_disk": f"SELECT doc_id, _hashes FROM ({DUPLICATES}) WHERE n > 1",
     "tokenized_corpus_on_disk": f"""

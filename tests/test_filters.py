@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.ngrams import repetition_frame
 from gleaner.functions.text import compute_once, hash_unit, strip, words
 from gleaner.operators import filters
-from gleaner.operators.compose import ScoreFilter
+from gleaner.operators.compose import Modify, ScoreFilter, python_modifier
 from gleaner.plans.curation import HEURISTICS
 
 texts = st.lists(st.sampled_from("a bb ccc d\n ee".split(" ") + [" ", "a"]), max_size=40).map(" ".join)
@@ -118,6 +118,14 @@ def test_custom_filter_and_score_column(spark):
     assert [tuple(r) for r in out.collect()] == [(0, "abc", 3.0)] and dict(out.dtypes)["n"] == "double"
 
 
+def test_python_functions_as_filter_and_modifier(spark):
+    df = rows(spark, "abc", "a", None)
+    filt = filters.python_filter("ends", lambda t: float(len(t)), lambda s: s > 2)
+    assert [r.id for r in ScoreFilter(filt)(df).collect()] == [0]
+    out = Modify(python_modifier(str.upper))(df).orderBy("id").collect()
+    assert [r.text for r in out] == ["ABC", "A", None]
+
+
 def test_cascade_splits_each_text_once_and_python_runs_last(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     plan = filters.build_filter_cascade(HEURISTICS)(df)._jdf.queryExecution().executedPlan().toString()

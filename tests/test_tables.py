@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import ordinals, packing, sampling
 from gleaner.operators.compose import skip_if_exists
+from gleaner.plans import sft_data
 from gleaner.session import get_session, scratch_root
 from gleaner.sources import readers, writers
 
@@ -128,3 +129,30 @@ def test_few_files_are_spread_and_many_are_left_alone(spark, tmp_path):
 def test_scratch_folder_comes_from_the_session(spark):
     assert scratch_root(spark) == spark.conf.get("spark.checkpoint.dir")
     assert get_session() is not None
+
+
+def test_prompt_label_files_end_to_end(spark, tmp_path):
+    rows = [(f" q{i} ", f"a{i}") for i in range(400)] + [(None, "a"), ("q", " ")]
+    spark.createDataFrame(rows, "prompt string, label string").repartition(3).write.parquet(f"{tmp_path}/in")
+    glob = f"{tmp_path}/in/*.parquet"
+    counts = {r.split: r.n_rows for r in sft_data.prepare_jsonl(spark, glob, f"{tmp_path}/out", val_ratio=0.1).collect()}
+    assert sum(counts.values()) == 400 and 15 < counts["validation"] < 75
+    sft_data.combine_jsonl(spark, glob, f"{tmp_path}/combined")
+    assert spark.read.json(f"{tmp_path}/combined").select("text").filter("text = ' q7 \\na7'").count() == 1
+    report = sft_data.validate(spark, glob).first()
+    assert (report.total_rows, report.checked_rows) == (402, 400)
+    assert sft_data.sample_check(spark, glob).first().full_text.startswith("<start_of_turn>user\nq")
+    assert sft_data.show_row(spark, glob, 5).first().ordinal == 5
+    with pytest.raises(ValueError):
+        sft_data.prepare_jsonl(spark, glob, f"{tmp_path}/out", val_ratio=1.0)
+    with pytest.raises(ValueError, match="nothing"):
+        sft_data.validate(spark, glob, prompt_col="nothing")
+
+
+def test_pretraining_stage_is_reused(spark, tmp_path):
+    from gleaner.plans.curation import curate_pretraining_corpus
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    first = curate_pretraining_corpus(spark, path, "HI", str(tmp_path)).count()
+    assert readers.exists(spark, f"{tmp_path}/formatted/_SUCCESS")
+    assert curate_pretraining_corpus(spark, path, "HI", str(tmp_path)).count() == first > 100
