@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 # out the four information separators.
 SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 SPACE = r"(?U:[\s\x1c-\x1f])"
+ASCII_SPACE = r"[\s\x1c-\x1f]"
 
 
 def strip(text: Column) -> Column:
@@ -21,8 +22,12 @@ def is_blank(text: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Pieces between runs of white space, empty ends removed."""
-    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
+    """Pieces between runs of white space; none in a blank text."""
+    inner = strip(text)
+    # A text of single-byte characters needs no Unicode look-up per character.
+    ascii_only = F.octet_length(text) == F.length(text)
+    pieces = F.when(ascii_only, F.split(inner, ASCII_SPACE + "+")).otherwise(F.split(inner, SPACE + "+"))
+    return F.when(inner != "", pieces).otherwise(F.array().cast("array<string>"))
 
 
 def lines(text: Column) -> Column:
@@ -34,6 +39,17 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, f"\n{SPACE}*\n"), lambda s: ~is_blank(s))
 
 
+def line_ends(text: Column) -> Column:
+    """The last three characters of each line that are not trailing white space."""
+    return F.transform(lines(text), lambda s: F.right(F.rtrim(s, F.lit(SPACES)), F.lit(3)))
+
+
+def occurrences(text: Column, literal: str) -> Column:
+    """Non-overlapping occurrences of a literal string."""
+    gone = F.length(text) - F.length(F.replace(text, F.lit(literal), F.lit("")))
+    return gone if len(literal) == 1 else (gone / len(literal)).cast("int")
+
+
 def total_length(pieces: Column) -> Column:
     """Characters in all strings of an array."""
     return F.length(F.array_join(pieces, ""))

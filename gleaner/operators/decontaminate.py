@@ -47,8 +47,11 @@ def contaminated_positions(
     if known.count() <= broadcast_limit:
         hits = found.join(F.broadcast(known), "passage", "left_semi")
     else:
-        weights = found.groupBy("passage").agg(F.count("*").alias("n"))
-        hits = join_by_heavy_key(found, known, "passage", weights, "left_semi", rows_per_salt)
+        # Passages travel as 128-bit names, a tenth of their length.
+        name = [F.xxhash64("passage").alias("h1"), F.xxhash64(F.lit(1), "passage").alias("h2")]
+        found, known = found.select(id_field, "pos", *name), known.select(*name)
+        weights = found.groupBy("h1", "h2").agg(F.count("*").alias("n"))
+        hits = join_by_heavy_key(found, known, ["h1", "h2"], weights, "left_semi", rows_per_salt)
     return hits.select(id_field, "pos")
 
 
@@ -57,6 +60,9 @@ def _without(text: Column, positions: Column, n: int, min_chars: int) -> Column:
     def pieces(texts: pd.Series, hits: pd.Series) -> pd.Series:
         rows = []
         for t, starts in zip(texts, hits):
+            if t is None:
+                rows.append(None)
+                continue
             spans = [m.span() for m in _WORD.finditer(t)]
             cuts, at = [], 0
             for p in sorted(starts):
@@ -88,11 +94,14 @@ def remove_contaminated_sections(
     """
     hits = contaminated_positions(df, benchmark, n, id_field, text_field, **options)
     touched = materialize(hits.groupBy(id_field).agg(F.collect_set("pos").alias("_positions")), "contaminated")
-    clean = df.join(touched, id_field, "left_anti").withColumn("piece", F.lit(0))
-    cut = df.join(touched, id_field).withColumn("_pieces", _without(F.col(text_field), F.col("_positions"), n, min_chars))
-    cut = cut.filter(F.size("_pieces") <= max_pieces)
-    cut = cut.select(*df.columns, F.posexplode("_pieces").alias("piece", "_piece"))
-    return clean.unionByName(cut.withColumn(text_field, F.col("_piece")).drop("_piece"))
+    joined = df.join(touched, id_field, "left")
+    hit = F.col("_positions").isNotNull()
+    # Only the text of touched documents goes to Python.
+    cut = joined.withColumn("_cut", _without(F.when(hit, F.col(text_field)), F.col("_positions"), n, min_chars))
+    kept = cut.filter(~hit | (F.size("_cut") <= max_pieces))
+    pieces = F.when(hit, F.col("_cut")).otherwise(F.array(text_field))
+    rows = kept.select(*df.columns, F.posexplode(pieces).alias("piece", "_piece"))
+    return rows.withColumn(text_field, F.col("_piece")).drop("_piece")
 
 
 def remove_contaminated_documents(

@@ -10,7 +10,7 @@ Ratios are null for a text without words or lines; such a text is dropped.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, fields
 from functools import reduce
 from typing import Any
 
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import ngrams
 from gleaner.functions.text import (
-    SPACE,
+    SPACES,
     compute_once,
+    line_ends,
     lines,
     matched_chars,
+    occurrences,
     paragraphs,
     strip,
     total_length,
@@ -48,7 +50,10 @@ class Text:
     text: Column
     words: Column
     lines: Column
+    line_ends: Column
     paragraphs: Column
+    lower: Column
+    word_chars: Column
     repetition: Column
 
     @property
@@ -111,11 +116,8 @@ def symbols_to_words(max_symbol_to_word_ratio: float = 0.1) -> TextFilter:
     """Hash signs and ellipses per word."""
 
     def score(t: Text) -> Column:
-        hashes = F.length(t.text) - F.length(F.translate(t.text, "#", ""))
-        # A three-dot ellipsis is three characters and a one-character ellipsis is one.
-        dots = F.try_divide(matched_chars(t.text, r"\.\.\."), F.lit(3))
-        single = F.length(t.text) - F.length(F.translate(t.text, "…", ""))
-        return _ratio(hashes + dots + single, F.size(t.words))
+        marks = [occurrences(t.text, mark) for mark in ("#", "...", "…")]
+        return _ratio(marks[0] + marks[1] + marks[2], F.size(t.words))
 
     return TextFilter("symbols_to_words", score, _at_most(max_symbol_to_word_ratio), _uses("words"))
 
@@ -131,16 +133,21 @@ def numbers(max_number_to_text_ratio: float = 0.15) -> TextFilter:
 
 def urls(max_url_to_text_ratio: float = 0.2) -> TextFilter:
     """Characters in URLs over characters."""
-    return TextFilter("urls", lambda t: _ratio(matched_chars(t.text, URL), t.chars), _at_most(max_url_to_text_ratio))
+
+    def score(t: Text) -> Column:
+        possible = t.text.contains("http") | t.text.contains("www.")
+        return _ratio(F.when(possible, matched_chars(t.text, URL)).otherwise(0), t.chars)
+
+    return TextFilter("urls", score, _at_most(max_url_to_text_ratio))
 
 
 def white_space(max_white_space_ratio: float = 0.25) -> TextFilter:
     """White space, which is all that is in no word, over characters."""
     return TextFilter(
         "white_space",
-        lambda t: _ratio(t.chars - total_length(t.words), t.chars),
+        lambda t: _ratio(t.chars - t.word_chars, t.chars),
         _at_most(max_white_space_ratio),
-        _uses("words"),
+        _uses("words", "word_chars"),
     )
 
 
@@ -148,7 +155,7 @@ def parentheses(max_parentheses_ratio: float = 0.1) -> TextFilter:
     """Brackets of the three kinds over characters."""
     return TextFilter(
         "parentheses",
-        lambda t: _ratio(F.length(t.text) - F.length(F.translate(t.text, "()[]{}", "")), t.chars),
+        lambda t: _ratio(F.length(F.regexp_replace(t.text, r"[^()\[\]{}]+", "")), t.chars),
         _at_most(max_parentheses_ratio),
     )
 
@@ -160,19 +167,19 @@ def boilerplate(
 ) -> TextFilter:
     """Share of paragraphs holding a boilerplate phrase; 1 when the first or last paragraph does."""
 
-    def holds(paragraph: Column) -> Column:
-        low = F.lower(paragraph)
+    def holds(low: Column) -> Column:
         return reduce(lambda a, b: a | b, [F.contains(low, F.lit(p)) for p in phrases])
 
     def score(t: Text) -> Column:
-        share = _ratio(F.size(F.filter(t.paragraphs, holds)), F.size(t.paragraphs))
-        if not remove_if_at_top_or_bottom:
-            return share
-        first = holds(F.try_element_at(t.paragraphs, F.lit(1)))
-        last = holds(F.try_element_at(t.paragraphs, F.lit(-1)))
-        return F.when(first | last, F.lit(1.0)).otherwise(share)
+        share = _ratio(F.size(F.filter(t.paragraphs, lambda p: holds(F.lower(p)))), F.size(t.paragraphs))
+        if remove_if_at_top_or_bottom:
+            first = holds(F.lower(F.try_element_at(t.paragraphs, F.lit(1))))
+            last = holds(F.lower(F.try_element_at(t.paragraphs, F.lit(-1))))
+            share = F.when(first | last, F.lit(1.0)).otherwise(share)
+        # Most texts hold no phrase at all, and their paragraphs need no second look.
+        return F.when(F.size(t.paragraphs) > 0, F.when(holds(t.lower), share).otherwise(F.lit(0.0)))
 
-    return TextFilter("boilerplate", score, _at_most(max_boilerplate_string_ratio), _uses("paragraphs"))
+    return TextFilter("boilerplate", score, _at_most(max_boilerplate_string_ratio), _uses("paragraphs", "lower"))
 
 
 def _unique_share(name: str, unit: str, by_char: bool, minimum: float) -> TextFilter:
@@ -202,26 +209,26 @@ def unique_paragraph_chars(min_unique_fraction: float = 0.8) -> TextFilter:
     return _unique_share("unique_paragraph_chars", "paragraphs", True, min_unique_fraction)
 
 
-def _line_share(name: str, pattern: str, limit: float, invert: bool = False) -> TextFilter:
+def _line_share(name: str, unit: str, rule: Callable[[Column], Column], limit: float) -> TextFilter:
     def score(t: Text) -> Column:
-        hits = F.filter(t.lines, lambda s: ~s.rlike(pattern) if invert else s.rlike(pattern))
-        return _ratio(F.size(hits), F.size(t.lines))
+        pieces = getattr(t, unit)
+        return _ratio(F.size(F.filter(pieces, rule)), F.size(pieces))
 
-    return TextFilter(name, score, _at_most(limit), _uses("lines"))
+    return TextFilter(name, score, _at_most(limit), _uses(unit))
 
 
 def punctuation(max_num_sentences_without_endmark_ratio: float = 0.85) -> TextFilter:
     """Lines that do not end with a sentence end over lines."""
-    marks = "".join(TERMINATORS)
-    return _line_share("punctuation", f"[{marks}]{SPACE}*$", max_num_sentences_without_endmark_ratio, invert=True)
+    open_end = lambda end: ~F.right(end, F.lit(1)).isin(TERMINATORS)
+    return _line_share("punctuation", "line_ends", open_end, max_num_sentences_without_endmark_ratio)
 
 
 def mean_word_length(min_mean_word_length: float = 3, max_mean_word_length: float = 10) -> TextFilter:
     return TextFilter(
         "mean_word_length",
-        lambda t: _ratio(total_length(t.words), F.size(t.words)),
+        lambda t: _ratio(t.word_chars, F.size(t.words)),
         lambda s: s.between(float(min_mean_word_length), float(max_mean_word_length)),
-        _uses("words"),
+        _uses("words", "word_chars"),
     )
 
 
@@ -235,7 +242,8 @@ def long_word(max_word_length: int = 1000) -> TextFilter:
 
 
 def ellipsis(max_num_lines_ending_with_ellipsis_ratio: float = 0.3) -> TextFilter:
-    return _line_share("ellipsis", rf"(\.\.\.|…){SPACE}*$", max_num_lines_ending_with_ellipsis_ratio)
+    trails = lambda end: end.endswith("...") | end.endswith("…")
+    return _line_share("ellipsis", "line_ends", trails, max_num_lines_ending_with_ellipsis_ratio)
 
 
 def top_ngram(n: int, max_repeating_ngram_ratio: float) -> TextFilter:
@@ -259,8 +267,8 @@ def duplicate_ngram(n: int, max_repeating_duplicate_ngram_ratio: float) -> TextF
 
 
 def bullets(max_bullet_lines_ratio: float = 0.9) -> TextFilter:
-    marks = "".join("\\" + b for b in BULLETS)
-    return _line_share("bullets", f"^{SPACE}*[{marks}]", max_bullet_lines_ratio)
+    marked = lambda line: F.left(F.ltrim(line, F.lit(SPACES)), F.lit(1)).isin(BULLETS)
+    return _line_share("bullets", "lines", marked, max_bullet_lines_ratio)
 
 
 def custom_filter(name: str, score: Callable[[Column], Column], keep: Callable[[Column], Column]) -> TextFilter:
@@ -283,7 +291,7 @@ def python_filter(
     return TextFilter(name, lambda t: scored(t.text), keep)
 
 
-_DERIVED = {"words": words, "lines": lines, "paragraphs": paragraphs}
+_DERIVED = {"words": words, "lines": lines, "line_ends": line_ends, "paragraphs": paragraphs, "lower": F.lower}
 
 
 def with_features(df: DataFrame, text_field: str, filters: Iterable[TextFilter]) -> tuple[DataFrame, Text]:
@@ -291,19 +299,21 @@ def with_features(df: DataFrame, text_field: str, filters: Iterable[TextFilter])
     filters = list(filters)
     text = F.col(text_field)
     uses = sorted(set().union(*[f.uses for f in filters]))
-    derived = {f"_{u}": _DERIVED[u](text) for u in uses}
+    derived = {f"_{u}": _DERIVED[u](text) for u in uses if u in _DERIVED}
     if derived:
         # The text goes through the generator too, else the optimizer moves a predicate on it, and with it
         # the n-gram pass, below the cheap native filters.
         out = compute_once(df, _text=text, **derived)
         text = F.col("_text")
+        if "word_chars" in uses:
+            out = compute_once(out, _word_chars=total_length(F.col("_words")))
     else:
         out = df
     top_ns = [n for f in filters for n in f.top_ns]
     dup_ns = [n for f in filters for n in f.dup_ns]
     if top_ns or dup_ns:
         out = out.withColumn("_repetition", ngrams.repetition(text, top_ns, dup_ns))
-    return out, Text(text, *[F.col(f"_{u}") for u in ("words", "lines", "paragraphs", "repetition")])
+    return out, Text(text, **{f.name: F.col(f"_{f.name}") for f in fields(Text) if f.name != "text"})
 
 
 class FilterCascade:
