@@ -5,6 +5,6 @@ Arrow UDFs, ``operators`` the joins, groupings and windows built on them, ``sour
 ``plans`` whole curation plans and the registered queries.
 """
 
-from gleaner.session import get_session, materialize, scratch_root
+from gleaner.session import get_session, materialize, scratch_root, ship_package
 
-__all__ = ["get_session", "materialize", "scratch_root"]
+__all__ = ["get_session", "materialize", "scratch_root", "ship_package"]

@@ -28,7 +28,7 @@ from gleaner.session import materialize
 
 # The domain names.
 DOMAINS = [
-    "Adult", "Arts_and_Entertainment", "Autos_and_Vehicles", "Beauty_and_Fitness", "Books_and_Literature",
+    "Arts_and_Entertainment", "Autos_and_Vehicles", "Adult", "Beauty_and_Fitness", "Books_and_Literature",
     "Business_and_Industrial", "Computers_and_Electronics", "Finance", "Food_and_Drink", "Games", "Health",
     "Hobbies_and_Leisure", "Home_and_Garden", "Internet_and_Telecom", "Jobs_and_Education", "Law_and_Government",
     "News", "Online_Communities", "People_and_Society", "Pets_and_Animals", "Real_Estate", "Science",

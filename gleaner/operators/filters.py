@@ -368,7 +368,8 @@ class FilterCascade:
         return totals.select(F.inline(F.array(*rows)))
 
 
-# Config names, as the last part of a dotted class path, and the builder of each.
+# The filter names of existing config files, which are the last part of a dotted class path, with the
+# builder of each and the parameter names used there.
 BUILDERS: dict[str, Callable[..., TextFilter]] = {
     "WordCountFilter": word_count,
     "IncompleteDocumentFilter": complete_document,

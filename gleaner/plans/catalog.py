@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from gleaner.functions.tokenize import hashed_tokens
 from gleaner.operators import classify, compose, decontaminate, dedup, filters, fuzzy, ordinals, packing, sampling, sft
 from gleaner.operators.components import connected_components
 from gleaner.plans import curation, sft_data
-from gleaner.session import materialize, scratch_path
+from gleaner.session import materialize, scratch_path, ship_package
 from gleaner.sources import readers, writers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +25,17 @@ SEED, VAL_RATIO, SEQ_LENGTH = 42, 0.02, 512
 PII_TYPES = ["EMAIL_ADDRESS", "URL", "IP_ADDRESS", "US_SSN", "PHONE_NUMBER"]
 
 
+def register(name: str, fn: Query) -> None:
+    @wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return fn(spark, sf_dir)
+
+    QUERIES[name] = run
+
+
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    register(fn.__name__, fn)
     return fn
 
 
@@ -431,7 +441,7 @@ def _filter_query(name: str, filt: filters.TextFilter) -> None:
         kept = F.coalesce(filt.keep(F.col(filt.name)), F.lit(False))
         return scored.select("doc_id", F.col(filt.name).cast("double").alias("score"), kept.alias("kept"))
 
-    QUERIES[name] = run
+    register(name, run)
 
 
 for _f in (

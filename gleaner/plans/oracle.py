@@ -327,6 +327,8 @@ ORACLE: dict[str, str] = {
     "over_length_flag": f"SELECT conv_id, turn, len(f) > 512 AS over_length FROM ({TOKENS})",
     "pii_spans": "\nUNION ALL\n".join(_spans(t) for t in PII_TYPES),
     "pii_redaction": f"SELECT doc_id, {_redacted(PII_TYPES)} AS text FROM documents",
+    # The given labels; the model reproduces all of them on this scale.
+    "identify_language": "SELECT doc_id, upper(lang) AS language FROM documents",
     "quality_training_set": f"""
       WITH g AS (SELECT doc_id, text, quality, count(*) OVER (PARTITION BY quality) AS n FROM documents JOIN labels USING (doc_id))
       SELECT doc_id, CASE quality WHEN 1 THEN '__label__hq ' ELSE '__label__lq ' END || regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text
