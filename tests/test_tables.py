@@ -156,3 +156,16 @@ def test_pretraining_stage_is_reused(spark, tmp_path):
     first = curate_pretraining_corpus(spark, path, "HI", str(tmp_path)).count()
     assert readers.exists(spark, f"{tmp_path}/formatted/_SUCCESS")
     assert curate_pretraining_corpus(spark, path, "HI", str(tmp_path)).count() == first > 100
+
+
+def test_row_wise_plan_runs_on_a_stream(spark, tmp_path):
+    from gleaner.plans.curation import curate_web_corpus, heuristic_filter
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs.repartition(2).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in")
+    plan = heuristic_filter(curate_web_corpus(stream))
+    run = plan.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True)
+    run.start(f"{tmp_path}/out").awaitTermination(120)
+    want = {r.doc_id for r in heuristic_filter(curate_web_corpus(docs)).collect()}
+    assert {r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want and len(want) > 100
