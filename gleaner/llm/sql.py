@@ -1,0 +1,27 @@
+"""DuckDB SQL for the registered queries that SQL can express on whole tables."""
+
+from __future__ import annotations
+
+SPACES = r"[^\x20\x09-\x0D]+"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACES}') AS ws FROM documents),
+win AS (
+  SELECT doc_id, p, md5(array_to_string(ws[p + 1 : p + 50], ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(0, len(ws) - 49)) AS p FROM w WHERE len(ws) >= 50)),
+least AS (SELECT h, min(doc_id) AS first_doc FROM win GROUP BY h HAVING min(doc_id) < max(doc_id)),
+hit AS (SELECT win.doc_id, list(win.p) AS ps FROM win JOIN least USING (h) WHERE first_doc < win.doc_id GROUP BY win.doc_id),
+gone AS (
+  SELECT doc_id, list_distinct(flatten(list_transform(ps, lambda p: range(p, p + 50)))) AS g FROM hit),
+gone_word AS (SELECT doc_id, unnest(g) AS p FROM gone),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS p FROM w),
+kept AS (
+  SELECT word.doc_id, string_agg(word, ' ' ORDER BY p) AS text, count(*) AS n
+  FROM word ANTI JOIN gone_word USING (doc_id, p) GROUP BY word.doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)""",
+}
