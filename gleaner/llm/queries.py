@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gleaner.llm.bbit import near_duplicates
 from gleaner.llm.substring import remove_repeated_substrings
 from gleaner.session import ship_package
 
@@ -19,6 +20,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_substrings(table(spark, sf_dir, "documents"), size=50, keep_text=False).drop("kept_text")
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, similarity=0.8)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }

@@ -24,4 +24,17 @@ kept AS (
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op10_minhash_near_dedup": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{SPACES}') AS ws FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(0, len(ws) - 3), lambda p: array_to_string(ws[p + 1 : p + 4], ' ')) END) AS s FROM w),
+n AS (SELECT w.doc_id, count(s) AS n FROM w LEFT JOIN sets USING (doc_id) GROUP BY w.doc_id),
+both AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (
+  SELECT x, y FROM both JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 80 * (nx.n + ny.n - k)),
+reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, y AS r FROM reach JOIN link ON reach.r = link.x)
+SELECT n.doc_id, n AS n_shingles, min(r) AS component_id, n.doc_id = min(r) AS kept
+FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id, n""",
 }
