@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm.bbit import near_duplicates
+from gleaner.llm.bestfit import pack_best_fit, token_pieces
 from gleaner.llm.substring import remove_repeated_substrings
 from gleaner.session import ship_package
 
@@ -20,11 +21,23 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_substrings(table(spark, sf_dir, "documents"), size=50, keep_text=False).drop("kept_text")
 
 
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(table(spark, sf_dir, "documents"), default_tokenizer(), capacity=4096, keep_ids=False).drop("ids")
+    return pack_best_fit(pieces, capacity=4096, order=["doc_id", "piece"])
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, similarity=0.8)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
