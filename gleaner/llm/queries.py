@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gleaner.llm.bbit import near_duplicates
 from gleaner.llm.bestfit import pack_best_fit, token_pieces
 from gleaner.llm.substring import remove_repeated_substrings
+from gleaner.llm.wumanber import benchmark_hits, is_contaminated
 from gleaner.session import ship_package
 
 
@@ -32,6 +34,19 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(pieces, capacity=4096, order=["doc_id", "piece"])
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = F.col("found")
+    return benchmark_hits(docs, table(spark, sf_dir, "benchmark"), size=13).select(
+        "doc_id",
+        found["n_words"].alias("n_words"),
+        found["n_hit"].alias("n_hit"),
+        F.size(found["items"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(found["items"], ","), 256).alias("items_sha256"),
+        is_contaminated(found).alias("contaminated"),
+    )
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, similarity=0.8)
 
@@ -39,5 +54,6 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }

@@ -24,16 +24,34 @@ kept AS (
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op9_benchmark_decontamination": rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{ALNUM}') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{ALNUM}') AS ws FROM benchmark),
+pat AS (
+  SELECT DISTINCT item_id, least(13, len(ws)) AS m, array_to_string(ws[p + 1 : p + least(13, len(ws))], ' ') AS s
+  FROM (SELECT item_id, ws, unnest(range(0, len(ws) - least(13, len(ws)) + 1)) AS p FROM b WHERE len(ws) > 0)),
+win AS (
+  SELECT doc_id, m, p, array_to_string(ws[p + 1 : p + m], ' ') AS s
+  FROM (SELECT doc_id, m, ws, unnest(range(0, len(ws) - m + 1)) AS p FROM d, (SELECT DISTINCT m FROM pat) WHERE len(ws) >= m)),
+found AS (SELECT doc_id, item_id, m, p FROM win JOIN pat USING (m, s)),
+hit AS (SELECT doc_id, count(DISTINCT w) AS n FROM (SELECT doc_id, unnest(range(p, p + m)) AS w FROM found) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n, string_agg(i, ',' ORDER BY i) AS names
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM found) GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(items.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256,
+       coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(ws) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
     "op10_minhash_near_dedup": rf"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{SPACES}') AS ws FROM documents),
 sets AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
     ELSE list_transform(range(0, len(ws) - 3), lambda p: array_to_string(ws[p + 1 : p + 4], ' ')) END) AS s FROM w),
 n AS (SELECT w.doc_id, count(s) AS n FROM w LEFT JOIN sets USING (doc_id) GROUP BY w.doc_id),
-both AS (
+shared AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
 link AS (
-  SELECT x, y FROM both JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 80 * (nx.n + ny.n - k)),
+  SELECT x, y FROM shared JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 80 * (nx.n + ny.n - k)),
 reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, y AS r FROM reach JOIN link ON reach.r = link.x)
 SELECT n.doc_id, n AS n_shingles, min(r) AS component_id, n.doc_id = min(r) AS kept
 FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id, n""",
