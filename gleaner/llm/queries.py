@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.bbit import near_duplicates
 from gleaner.llm.bestfit import pack_best_fit, token_pieces
+from gleaner.llm.linededup import apply_bitmap, drop_bitmaps, lines_of, with_row_key
 from gleaner.llm.substring import remove_repeated_substrings
 from gleaner.llm.wumanber import benchmark_hits, is_contaminated
 from gleaner.session import ship_package
@@ -23,6 +24,18 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_substrings(table(spark, sf_dir, "documents"), size=50, keep_text=False).drop("kept_text")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = with_row_key(table(spark, sf_dir, "documents"))
+    bitmaps = drop_bitmaps(keyed, min_chars=20, min_docs=3)
+    text = F.coalesce("text", F.lit(""))
+    return keyed.join(bitmaps, ["doc_id", "row_key"], "left").select(
+        "doc_id",
+        F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"),
+        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.sha2(apply_bitmap(text, F.col("words")), 256).alias("kept_sha256"),
+    )
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -53,6 +66,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op5_line_dedup": op5_line_dedup,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,

@@ -24,6 +24,18 @@ kept AS (
 SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
        sha256(coalesce(kept.text, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op5_line_dedup": rf"""
+WITH line AS (
+  SELECT doc_id, p, ls[p] AS line FROM (
+    SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS p
+    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents))),
+keyed AS (SELECT *, {LOWER.format("trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM line),
+many AS (
+  SELECT key, max(doc_id) AS keep_doc FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+marked AS (SELECT keyed.*, keep_doc IS NOT NULL AND keep_doc <> doc_id AS gone FROM keyed LEFT JOIN many USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
     "op9_benchmark_decontamination": rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{ALNUM}') AS ws FROM documents),
 b AS (SELECT item_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{ALNUM}') AS ws FROM benchmark),
