@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.bbit import near_duplicates
 from gleaner.llm.bestfit import pack_best_fit, token_pieces
+from gleaner.llm.hilbert import hilbert_shards
 from gleaner.llm.linededup import apply_bitmap, drop_bitmaps, lines_of, with_row_key
 from gleaner.llm.substring import remove_repeated_substrings
 from gleaner.llm.wumanber import benchmark_hits, is_contaminated
@@ -36,6 +37,21 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    narrow = docs.select(
+        "doc_id",
+        (F.octet_length(text) + 16).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.xxhash64("text").alias("text_key"),
+        "lang",
+        "source",
+    )
+    sharded = hilbert_shards(narrow, ["size"], ["lang", "source"], shards=40, tie=["text_key", "doc_id"])
+    return sharded.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -67,6 +83,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op5_line_dedup": op5_line_dedup,
+    "op6_hilbert_sharding": op6_hilbert_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
