@@ -11,7 +11,9 @@ from gleaner.llm.bbit import near_duplicates
 from gleaner.llm.bestfit import pack_best_fit, token_pieces
 from gleaner.llm.hilbert import hilbert_shards
 from gleaner.llm.linededup import apply_bitmap, drop_bitmaps, lines_of, with_row_key
+from gleaner.llm.quality import COUNTS, judge_quality, train_quality
 from gleaner.llm.substring import remove_repeated_substrings
+from gleaner.llm.toxicity import score_toxicity, train_toxicity
 from gleaner.llm.wumanber import benchmark_hits, is_contaminated
 from gleaner.session import ship_package
 
@@ -25,6 +27,13 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeated_substrings(table(spark, sf_dir, "documents"), size=50, keep_text=False).drop("kept_text")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = train_toxicity(docs, labels.filter(~held_out))
+    return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = with_row_key(table(spark, sf_dir, "documents"))
     bitmaps = drop_bitmaps(keyed, min_chars=20, min_docs=3)
@@ -63,6 +72,13 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_best_fit(pieces, capacity=4096, order=["doc_id", "piece"])
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_quality(docs, table(spark, sf_dir, "labels"))
+    verdict = F.col("verdict")
+    return judge_quality(docs, model).select("doc_id", *(verdict[c].alias(c) for c in (*COUNTS, "base_failed", "quality", "kept")))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = F.col("found")
@@ -82,9 +98,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_toxicity": op2_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_hilbert_sharding": op6_hilbert_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_quality_rules": op8_quality_rules,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
 }
