@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.bbit import near_duplicates
 from gleaner.llm.bestfit import pack_best_fit, token_pieces
 from gleaner.llm.hilbert import hilbert_shards
+from gleaner.llm.license import scan_licenses
 from gleaner.llm.linededup import apply_bitmap, drop_bitmaps, lines_of, with_row_key
 from gleaner.llm.quality import COUNTS, judge_quality, train_quality
 from gleaner.llm.substring import remove_repeated_substrings
@@ -34,6 +35,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    columns = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return scanned.select("doc_id", *(F.col("license")[c].alias(c) for c in columns))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = with_row_key(table(spark, sf_dir, "documents"))
     bitmaps = drop_bitmaps(keyed, min_chars=20, min_docs=3)
@@ -99,6 +106,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_license_scan": op3_license_scan,
     "op5_line_dedup": op5_line_dedup,
     "op6_hilbert_sharding": op6_hilbert_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
