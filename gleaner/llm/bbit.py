@@ -33,8 +33,6 @@ BITS = 4
 LANES = 64 // BITS
 BLOCK_SHINGLES = 1 << 20  # shingles (8 bytes each) in a block of a bucket
 
-_random = np.random.default_rng(41)
-
 
 def permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.default_rng(n)
@@ -266,3 +264,12 @@ def near_duplicates(
     out = signed.select("doc_id", "n").join(ids, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
+    """``docs`` without the documents whose component has a smaller id; every column as it is.
+
+    Rows of one id stay or go together; rows without an id or without words stay.
+    """
+    gone = near_duplicates(docs, **settings).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.bbit import near_duplicates
 from gleaner.llm.bestfit import pack_best_fit, token_pieces
 from gleaner.llm.hilbert import hilbert_shards
+from gleaner.llm.htmltext import extract_main_text
 from gleaner.llm.license import scan_licenses
 from gleaner.llm.linededup import apply_bitmap, drop_bitmaps, lines_of, with_row_key
 from gleaner.llm.quality import COUNTS, judge_quality, train_quality
@@ -41,6 +42,11 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", *(F.col("license")[c].alias(c) for c in columns))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     keyed = with_row_key(table(spark, sf_dir, "documents"))
     bitmaps = drop_bitmaps(keyed, min_chars=20, min_docs=3)
@@ -107,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_license_scan": op3_license_scan,
+    "op4_html_extraction": op4_html_extraction,
     "op5_line_dedup": op5_line_dedup,
     "op6_hilbert_sharding": op6_hilbert_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,

@@ -192,3 +192,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, item:
 def is_contaminated(found):
     """At least a twentieth of the words lies in occurrences of benchmark windows."""
     return (found["n_hit"] > 0) & (found["n_hit"] * 20 >= found["n_words"])
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
+    """``docs`` without the contaminated ones; every column as it is."""
+    return benchmark_hits(docs, benchmark, size, out="_found").filter(~is_contaminated(F.col("_found"))).select(*docs.columns)
