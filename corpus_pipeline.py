@@ -1,20 +1,64 @@
-"""A corpus pipeline of five stages; each is written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline of five stages; each is written as Parquet and read again as the next one's documents.
+
+quality rules (texts that they reject go), line dedup, near dedup (one document of each group stays), benchmark
+decontamination, best-fit packing.  Each stage judges what its predecessor kept.  All but the last return the columns of
+``documents``; ``n_chars``, where there is one, is counted anew when lines have gone.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gleaner.llm.bbit import drop_near_duplicates
+from gleaner.llm.bestfit import pack_best_fit, token_pieces
+from gleaner.llm.linededup import drop_repeated_lines
+from gleaner.llm.quality import keep_good, train_quality
+from gleaner.llm.queries import default_tokenizer, table
+from gleaner.llm.wumanber import drop_contaminated
 from gleaner.session import materialize
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return keep_good(docs, train_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = drop_repeated_lines(docs, min_chars=20, min_docs=3)
+    if "n_chars" not in docs.columns:
+        return kept
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_near_duplicates(docs, size=5, similarity=0.8)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), size=13)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(docs, default_tokenizer(), capacity=4096, keep_ids=False).drop("ids")
+    return pack_best_fit(pieces, capacity=4096, order=["doc_id", "piece"])
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
+
+#: A trained model and a tokenizer take part; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
