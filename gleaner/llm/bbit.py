@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.frames import unused
 from gleaner.llm.words import LOWER, SPACE, Words, cut_words, mix, parts, texts_of, windows
 from gleaner.operators.components import connected_components
 from gleaner.session import materialize
@@ -271,5 +272,6 @@ def drop_near_duplicates(docs: DataFrame, **settings) -> DataFrame:
 
     Rows of one id stay or go together; rows without an id or without words stay.
     """
-    gone = near_duplicates(docs, **settings).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    (name,) = unused(docs, "gone")
+    gone = near_duplicates(docs, **settings).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(name), "left_anti")

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.frames import unused
 from gleaner.llm.words import parts, texts_of
 from gleaner.session import materialize
 
@@ -137,38 +138,37 @@ def plan_best_fit(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int
     return runs, opened
 
 
-def rank_within(pieces: DataFrame, key: str, order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The rows with ``rank`` from 0 within ``key``, and the written table of rows per partition and key."""
+def rank_within(pieces: DataFrame, key: str, order: list[str], rank: str = "rank") -> tuple[DataFrame, DataFrame]:
+    """The rows with ``rank`` from 0 within ``key``, and the written table ``(part, key, first, n, before)`` of the runs of
+    one key in one partition: about one row per partition and key."""
     spark = pieces.sparkSession
-    parts_wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = pieces.repartitionByRange(parts_wanted, key, *order).sortWithinPartitions(key, *order)
-    ranged = materialize(ranged.withColumn("_place", F.monotonically_increasing_id()), "bestfit-ranged")
-    part = F.shiftright("_place", 33).alias("_part")
-    # A partition holds a run of keys: all tables of this kind have about one row per partition plus one per key.
-    runs = ranged.groupBy(part, key).agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
-    runs = materialize(runs, "bestfit-runs")
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    starts = runs.select("_part", key, "_first", "_before")
-    joined = ranged.withColumn("_part", F.shiftright("_place", 33)).join(F.broadcast(starts), ["_part", key])
-    rank = F.col("_place") - F.col("_first") + F.col("_before")
-    return joined.withColumn("rank", rank).drop("_place", "_part", "_first", "_before"), runs
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place, part, first, n, before = unused(pieces, "place", "part", "first", "n", "before", also=[rank])
+    ranged = pieces.repartitionByRange(n_parts, key, *order).sortWithinPartitions(key, *order)
+    ranged = materialize(ranged.withColumn(place, F.monotonically_increasing_id()), "bestfit-ranged").withColumn(part, F.shiftright(place, 33))
+    runs = ranged.groupBy(part, key).agg(F.min(place).alias(first), F.count("*").alias(n))
+    ahead = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    runs = materialize(runs.withColumn(before, F.coalesce(F.sum(n).over(ahead), F.lit(0))), "bestfit-runs")
+    # The ranges are sorted by key, so the runs are at most the partitions plus the distinct keys.
+    joined = ranged.join(F.broadcast(runs.drop(n)), [part, key])
+    joined = joined.withColumn(rank, F.col(place) - F.col(first) + F.col(before)).drop(place, part, first, before)
+    return joined, runs.select(key, F.col(n).alias("n"))
 
 
 def pack_best_fit(pieces: DataFrame, capacity: int, order: list[str]) -> DataFrame:
     """``pieces`` (with ``length`` from 1 to ``capacity``) with ``sequence_id`` and ``offset``.
 
-    ``order`` names columns that break ties between pieces of one length.  Rows with a null, zero or longer length raise
-    nothing and are given null places.  Repeated rows are pieces of their own.
+    ``order`` names columns that break ties between pieces of one length.  Rows whose length is null, zero or over
+    ``capacity`` get null places.  Repeated rows are pieces of their own.  Columns named as the new ones are replaced.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")
+    rank, size, lo, hi, to = unused(pieces, "rank", "size", "lo", "hi", "to", also=["sequence_id", "offset"])
     fits = F.col("length").between(1, capacity)
-    ranked, runs = rank_within(pieces.filter(fits), "length", order)
-    counts = {r["length"]: r["n"] for r in runs.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most ``capacity`` rows
+    ranked, runs = rank_within(pieces.filter(fits), "length", order, rank)
+    counts = {r["length"]: r["n"] for r in runs.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most ``capacity`` rows
     plan, _ = plan_best_fit(counts, capacity)
-    plan_table = spark.createDataFrame(plan, "_length int, lo long, hi long, first long, offset long")
-    inside = (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    placed = ranked.join(F.broadcast(plan_table), (F.col("length") == F.col("_length")) & inside)
-    placed = placed.withColumn("sequence_id", F.col("first") + F.col("rank") - F.col("lo")).drop("_length", "lo", "hi", "first", "rank")
-    rest = pieces.filter(~F.coalesce(fits, F.lit(False)))
-    return placed.unionByName(rest, allowMissingColumns=True)
+    plan_table = spark.createDataFrame(plan, f"{size} int, {lo} long, {hi} long, {to} long, offset long")  # its size follows from the capacity
+    here = (F.col("length") == F.col(size)) & (F.col(rank) >= F.col(lo)) & (F.col(rank) < F.col(hi))
+    placed = ranked.join(F.broadcast(plan_table), here).withColumn("sequence_id", F.col(to) + F.col(rank) - F.col(lo)).drop(size, lo, hi, to, rank)
+    return placed.unionByName(pieces.filter(~F.coalesce(fits, F.lit(False))), allowMissingColumns=True)

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.frames import unused
 from gleaner.session import materialize
 
 
@@ -90,22 +91,21 @@ def hilbert_shards(docs: DataFrame, numbers: Sequence[str], texts: Sequence[str]
     written once to the shared folder, so give the columns you need and not the text.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    docs = materialize(docs, "hilbert-input")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = materialize(docs.drop("curve", "shard", "slot"), "hilbert-input")
+    place, part, rows, before, total, rank = unused(docs, "place", "part", "rows", "before", "total", "rank", also=["curve", "shard", "slot"])
     steps = [quantile_step(docs, c, bits) for c in numbers] + [hash_step(c, bits) for c in texts]
-    placed = docs.withColumn("curve", hilbert_index(steps, bits))
     order = ["curve", *tie]
-    ranged = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
-    ranged = materialize(ranged, "hilbert-ranged")
-    part, place = F.shiftright("_place", 33), F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # one row per partition
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(Window.partitionBy())
-    offsets = sizes.select("_part", before.alias("_before"), total.alias("_total"))
-    ranked = ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn("_rank", place + F.col("_before"))
-    shard = F.expr(f"CAST((_rank * {shards}) div _total AS INT)")
-    first = F.expr(f"(CAST(shard AS BIGINT) * _total + {shards} - 1) div {shards}")
-    return ranked.withColumn("shard", shard).withColumn("slot", F.col("_rank") - first).drop("_part", "_place", "_before", "_total", "_rank")
+    ranged = docs.withColumn("curve", hilbert_index(steps, bits)).repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.withColumn(place, F.monotonically_increasing_id()), "hilbert-ranged")
+    ranged = ranged.withColumn(part, F.shiftright(place, 33))
+    sizes = ranged.groupBy(part).agg(F.count("*").alias(rows))  # one row per partition
+    ahead = F.coalesce(F.sum(rows).over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select(part, ahead.alias(before), F.sum(rows).over(Window.partitionBy()).alias(total))
+    ranked = ranged.join(F.broadcast(offsets), part).withColumn(rank, F.col(place).bitwiseAND(F.lit((1 << 33) - 1)) + F.col(before))
+    ranked = ranked.withColumn("shard", F.expr(f"CAST(({rank} * {shards}) div {total} AS INT)"))
+    first = F.expr(f"(CAST(shard AS BIGINT) * {total} + {shards} - 1) div {shards}")
+    return ranked.withColumn("slot", F.col(rank) - first).drop(place, part, before, total, rank)
 
 
 def shard_bounds(sharded: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.llm.frames import unused
 from gleaner.session import materialize
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -109,7 +110,7 @@ def line_dedup(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, slices:
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, slices: int = 256) -> DataFrame:
     """``docs`` with the repeated lines gone from ``text``; every other column as it is.  Cases as in ``line_dedup``."""
     found = drop_bitmaps(with_row_key(docs), min_chars, min_docs, slices)
-    found = found.select(F.col("doc_id").alias("_line_doc"), F.col("row_key").alias("_line_row"), F.col("words").alias("_line_words"))
-    same = (F.col("doc_id").cast("long") == F.col("_line_doc")) & (F.xxhash64("text") == F.col("_line_row"))
-    joined = docs.join(found, same, "left").withColumn("text", apply_bitmap(F.col("text"), F.col("_line_words")))
-    return joined.select(*docs.columns)
+    doc, row, words = unused(docs, "line_doc", "line_row", "line_words")
+    found = found.select(F.col("doc_id").alias(doc), F.col("row_key").alias(row), F.col("words").alias(words))
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64("text") == F.col(row))
+    return docs.join(found, same, "left").withColumn("text", apply_bitmap(F.col("text"), F.col(words))).select(*docs.columns)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
+from gleaner.llm.frames import unused
 from gleaner.llm.textmodel import Features, Model, labelled_sample, train
 from gleaner.llm.words import SPACE, cut_words, parts, texts_of, windows
 
@@ -90,4 +91,5 @@ def judge_quality(docs: DataFrame, model: Model, threshold: float = THRESHOLD, o
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose verdict is kept, with their own columns."""
-    return judge_quality(docs, model, threshold, "_verdict").filter("_verdict.kept").select(*docs.columns)
+    (verdict,) = unused(docs, "verdict")
+    return judge_quality(docs, model, threshold, verdict).filter(F.col(verdict)["kept"]).drop(verdict)

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
+from gleaner.llm.frames import unused
 from gleaner.llm.words import LOWER, NON_ALNUM, Words, cut_words, mix, parts, texts_of
 
 BLOCK = 2
@@ -174,7 +175,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, item:
         rows = [(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block).collect()]
         shared = spark.sparkContext.broadcast(build_patterns(rows, size))
         find = F.arrow_udf(search_task(shared), FOUND_TYPE).asNondeterministic()
-        names.append(f"_wm_{block}")
+        names += unused(docs, f"found_{block}", also=[out])
         docs = docs.withColumn(names[-1], find("text"))
     runs = F.concat(*(F.arrays_zip(F.col(f"{x}.starts").alias("s"), F.col(f"{x}.ends").alias("e")) for x in names))
     ordered = F.array_sort(runs)
@@ -196,4 +197,5 @@ def is_contaminated(found):
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 13) -> DataFrame:
     """``docs`` without the contaminated ones; every column as it is."""
-    return benchmark_hits(docs, benchmark, size, out="_found").filter(~is_contaminated(F.col("_found"))).select(*docs.columns)
+    (found,) = unused(docs, "found")
+    return benchmark_hits(docs, benchmark, size, out=found).filter(~is_contaminated(F.col(found))).drop(found)
