@@ -210,8 +210,6 @@ def calibrate(scores: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-SPARSE = "row long, label int, fold int, kind int, slots array<int>, values array<float>"
-
 
 def sparse_rows(texts: list[str], features: Features) -> Rows:
     text, slot, value = features.sparse(pa.array(texts, pa.large_string()))
@@ -225,10 +223,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, max_rows: in
     return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows of two numbers
 
 
-def features_task(features: Features, variant=None):
-    """For ``mapInArrow`` over (doc_id, text, label): sparse features; with ``variant``, a second row of kind 1 for each text
-    that it changes, with the difference of the two texts' features."""
-    schema = pa.schema([("row", pa.int64()), ("label", pa.int32()), ("fold", pa.int32()), ("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float32())), ("other_slots", pa.list_(pa.int32())), ("other_values", pa.list_(pa.float32()))])
+def features_task(features: Features, variants=()):
+    """For ``mapInArrow`` over (doc_id, text, label): sparse features, and rows of label -1 with the difference between a
+    text's features and those of each of its variants."""
+    schema = pa.schema([("row", pa.int64()), ("label", pa.int32()), ("fold", pa.int32()), ("slots", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])
 
     def lists(rows: Rows) -> list[pa.Array]:
         offsets = pa.array(rows.bounds.astype(np.int32))
@@ -241,16 +239,19 @@ def features_task(features: Features, variant=None):
                 docs = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.uint64)
                 fold = (mix(docs + np.uint64(5)) % np.uint64(5)).astype(np.int32)
                 own = sparse_rows(texts, features)
-                if variant is None:
-                    other = Rows(np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0))
-                else:
-                    other = differences(own, sparse_rows([variant(t) for t in texts], features), features.bits)
-                yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array(fold), *lists(own), *lists(other)], schema=schema)
+                yield pa.record_batch([part.column("doc_id"), part.column("label"), pa.array(fold), *lists(own)], schema=schema)
+                for variant in variants:
+                    other = [variant(t) for t in texts]
+                    new = np.flatnonzero([a != b for a, b in zip(texts, other)])
+                    if len(new):
+                        apart = differences(own.take(new), sparse_rows([other[i] for i in new], features), features.bits)
+                        mark = pa.array(np.full(len(new), -1, np.int32))
+                        yield pa.record_batch([part.column("doc_id").take(pa.array(new)), mark, pa.array(fold[new]), *lists(apart)], schema=schema)
 
     return run
 
 
-FEATURES = "row long, label int, fold int, slots array<int>, values array<float>, other_slots array<int>, other_values array<float>"
+FEATURES = "row long, label int, fold int, slots array<int>, values array<float>"
 
 
 def differences(a: Rows, b: Rows, bits: int) -> Rows:
@@ -263,20 +264,20 @@ def differences(a: Rows, b: Rows, bits: int) -> Rows:
     return Rows(np.searchsorted(name[on] >> bits, np.arange(n + 1)), name[on] & ((1 << bits) - 1), value[on])
 
 
-def collect_rows(sample: DataFrame, features: Features, variant=None) -> tuple[Rows, np.ndarray, np.ndarray, Rows]:
+def collect_rows(sample: DataFrame, features: Features, variants=()) -> tuple[Rows, np.ndarray, np.ndarray, Rows]:
     """Features, labels and folds of a bounded sample, in order of the id, and the differences of its variants."""
-    found = sample.mapInArrow(features_task(features, variant), FEATURES).orderBy("row").toArrow().combine_chunks()
-
-    def rows(a: str, b: str) -> Rows:
-        slots, values = (found.column(c).combine_chunks() for c in (a, b))
-        slots, values = (x.chunk(0) if isinstance(x, pa.ChunkedArray) and x.num_chunks else x for x in (slots, values))
-        if not found.num_rows:
-            return Rows(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        bounds = slots.offsets.to_numpy().astype(np.int64)
-        return Rows(bounds - bounds[0], slots.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(np.float64))
+    found = sample.mapInArrow(features_task(features, variants), FEATURES).orderBy("row", F.desc("label")).toArrow().combine_chunks()
 
-    other = rows("other_slots", "other_values")
-    return rows("slots", "values"), found.column("label").to_numpy().astype(np.float64), found.column("fold").to_numpy(), other.take(np.flatnonzero(np.diff(other.bounds)))
+    if not found.num_rows:
+        none = Rows(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return none, np.zeros(0), np.zeros(0, np.int64), none
+    slots, values = (found.column(c).combine_chunks() for c in ("slots", "values"))
+    slots, values = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (slots, values))
+    bounds = slots.offsets.to_numpy().astype(np.int64)
+    rows = Rows(bounds - bounds[0], slots.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(np.float64))
+    label, fold = found.column("label").to_numpy(), found.column("fold").to_numpy()
+    own, other = np.flatnonzero(label >= 0), np.flatnonzero(label < 0)
+    return rows.take(own), label[own].astype(np.float64), fold[own], rows.take(other)
 
 
 class Model(NamedTuple):
@@ -292,9 +293,9 @@ class Model(NamedTuple):
         return sigmoid(self.slope * z + self.offset)
 
 
-def train(sample: DataFrame, features: Features, l2: float, variant=None, penalty: float = 0.0) -> Model:
+def train(sample: DataFrame, features: Features, l2: float, variants=(), penalty: float = 0.0) -> Model:
     """Fit on four fifths of the sample, calibrate on the fifth.  Without rows, or with one label only, the score is the label's share."""
-    rows, label, fold, other = collect_rows(sample, features, variant)
+    rows, label, fold, other = collect_rows(sample, features, variants)
     size = 1 << features.bits
     if not len(label) or label.min() == label.max():
         share = float(label.mean()) if len(label) else 0.0

@@ -1,9 +1,9 @@
 """Toxicity by a counterfactual-regularised classifier.
 
 A logistic regression over hashed words and word beginnings is fitted on labelled texts.  Each labelled text that names a
-group (an identity term) has a counterfactual twin in which every such term is swapped for another one of its language.
-The fit penalises the square of the difference of the two scores, so that the mere mention of a group does not move the
-score, and a term that is frequent in the toxic part of the labels does not become a sign of toxicity.
+group (an identity term) has two counterfactual twins: one with every such term swapped for another one of its kind, one
+with it left out.  The fit penalises the square of the difference between its score and theirs, so that the mere mention
+of a group does not move the score, and a term that is frequent in the toxic part of the labels is no sign of toxicity.
 
 The fit uses at most ``max_rows`` labelled rows, those with the smallest hash of the id; scoring reads every whole text.
 """
@@ -39,13 +39,13 @@ MAX_ROWS = 10_000
 THRESHOLD = 0.3
 
 
-def swapper(groups: Mapping[str, Sequence[str]] = IDENTITY_TERMS) -> Callable[[str], str]:
-    """The function that gives a text its counterfactual twin: each term becomes the next of its group."""
+def twins(groups: Mapping[str, Sequence[str]] = IDENTITY_TERMS) -> tuple[Callable[[str], str], ...]:
+    """The functions that give a text its counterfactual twins: each term the next of its group, or left out."""
     following = {term: terms[(i + 1) % len(terms)] for terms in groups.values() for i, term in enumerate(terms)}
     if not following:
-        return lambda text: text
+        return ()
     pattern = re.compile(r"(?<!\w)(?:%s)(?!\w)" % "|".join(sorted(map(re.escape, following), key=len, reverse=True)), re.IGNORECASE)
-    return lambda text: pattern.sub(lambda m: following[m[0].lower()], text)
+    return (lambda text: pattern.sub(lambda m: following[m[0].lower()], text), lambda text: pattern.sub("", text))
 
 
 def train_toxicity(
@@ -60,7 +60,7 @@ def train_toxicity(
 ) -> Model:
     """Fit on ``docs`` (``doc_id``, ``text``) that ``labels`` marks with 0 or 1; null labels, ids and texts teach nothing."""
     sample = labelled_sample(docs.filter("text IS NOT NULL"), labels, label, max_rows)
-    return train(sample, features, l2, swapper(groups), penalty)
+    return train(sample, features, l2, twins(groups), penalty)
 
 
 def score_text(model: Model, spark) -> Callable[[str], Column]:
