@@ -32,6 +32,7 @@ def main() -> None:
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="12g",
+        spark__gleaner__inputPartitions=cpus,  # one small file per table, of one row group
         **({"spark__checkpoint__dir": tempfile.mkdtemp(prefix="gleaner-")} | settings),
     )
     spark.sparkContext.setLogLevel("ERROR")

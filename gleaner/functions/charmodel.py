@@ -10,6 +10,7 @@ import numpy as np
 from gleaner.functions.minhash import BASE
 
 _RUN_CHARS = 250_000
+PSEUDO = 20
 
 
 def grams(texts: Sequence[str | None], ns: Sequence[int], features: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -38,25 +39,40 @@ def runs(texts: Sequence[str | None]) -> Iterator[Sequence[str | None]]:
 
 @dataclass
 class CharacterModel:
-    """Naive Bayes: log probability of each feature under each label, and of the labels."""
+    """Naive Bayes: log probability of each feature under each label, and of the labels.
+
+    The likeliest label is the one with the highest probability of the whole text.  Its score is its share of the
+    geometric means of the n-grams' probabilities, ``PSEUDO`` n-grams that speak for no label added, times the share of the
+    text's n-grams that the label has shown in training.  So it does not run to 1 with the length of a text: a text of a few
+    characters has a low score, and one in an unknown script a score near 0.
+    """
 
     labels: Sequence[str]
     prior: np.ndarray
     features: np.ndarray
     ns: Sequence[int]
 
-    def scores(self, texts: Sequence[str | None]) -> np.ndarray:
-        """Probability of each label, one row per text."""
+    def scores(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Share of each label, and the share of n-grams that it has shown; one row per text."""
         sums = np.tile(self.prior.astype(np.float64), (len(texts), 1))
+        counts, shown = np.zeros(len(texts)), np.zeros((len(texts), len(self.labels)))
+        known = self.features > self.features.min(axis=0) + 1e-6
         for doc, gram in grams(texts, self.ns, len(self.features)):
             if len(doc):
                 starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
                 sums[doc[starts]] += np.add.reduceat(self.features[gram], starts, axis=0)
-        odds = np.exp(sums - sums.max(axis=1, keepdims=True))
-        return odds / odds.sum(axis=1, keepdims=True)
+                shown[doc[starts]] += np.add.reduceat(known[gram], starts, axis=0, dtype=np.float64)
+                counts += np.bincount(doc, minlength=len(texts))
+        means = sums / (counts + PSEUDO)[:, None]
+        odds = np.exp(means - means.max(axis=1, keepdims=True))
+        return odds / odds.sum(axis=1, keepdims=True), shown / np.maximum(counts, 1)[:, None]
 
     def best(self, texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Score and name of the likeliest label of each text."""
         parts = [self.scores(run) for run in runs(texts)]
-        p = np.concatenate(parts) if parts else np.zeros((0, len(self.labels)))
-        return p.max(axis=1), np.array(self.labels, dtype=object)[p.argmax(axis=1)]
+        if not parts:
+            return np.zeros(0), np.zeros(0, dtype=object)
+        share, shown = (np.concatenate(x) for x in zip(*parts))
+        best = share.argmax(axis=1)
+        row = np.arange(len(best))
+        return share[row, best] * shown[row, best], np.array(self.labels, dtype=object)[best]

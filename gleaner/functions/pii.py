@@ -1,15 +1,15 @@
 """Personal data: find the spans of an entity type and replace them.
 
 Entity types with a pattern alone are replaced inside the engine.  Card numbers need a check digit and so an
-Arrow UDF, which also gives the spans.  Types are tried in the order of ``PATTERNS``; what one has taken, the
-next cannot take.  Persons, places and addresses are found from word lists behind the same interface; a list
+Arrow UDF, which also gives the spans.  Of spans that overlap, the one with the higher score stays, then the longer,
+then the earlier.  Persons, places and addresses are found from word lists behind the same interface; a list
 finds less than a language model does.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 
 SPANS = "array<struct<type string, start int, end int, score double>>"
 
-# Entity types, patterns and scores, in order of precedence.  The patterns are written so that
-# Java, Python and RE2 read them alike.
+# Entity types, patterns and scores.  The patterns are written so that
+# Java, Python and RE2 read them alike.  Groups repeat a bounded number of times (a host has at most 127 labels), since
+# Java takes a stack frame for every turn.
 PATTERNS: dict[str, tuple[str, float]] = {
-    "EMAIL_ADDRESS": (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}\b", 1.0),
+    "EMAIL_ADDRESS": (r"\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}\b", 1.0),
     "URL": (r"\b(?:https?://|www\.)[^\s<>]+", 0.95),
     "CREDIT_CARD": (r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,4}\b", 1.0),
     "IP_ADDRESS": (
@@ -84,7 +85,9 @@ def _chosen(entities: Sequence[str] | None, lexicon: Lexicon) -> dict[str, tuple
     unknown = set(entities or []) - set(known)
     if unknown:
         raise ValueError(f"unknown entity types {sorted(unknown)}")
-    return {name: known[name] for name in known if entities is None or name in entities}
+    # The higher score first: what a type has taken, one of a lower score cannot take.
+    by_score = sorted(known, key=lambda name: -known[name][1])
+    return {name: known[name] for name in by_score if entities is None or name in entities}
 
 
 def luhn_ok(number: str) -> bool:
@@ -93,16 +96,23 @@ def luhn_ok(number: str) -> bool:
     return len(digits) >= 13 and sum(doubled) % 10 == 0
 
 
-def find_spans(text: str, compiled: dict[str, tuple[re.Pattern, float]]) -> Iterator[tuple[str, int, int, float]]:
-    """Non-overlapping spans, 0-based and half open, in code points."""
-    for name, (pattern, score) in compiled.items():
-        taken = []
-        for match in pattern.finditer(text):
-            if name != "CREDIT_CARD" or luhn_ok(match.group()):
-                taken.append(match.span())
-                yield name, *match.span(), score
-        for start, end in taken:
-            text = text[:start] + "﷐" * (end - start) + text[end:]
+def find_spans(text: str, compiled: dict[str, tuple[re.Pattern, float]]) -> list[tuple[str, int, int, float]]:
+    """Non-overlapping spans in text order, 0-based and half open, in code points.
+
+    Of spans that overlap, the one with the higher score stays, then the longer, then the earlier.
+    """
+    found = [
+        (-score, match.start() - match.end(), match.start(), match.end(), name)
+        for name, (pattern, score) in compiled.items()
+        for match in pattern.finditer(text)
+        if name != "CREDIT_CARD" or luhn_ok(match.group())
+    ]
+    taken, spans = bytearray(len(text)), []
+    for score, _, start, end, name in sorted(found):
+        if not any(taken[start:end]):
+            taken[start:end] = b"\1" * (end - start)
+            spans.append((name, start, end, -score))
+    return sorted(spans, key=lambda s: s[1])
 
 
 def _compile(chosen: dict[str, tuple[str, float]]) -> dict[str, tuple[re.Pattern, float]]:
@@ -119,7 +129,7 @@ def analyze(text: Column, entities: Sequence[str] | None = None, lexicon: Lexico
         compiled = _compile(chosen)
         rows = []
         for t in texts:
-            found = None if t is None else sorted(find_spans(t, compiled), key=lambda s: s[1:3])
+            found = None if t is None else find_spans(t, compiled)
             rows.append(None if t is None else [dict(zip(("type", "start", "end", "score"), s)) for s in found])
         return pd.Series(rows, dtype=object)
 
@@ -163,7 +173,7 @@ def redact(
 
         def splice(t: str) -> str:
             parts, at = [], 0
-            for name, start, end, _ in sorted(find_spans(t, compiled), key=lambda s: s[1]):
+            for name, start, end, _ in find_spans(t, compiled):
                 parts += [t[at:start], f"<{name}>"]
                 at = end
             return "".join([*parts, t[at:]])

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.charmodel import CharacterModel, grams, runs
 from gleaner.functions.modify import label_prefix
 from gleaner.functions.text import hash_unit, words
-from gleaner.operators.sampling import sample_about, shuffle
+from gleaner.operators.sampling import sample_about
 from gleaner.session import materialize
 
 # The domain names.
@@ -36,6 +36,7 @@ DOMAINS = [
 ]
 
 MAX_LABELS = 1000
+MAX_WEIGHTS = 1 << 26
 
 
 def predict(model: CharacterModel, df: DataFrame, text_field: str = "text") -> DataFrame:
@@ -52,10 +53,18 @@ def predict(model: CharacterModel, df: DataFrame, text_field: str = "text") -> D
 
 
 def train_character_model(
-    df: DataFrame, text_field: str, label_field: str, ns: Sequence[int], features: int
+    df: DataFrame, text_field: str, label_field: str, ns: Sequence[int], features: int, max_labels: int = MAX_LABELS
 ) -> CharacterModel:
-    """Count features per label in every task, then sum the counts: one pass, whatever the share of a label."""
+    """Count features per label in every task, then sum the counts: one pass, whatever the share of a label.
+
+    The labels are looked up first.  More than ``max_labels``, or more than MAX_WEIGHTS weights, is an error before any
+    text is counted; so the model, of labels times features, is small whatever the data.
+    """
     ns = tuple(ns)
+    named = df.select(F.col(label_field).cast("string").alias("label")).dropna().distinct()
+    labels = sorted(r.label for r in named.limit(max_labels + 1).collect())
+    if not 0 < len(labels) <= max_labels or len(labels) * features > MAX_WEIGHTS:
+        raise ValueError(f"between 1 and {max_labels} labels and at most {MAX_WEIGHTS} weights are needed")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
@@ -74,12 +83,11 @@ def train_character_model(
     counts = labelled.mapInPandas(count, "label string, feature bigint, n bigint")
     summed = counts.groupBy("label", "feature").agg(F.sum("n").alias("n"))
     summed = materialize(summed, "model")
-    labels = [r.label for r in summed.select("label").distinct().orderBy("label").take(MAX_LABELS + 1)]
-    if not 0 < len(labels) <= MAX_LABELS:
-        raise ValueError(f"between 1 and {MAX_LABELS} labels are needed")
     table = np.zeros((features + 1, len(labels)))
-    rows = summed.toPandas()  # at most labels times features
-    table[rows["feature"], rows["label"].map({name: i for i, name in enumerate(labels)})] = rows["n"]
+    place = {name: i for i, name in enumerate(labels)}
+    for name, row in ((r.label, r) for r in summed.groupBy("label").agg(F.collect_list(F.struct("feature", "n")).alias("counts")).toLocalIterator()):
+        counts = np.array(row.counts, dtype=np.int64).reshape(-1, 2)  # one label's features at a time
+        table[counts[:, 0], place[name]] = counts[:, 1]
     smooth = table[:features] + 1.0
     return CharacterModel(
         labels, np.log(table[features] / table[features].sum()), np.log(smooth / smooth.sum(axis=0)).astype(np.float32), ns
@@ -145,12 +153,15 @@ def classify_domain(
 def quality_training_set(
     high: DataFrame, low: DataFrame, num_samples: int, key: str, text_field: str = "text", seed: int = 42
 ) -> DataFrame:
-    """Labelled one-line samples, about ``num_samples`` per class, in random order: ``(key, text)``."""
+    """Labelled one-line samples, about ``num_samples`` per class: ``(key, text)``.
+
+    The order is not mixed, as training passes do not depend on it; ``sampling.shuffle`` does it for a file to hand on.
+    """
     parts = []
     for df, label in ((low, "__label__lq"), (high, "__label__hq")):
         sampled = sample_about(df.select(key, text_field), num_samples, key, seed)
         parts.append(sampled.withColumn(text_field, label_prefix(label)(F.col(text_field))))
-    return shuffle(parts[0].unionByName(parts[1]), key, seed)
+    return parts[0].unionByName(parts[1])
 
 
 def read_training_lines(df: DataFrame, field: str = "value") -> DataFrame:
@@ -161,9 +172,13 @@ def read_training_lines(df: DataFrame, field: str = "value") -> DataFrame:
 
 
 def train_quality_model(
-    df: DataFrame, text_field: str = "text", label_field: str = "label", word_ngrams: int = 2, epoch: int = 5, features: int = 1 << 16
+    df: DataFrame, text_field: str = "text", label_field: str = "label", word_ngrams: int = 2, epoch: int = 5, dim: int = 1 << 16, reg: float = 0.01
 ) -> WordModel:
-    """Logistic regression over word n-grams, trained on a labelled sample."""
+    """Logistic regression over ``dim`` hashed word n-grams, trained on a labelled sample.
+
+    ``epoch`` is the number of passes over the sample that the optimiser makes at most.  It finds its own step length,
+    so there is no learning rate; ``reg`` is the weight of the squared coefficients.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     labelled = df.filter(F.col(label_field).isNotNull()).select(F.col(label_field).cast("string").alias("_name"), text_field)
     # Training passes over the sample again and again: one written copy, spread over all cores.
@@ -172,8 +187,8 @@ def train_quality_model(
     indexer = StringIndexer(inputCol="_name", outputCol="_index", stringOrderType="alphabetAsc").fit(labelled)
     steps = [
         NGram(n=word_ngrams, inputCol="_units", outputCol="_grams"),
-        HashingTF(numFeatures=features, inputCol="_grams", outputCol="features"),
-        LogisticRegression(maxIter=epoch, regParam=0.01, labelCol="_index"),
+        HashingTF(numFeatures=dim, inputCol="_grams", outputCol="features"),
+        LogisticRegression(maxIter=epoch, regParam=reg, labelCol="_index"),
     ]
     return WordModel(Pipeline(stages=steps).fit(indexer.transform(labelled)), list(indexer.labels))
 

@@ -2,7 +2,8 @@
 
 Each step takes the smallest neighbour per node, a grouping that combines on the map side, and joins it back
 to the edges.  The centre of a star may hold a third of all edges, so that join spreads heavy nodes.  The edges
-after each step are a written table: lineage stays short and a lost executor costs one step.
+after each step are a written table: lineage stays short and a lost executor costs one step.  The table of the step
+before is deleted then.
 """
 
 from __future__ import annotations
@@ -11,11 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.operators.skew import join_by_heavy_key
-from gleaner.session import materialize
-
-MAX_ROUNDS = 100
-
-
+from gleaner.session import discard, materialize, scratch_path
 
 
 def _large_star(edges: DataFrame, rows_per_salt: int | None) -> DataFrame:
@@ -47,16 +44,16 @@ def connected_components(
     edges: DataFrame, src: str = "src", dst: str = "dst", id_field: str = "id", rows_per_salt: int | None = None
 ) -> DataFrame:
     """``(id, group)`` for every node of an edge, ``group`` being the smallest id of its component."""
+    spark = edges.sparkSession
     a, b = F.col(src), F.col(dst)
     current = edges.filter(a != b).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
-    current = materialize(current, "edges")
-    for _ in range(MAX_ROUNDS):
-        if _settled(current):
-            break
-        current = materialize(_large_star(current, rows_per_salt), "large-star")
-        current = materialize(_small_star(current, rows_per_salt), "small-star")
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+    path = scratch_path(spark, "edges")
+    current = materialize(current, "edges", path)
+    while not _settled(current):  # the number of rounds grows with the logarithm of the nodes
+        for step, name in ((_large_star, "large-star"), (_small_star, "small-star")):
+            previous, path = path, scratch_path(spark, name)
+            current = materialize(step(current, rows_per_salt), name, path)
+            discard(spark, previous)
     members = current.select(F.col("hi").alias(id_field), F.col("lo").alias("group"))
     centres = current.select("lo").distinct().select(F.col("lo").alias(id_field), F.col("lo").alias("group"))
     return members.unionByName(centres)

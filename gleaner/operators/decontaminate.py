@@ -1,33 +1,88 @@
 """Remove from documents the passages that also occur in evaluation tasks.
 
-A passage is a run of ``n`` words, letter case ignored.  The benchmark's passages are the small side, but not
-assumed to be: they are counted, broadcast up to a limit, and beyond it joined by a shuffle that spreads
-passages found in very many documents.
+A passage is a run of ``n`` words of a task, or all its words if it has fewer.  Words are runs of letters and digits;
+letter case and punctuation are ignored.  Documents are never shuffled or exploded: each goes once through an Arrow batch
+per block of passages.  There a word becomes its number in the passages' vocabulary, most become none; rolling hashes
+of the numbers name the few places that are compared in full.  Passages are taken in blocks of a bounded number, so what a
+task holds does not grow with the benchmark.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
+from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import compute_once, words
-from gleaner.operators.skew import join_by_heavy_key
-from gleaner.session import materialize
-
-BROADCAST_PASSAGES = 500_000
-_WORD = re.compile(r"\S+")
-
-
-def _passages(df: DataFrame, id_field: str, text_field: str, n: int) -> DataFrame:
-    """``(id, pos, passage)``, one row per word position that begins a run of n words."""
-    split = compute_once(df.select(id_field, text_field), _words=words(F.lower(text_field)))
-    starts = F.sequence(F.lit(1), F.size("_words") - n + 1)
-    runs = F.transform(starts, lambda i: F.array_join(F.slice("_words", i, n), " "))
-    long_enough = split.filter(F.size("_words") >= n)
-    return long_enough.select(id_field, F.posexplode(runs).alias("pos", "passage"))
+BLOCK_CHARS = 4_000_000  # characters of tasks whose passages make one block
+_WORD = re.compile(r"[^\W_]+")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Passages:
+    """The passages of one block of tasks, by length."""
+
+    def __init__(self, texts: Iterable[str], n: int):
+        self.vocabulary: dict[str, int] = {}
+        self.runs: dict[int, set[bytes]] = defaultdict(set)
+        for text in texts:
+            words = _WORD.findall(text.lower())
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint64)
+            size = min(n, len(ids))
+            self.runs[size].update(ids[at : at + size].tobytes() for at in range(len(ids) - size + 1) if size)
+        self.names = {}
+        for size, runs in self.runs.items():
+            if size and runs:
+                table = np.frombuffer(b"".join(runs), np.uint64)  # each run begins at a multiple of its size
+                self.names[size] = np.unique(self._names(table, size)[::size])
+
+    @staticmethod
+    def _names(ids: np.ndarray, size: int) -> np.ndarray:
+        """Hash of each run of ``size`` numbers, modulo 2^64."""
+        count = len(ids) - size + 1
+        name = np.zeros(max(count, 0), np.uint64)
+        for k in range(size):
+            name = name * _BASE + ids[k : k + count]
+        return name ^ (name >> np.uint64(31))
+
+    def hits(self, text: str) -> list[tuple[int, int]]:
+        """Place and number of words of every passage in the text."""
+        known = self.vocabulary
+        ids = np.array([known.get(w, 0) for w in _WORD.findall(text.lower())], np.uint64)
+        found = []
+        for size, names in self.names.items():
+            if len(ids) >= size:
+                for at in np.flatnonzero(np.isin(self._names(ids, size), names)).tolist():
+                    if ids[at : at + size].tobytes() in self.runs[size]:
+                        found.append((at, size))
+        return sorted(found)
+
+
+def _finder(shared):
+    @F.pandas_udf("array<struct<pos int, n_words int>>")
+    def find(texts: pd.Series) -> pd.Series:
+        return pd.Series([[] if t is None else [{"pos": p, "n_words": k} for p, k in shared.value.hits(t)] for t in texts], dtype=object)
+
+    return find.asNondeterministic()
+
+
+def with_hits(df: DataFrame, benchmark: DataFrame, n: int, text_field: str, benchmark_text: str, hits: str, block_chars: int) -> DataFrame:
+    """Add ``hits``: the places and lengths of all benchmark passages, an empty array for none or a null text."""
+    spark = df.sparkSession
+    tasks = benchmark.select(F.col(benchmark_text).alias("text")).filter("text IS NOT NULL").distinct()
+    blocks = 1 + (tasks.agg(F.sum(F.length("text"))).first()[0] or 0) // block_chars
+    parts = []
+    for block in range(blocks):
+        mine = tasks.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
+        shared = spark.sparkContext.broadcast(Passages([r["text"] for r in mine.collect()], n))  # about block_chars characters
+
+        parts.append(f"{hits}_{block}")
+        df = df.withColumn(parts[-1], _finder(shared)(text_field))
+    return df.withColumn(hits, F.array_sort(F.array_distinct(F.concat(*parts)))).drop(*parts)
 
 
 def contaminated_positions(
@@ -37,36 +92,25 @@ def contaminated_positions(
     id_field: str = "id",
     text_field: str = "text",
     benchmark_text: str = "text",
-    broadcast_limit: int = BROADCAST_PASSAGES,
-    rows_per_salt: int | None = None,
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
-    """``(id, pos)`` of each benchmark passage in a document, ``pos`` being its first word, 0-based."""
-    tasks = benchmark.select(F.monotonically_increasing_id().alias("_item"), F.col(benchmark_text).alias("_text"))
-    known = materialize(_passages(tasks, "_item", "_text", n).select("passage").distinct(), "passages")
-    found = _passages(df, id_field, text_field, n)
-    if known.count() <= broadcast_limit:
-        hits = found.join(F.broadcast(known), "passage", "left_semi")
-    else:
-        # Passages travel as 128-bit names, a tenth of their length.
-        name = [F.xxhash64("passage").alias("h1"), F.xxhash64(F.lit(1), "passage").alias("h2")]
-        found, known = found.select(id_field, "pos", *name), known.select(*name)
-        weights = found.groupBy("h1", "h2").agg(F.count("*").alias("n"))
-        hits = join_by_heavy_key(found, known, ["h1", "h2"], weights, "left_semi", rows_per_salt)
-    return hits.select(id_field, "pos")
-
-
-def _without(text: Column, positions: Column, n: int, min_chars: int) -> Column:
+    """``(id, pos, n_words)`` of each benchmark passage in a document, ``pos`` being its first word, 0-based."""
+    found = with_hits(df.select(id_field, text_field), benchmark, n, text_field, benchmark_text, "_hits", block_chars)
+    return found.select(id_field, F.inline("_hits"))
+
+
+def _without(text: Column, hits: Column, min_chars: int) -> Column:
     @F.pandas_udf("array<string>")
-    def pieces(texts: pd.Series, hits: pd.Series) -> pd.Series:
+    def pieces(texts: pd.Series, found: pd.Series) -> pd.Series:
         rows = []
-        for t, starts in zip(texts, hits):
+        for t, places in zip(texts, found):
             if t is None:
                 rows.append(None)
                 continue
             spans = [m.span() for m in _WORD.finditer(t)]
             cuts, at = [], 0
-            for p in sorted(starts):
-                begin, end = spans[p][0], spans[p + n - 1][1]
+            for place in places:
+                begin, end = spans[place["pos"]][0], spans[place["pos"] + place["n_words"] - 1][1]
                 if begin > at:
                     cuts.append(t[at:begin])
                 at = max(at, end)
@@ -74,7 +118,7 @@ def _without(text: Column, positions: Column, n: int, min_chars: int) -> Column:
             rows.append([c.strip() for c in cuts if len(c.strip()) >= max(min_chars, 1)])
         return pd.Series(rows, dtype=object)
 
-    return pieces.asNondeterministic()(text, positions)
+    return pieces.asNondeterministic()(text, hits)
 
 
 def remove_contaminated_sections(
@@ -83,30 +127,35 @@ def remove_contaminated_sections(
     n: int = 13,
     id_field: str = "id",
     text_field: str = "text",
-    min_chars: int = 200,
-    max_pieces: int = 10,
-    **options,
+    min_chars: int = 0,
+    max_pieces: int | None = None,
+    benchmark_text: str = "text",
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Cut the passages out.  A touched document becomes one row per remaining piece, numbered in ``piece``.
 
-    Pieces under ``min_chars`` are dropped, and documents that fall into more than ``max_pieces`` pieces go
-    altogether.  Untouched documents stay as they are, with piece 0.
+    Every piece that is not blank is kept.  On request, pieces under ``min_chars`` go, and documents that fall into more
+    than ``max_pieces``.  Untouched documents stay as they are, with piece 0.
     """
-    hits = contaminated_positions(df, benchmark, n, id_field, text_field, **options)
-    touched = materialize(hits.groupBy(id_field).agg(F.collect_set("pos").alias("_positions")), "contaminated")
-    joined = df.join(touched, id_field, "left")
-    hit = F.col("_positions").isNotNull()
-    # Only the text of touched documents goes to Python.
-    cut = joined.withColumn("_cut", _without(F.when(hit, F.col(text_field)), F.col("_positions"), n, min_chars))
-    kept = cut.filter(~hit | (F.size("_cut") <= max_pieces))
+    found = with_hits(df, benchmark, n, text_field, benchmark_text, "_hits", block_chars)
+    hit = F.size("_hits") > 0
+    # Only the text of touched documents is cut.
+    cut = found.withColumn("_cut", _without(F.when(hit, F.col(text_field)), F.col("_hits"), min_chars))
+    if max_pieces is not None:
+        cut = cut.filter(~hit | (F.size("_cut") <= max_pieces))
     pieces = F.when(hit, F.col("_cut")).otherwise(F.array(text_field))
-    rows = kept.select(*df.columns, F.posexplode(pieces).alias("piece", "_piece"))
+    rows = cut.select(*df.columns, F.posexplode(pieces).alias("piece", "_piece"))
     return rows.withColumn(text_field, F.col("_piece")).drop("_piece")
 
 
 def remove_contaminated_documents(
-    df: DataFrame, benchmark: DataFrame, n: int = 13, id_field: str = "id", text_field: str = "text", **options
+    df: DataFrame,
+    benchmark: DataFrame,
+    n: int = 13,
+    id_field: str = "id",
+    text_field: str = "text",
+    benchmark_text: str = "text",
+    block_chars: int = BLOCK_CHARS,
 ) -> DataFrame:
     """Drop every document with a benchmark passage."""
-    hits = contaminated_positions(df, benchmark, n, id_field, text_field, **options)
-    return df.join(hits.select(id_field).distinct(), id_field, "left_anti")
+    return with_hits(df, benchmark, n, text_field, benchmark_text, "_hits", block_chars).filter(F.size("_hits") == 0).drop("_hits")

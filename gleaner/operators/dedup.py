@@ -15,8 +15,8 @@ def _prints(df: DataFrame, id_field: str, text_field: str, hash_method: str, cac
     """``(id, _hashes)`` per document, written once: the text is read and hashed a single time."""
     if hash_method != "md5":
         raise ValueError("md5 is the only hash method")
-    text = F.coalesce(F.col(text_field), F.lit(""))
-    prints = df.select(id_field, F.md5(text).alias(HASH))
+    # A null text is no copy of another.
+    prints = df.filter(F.col(text_field).isNotNull()).select(id_field, F.md5(text_field).alias(HASH))
     return materialize(prints, "prints", f"{cache_dir}/prints" if cache_dir else None)
 
 

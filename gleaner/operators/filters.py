@@ -74,10 +74,11 @@ class TextFilter:
     uses: frozenset[str] = field(default_factory=frozenset)
     top_ns: tuple[int, ...] = ()
     dup_ns: tuple[int, ...] = ()
+    python: bool = False  # the score runs in Python, so it comes after the native filters
 
     @property
     def native(self) -> bool:
-        return not (self.top_ns or self.dup_ns)
+        return not (self.top_ns or self.dup_ns or self.python)
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -97,7 +98,9 @@ def _uses(*names: str) -> frozenset[str]:
 
 
 def word_count(min_words: int = 50, max_words: int = 100_000, lang: str = "en") -> TextFilter:
-    """Number of words within bounds.  ``lang`` is accepted for languages that put spaces between words."""
+    """Number of words within bounds.  Words are parted by white space, so ``lang`` must be a language that does so."""
+    if lang.lower()[:2] in ("zh", "ja", "th", "lo", "km", "my"):
+        raise ValueError(f"words of {lang} are not parted by white space")
     return TextFilter(
         "word_count", lambda t: F.size(t.words), lambda s: s.between(min_words, max_words), _uses("words")
     )
@@ -288,7 +291,7 @@ def python_filter(
 
         return scores.asNondeterministic()(text)
 
-    return TextFilter(name, lambda t: scored(t.text), keep)
+    return TextFilter(name, lambda t: scored(t.text), keep, python=True)
 
 
 _DERIVED = {"words": words, "lines": lines, "line_ends": line_ends, "paragraphs": paragraphs, "lower": F.lower}

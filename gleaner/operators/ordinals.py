@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gleaner.session import materialize
 
+BROADCAST_FILES = 1_000_000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the place within the partition in its low 33 bits
 
 
@@ -53,18 +54,34 @@ def with_ordinal(
     return out.select(*df.columns, (F.col("_offset") + F.col("_place")).alias(ordinal), *(running or {}))
 
 
+def file_offsets(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``(_f1, _f2, _file, _rows, _offset)``: each file, named by 128 bits of hash, with the rows before it; a written table.
+
+    Files in sorted order; only row counts are read, no column of the rows.
+    """
+    df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+    counts = df.select(F.col("_metadata.file_path").alias("_file")).groupBy("_file").agg(F.count("*").alias("_rows"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    offset = F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
+    return materialize(counts.select(*_file_name(F.col("_file")), "_file", "_rows", offset), "file-offsets")
+
+
+def _file_name(path: Column) -> list[Column]:
+    return [F.xxhash64(path).alias("_f1"), F.xxhash64(F.lit(1), path).alias("_f2")]
+
+
 def read_with_position(spark: SparkSession, paths: str | Sequence[str], ordinal: str = "ordinal") -> DataFrame:
     """Parquet rows with their 0-based place in (file, row) order, without sorting or shuffling any row.
 
-    The place inside a file comes with the scan, and the rows per file are one small table.
+    The place inside a file comes with the scan.  The offsets, 24 bytes a file, are broadcast when the count of the files
+    shows that they are few enough; with more files the join is the planner's.
     """
     df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
-    placed = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    counts = placed.groupBy("_file").agg(F.count("*").alias("_rows"))
-    # Files in sorted order; one row per file, joined as its size allows.
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_file", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    return placed.join(offsets, "_file").select(*df.columns, (F.col("_offset") + F.col("_row")).alias(ordinal))
+    offsets = file_offsets(spark, paths).select("_f1", "_f2", "_offset")
+    if offsets.count() <= BROADCAST_FILES:
+        offsets = F.broadcast(offsets)
+    placed = df.select("*", *_file_name(F.col("_metadata.file_path")), F.col("_metadata.row_index").alias("_row"))
+    return placed.join(offsets, ["_f1", "_f2"]).select(*df.columns, (F.col("_offset") + F.col("_row")).alias(ordinal))
 
 
 def id_of(ordinal: Column, prefix: str, start_index: int = 0) -> Column:
@@ -99,11 +116,14 @@ def add_id_by_position(
 
 def row_at(spark: SparkSession, paths: str | Sequence[str], index: int) -> DataFrame:
     """The row at a place in (file, row) order; an error when there are fewer rows."""
-    rows = read_with_position(spark, paths)
-    found = rows.filter(F.col("ordinal") == index)
-    if found.isEmpty():
-        raise IndexError(f"index {index} out of range, {rows.count()} rows")
-    return found
+    offsets = file_offsets(spark, paths)
+    holder = offsets.filter((F.col("_offset") <= index) & (F.col("_offset") + F.col("_rows") > index)).first()
+    if index < 0 or holder is None:
+        raise IndexError(f"index {index} out of range, {offsets.agg(F.sum('_rows')).first()[0] or 0} rows")
+    # Only the file that holds the row is read.
+    df = spark.read.parquet(holder["_file"])
+    found = df.filter(F.col("_metadata.row_index") == index - holder["_offset"])
+    return found.select(*df.columns, F.lit(index).cast("bigint").alias("ordinal"))
 
 
 def split_by_order(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.tokenize import Tokenizer, hashed_tokens
@@ -31,9 +31,7 @@ def token_offsets(tokenised: DataFrame, id_field: str = "id") -> DataFrame:
 
 def sample_pieces(offsets: DataFrame, seq_length: int) -> DataFrame:
     """One row per document and sample it reaches into: ``sample``, ``begin`` in the document, ``length``."""
-    first = F.col("start").cast("bigint")
-    last = first + F.col("n_tokens") - 1
-    spread = F.sequence(F.floor(first / seq_length), F.floor(last / seq_length))
+    spread = F.sequence(F.expr(f"CAST(start AS BIGINT) div {seq_length}"), F.expr(f"(CAST(start AS BIGINT) + n_tokens - 1) div {seq_length}"))
     pieces = offsets.filter(F.col("n_tokens") > 0).withColumn("sample", F.explode(spread))
     low = F.greatest(F.col("start"), F.col("sample") * seq_length)
     high = F.least(F.col("start") + F.col("n_tokens"), (F.col("sample") + 1) * seq_length)
@@ -54,10 +52,17 @@ def pack_samples(tokenised: DataFrame, seq_length: int, id_field: str = "id", dr
     """
     tokenised = materialize(tokenised, "tokens")
     offsets = token_offsets(tokenised, id_field)
-    rows = tokenised.select(id_field, "tokens").join(offsets, id_field)
-    pieces = sample_pieces(rows, seq_length).select(
-        "sample", F.struct("start", F.slice("tokens", F.col("begin") + 1, F.col("length")).alias("part")).alias("piece")
-    )
+    rows = tokenised.select(id_field, "tokens").join(offsets, id_field).filter("n_tokens > 0")
+    first, last = (F.expr(f"(CAST(start AS BIGINT) + {x}) div {seq_length}") for x in ("0", "n_tokens - 1"))
+
+    def part(sample: Column) -> Column:
+        low = F.greatest(F.col("start"), sample * seq_length) - F.col("start")
+        high = F.least(F.col("start") + F.col("n_tokens"), (sample + 1) * seq_length) - F.col("start")
+        tokens = F.slice("tokens", (low + 1).cast("int"), (high - low).cast("int"))
+        return F.struct(sample.alias("sample"), F.struct(F.col("start"), tokens.alias("part")).alias("piece"))
+
+    # The slices are made before the rows multiply, so that no row carries the whole document along.
+    pieces = rows.select(F.transform(F.sequence(first, last), part).alias("_parts")).select(F.inline("_parts"))
     samples = pieces.groupBy("sample").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list("piece")), lambda p: p["part"])).alias("tokens")
     )

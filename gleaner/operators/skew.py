@@ -4,8 +4,9 @@ A key may stand for a third of all rows (a popular text, a full LSH bucket, the
 shuffle join puts them all in one task.  Here the heaviest keys are found first and only their rows are
 spread over extra partitions, with the one matching table row copied to each.
 
-The list of heavy keys is broadcast.  It has at most ``HOT_KEYS`` rows whatever the data size, and a key
-outside it can hold at most 1/HOT_KEYS of all rows, since there are HOT_KEYS heavier ones.
+The list of heavy keys is written once and broadcast.  A key is heavy when it has more rows than a part shall hold; as
+that limit follows the rows of all keys over ``ROWS_PER_SALT``, there are never more than ``PARTS`` heavy keys, and no
+other key holds more than 1/PARTS of all rows or ROWS_PER_SALT, whichever is more.
 """
 
 from __future__ import annotations
@@ -15,7 +16,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_KEYS = 1000
+from gleaner.session import materialize
+
+PARTS = 10_000
 ROWS_PER_SALT = 250_000
 
 
@@ -34,14 +37,11 @@ def join_by_heavy_key(
     """
     keys = [key] if isinstance(key, str) else list(key)
     per_salt = rows_per_salt or ROWS_PER_SALT
-    hot = (
-        weights.filter(F.col("n") > per_salt)
-        .select(*keys, "n")
-        .orderBy(F.desc("n"))
-        .limit(HOT_KEYS)
-        .select(*keys, F.ceil(F.col("n") / per_salt).alias("_salts"))
-    )
-    hot = F.broadcast(hot)  # at most HOT_KEYS rows of key and number
+    # Both sides must see the same list, so it is written and not worked out twice.
+    large = materialize(weights.filter(F.col("n") > per_salt).select(*keys, "n"), "heavy-keys")
+    per_part = max(per_salt, (large.agg(F.sum("n")).first()[0] or 0) // PARTS)
+    hot = large.filter(F.col("n") > per_part).select(*keys, F.ceil(F.col("n") / per_part).alias("_salts"))
+    hot = F.broadcast(hot)  # at most PARTS rows of key and number
     others = [c for c in rows.columns if c not in keys]
     spread = F.pmod(F.xxhash64(*(others or keys)), F.col("_salts"))
     left = rows.join(hot, keys, "left").withColumn("_salt", F.coalesce(spread, F.lit(0).cast("bigint"))).drop("_salts")

@@ -39,8 +39,14 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def input_partitions(spark: SparkSession) -> int | None:
+    """A number of partitions that the session asks for, for small tables of a single row group; unset, the scan decides."""
+    asked = spark.conf.get("spark.gleaner.inputPartitions", None)
+    return int(asked) if asked else None
+
+
 def load(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
-    return readers.read_documents(spark, f"{sf_dir}/{table}.parquet", columns=columns or None, spread=True)
+    return readers.read_documents(spark, f"{sf_dir}/{table}.parquet", columns=columns or None, partitions=input_partitions(spark))
 
 
 def docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -85,7 +91,7 @@ def read_json_files(spark, sf_dir):
 def read_gzipped_json(spark, sf_dir):
     path = scratch_path(spark, "gzip")
     docs(spark, sf_dir, "doc_id", "text").write.option("compression", "gzip").json(path)
-    return readers.read_documents(spark, f"{path}/*.json.gz", "json", "doc_id bigint, text string", spread=True)
+    return readers.read_documents(spark, f"{path}/*.json.gz", "json", "doc_id bigint, text string")
 
 
 @query
@@ -102,8 +108,16 @@ def read_projected_columns(spark, sf_dir):
 
 @query
 def files_without_required_columns(spark, sf_dir):
-    found = readers.missing_columns(spark, f"{sf_dir}/*.parquet", ["text"])
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.array_join("missing", ",").alias("missing"))
+    """The documents in four shards, one of them without its text: the shard, the column it lacks, and its rows."""
+    path = scratch_path(spark, "shards")
+    for k in range(4):
+        shard = docs(spark, sf_dir).filter(F.col("doc_id") % 4 == k)
+        (shard.drop("text") if k == 3 else shard).write.parquet(f"{path}/shard-{k}")
+    found = readers.missing_columns(spark, f"{path}/*/*.parquet", ["doc_id", "text"])
+    rows = spark.read.schema("doc_id bigint").parquet(f"{path}/*").groupBy(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("file"))
+    bad = found.withColumn("file", F.element_at(F.split("path", "/"), -1)).join(rows.agg(F.count("doc_id").alias("n_rows")), "file")
+    shard = F.element_at(F.split("path", "/"), -2)
+    return bad.groupBy(shard.alias("shard"), F.array_join("missing", ",").alias("missing")).agg(F.sum("n_rows").alias("n_rows"))
 
 
 # --- sinks ---------------------------------------------------------------------------------------------------
@@ -273,7 +287,8 @@ def curate_web_corpus(spark, sf_dir):
 
 @query
 def curate_pretraining_corpus(spark, sf_dir):
-    return curation.curate_pretraining_corpus(spark, f"{sf_dir}/documents.parquet", "HI").select("doc_id", "id")
+    found = curation.curate_pretraining_corpus(spark, f"{sf_dir}/documents.parquet", "HI", partitions=input_partitions(spark))
+    return found.select("doc_id", "id")
 
 
 # --- joins, grouping, order, sets ----------------------------------------------------------------------------
@@ -286,9 +301,9 @@ def remove_listed_ids(spark, sf_dir):
 
 
 def _line_buckets(spark, sf_dir):
-    """Documents by the long lines they hold: buckets whose members SQL can name as well."""
-    long_lines = F.array_distinct(F.filter(lines(F.col("text")), lambda s: F.length(s) >= 40))
-    return materialize(docs(spark, sf_dir).select("doc_id", F.explode(long_lines).alias("line")), "line-buckets")
+    """Documents by the lines they hold: buckets whose members SQL can name as well."""
+    held = F.array_distinct(lines(F.col("text")))
+    return materialize(docs(spark, sf_dir).select("doc_id", F.explode(held).alias("line")), "line-buckets")
 
 
 @query
@@ -376,8 +391,12 @@ def head_of_corpus(spark, sf_dir):
 
 @query
 def sorted_input_files(spark, sf_dir):
-    files = readers.input_files(spark, f"{sf_dir}/*.parquet")
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    """The documents in named shards: each row's shard and its place in sorted file order."""
+    path = scratch_path(spark, "shards")
+    sharded = docs(spark, sf_dir, "doc_id").withColumn("shard", F.format_string("shard-%02d", F.col("doc_id") % 3))
+    ordered = sharded.repartitionByRange(4, "shard", "doc_id").sortWithinPartitions("shard", "doc_id")
+    ordered.withColumn("folder", F.col("shard")).write.partitionBy("folder").parquet(path)
+    return ordinals.read_with_position(spark, path, "place").select("doc_id", "shard", "place")
 
 
 @query
@@ -466,6 +485,31 @@ for _f in (
     _filter_query(f"filter_{_f.name}", _f)
 
 
+def _odd_texts(spark, sf_dir):
+    """Texts with URLs, bullets, ellipses, boilerplate and paragraphs, made of every page and conversation turn."""
+    pages = load(spark, sf_dir, "pages", "page_id", "url", "html")
+    said = load(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    line = F.regexp_replace(F.left("html", F.lit(400)), "[<>\n]", " ")
+    note = F.element_at(F.array(*map(F.lit, ("We use cookies.", "Lorem ipsum dolor.", "Plain end.", "See our Privacy Policy"))), (F.col("page_id") % 4 + 1).cast("int"))
+    page = F.concat_ws("\n\n", F.concat(F.lit("* "), "url"), line, F.when(F.col("page_id") % 3 == 0, line), F.concat(F.lit("- see http://"), F.col("page_id"), F.lit(".org ...")), note)
+    turn = F.concat_ws("\n", F.concat(F.lit("• "), F.regexp_replace("text", "\n", " ")), F.when(F.col("turn") % 2 == 0, F.lit("and so on…")), F.lit("www.example.org/x"))
+    rows = pages.select((F.col("page_id") * 1000 + 999).alias("doc_id"), page.alias("text"))
+    return rows.unionByName(said.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), turn.alias("text")))
+
+
+def _odd_filter_query(filt: filters.TextFilter) -> None:
+    def run(spark, sf_dir):
+        scored = filters.FilterCascade([filt]).scores(_odd_texts(spark, sf_dir)).drop("text")
+        kept = F.coalesce(filt.keep(F.col(filt.name)), F.lit(False))
+        return scored.select("doc_id", F.col(filt.name).cast("double").alias("score"), kept.alias("kept"))
+
+    register(f"filter_{filt.name}_on_pages", run)
+
+
+for _f in (filters.urls(), filters.boilerplate(), filters.unique_paragraphs(), filters.unique_paragraph_chars(), filters.ellipsis(), filters.bullets()):
+    _odd_filter_query(_f)
+
+
 def _ngram_scores(spark, sf_dir, group: list[filters.TextFilter]):
     scored = filters.FilterCascade(group).scores(docs(spark, sf_dir))
     rows = [F.struct(F.lit((f.top_ns or f.dup_ns)[0]).alias("n"), F.col(f.name).alias("score")) for f in group]
@@ -583,26 +627,49 @@ def pii_redaction_of_all_types(spark, sf_dir):
 # --- classifiers ---------------------------------------------------------------------------------------------
 
 
+def _halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One half to train on, the other to predict."""
+    first = hash_unit("half", "doc_id") < 0.5
+    return df.filter(first), df.filter(~first)
+
+
 @query
 def identify_language(spark, sf_dir):
-    corpus = docs(spark, sf_dir, "doc_id", "text", "lang")
-    scored = classify.identify_language(corpus.select("doc_id", "text"), classify.train_language_model(corpus))
+    """Trained on one half of the documents, predicted for the other."""
+    known, rest = _halves(docs(spark, sf_dir, "doc_id", "text", "lang"))
+    scored = classify.identify_language(rest.select("doc_id", "text"), classify.train_language_model(known))
     return scored.select("doc_id", classify.language_code().alias("language"))
 
 
+@query
+def drop_unsure_language(spark, sf_dir):
+    """Each text of one half as it is and in a script the model has not seen; the least score drops the latter."""
+    known, rest = _halves(docs(spark, sf_dir, "doc_id", "text", "lang"))
+    model = classify.train_language_model(known)
+    long_enough = rest.filter(F.length("text") >= 40).select("doc_id", "text", F.lit(False).alias("foreign"))
+    letters = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ")
+    foreign = long_enough.select("doc_id", F.regexp_replace(letters, "[^а-я]", "я").alias("text"), F.lit(True).alias("foreign"))
+    scored = classify.identify_language(long_enough.unionByName(foreign), model, min_score=MIN_LANGUAGE_SCORE)
+    return scored.select("doc_id", "foreign", classify.language_code().alias("language"))
+
+
+DOMAIN_OF_LANGUAGE = {"en": "News", "de": "Science", "fr": "Finance", "es": "Sports"}
+MIN_LANGUAGE_SCORE = 0.15
+
+
 @query
 def classify_domain(spark, sf_dir):
-    """Trained on the source of a document as a stand-in for a labelled domain."""
-    names = F.array(*[F.lit(d) for d in classify.DOMAINS])
-    place = F.substring("source", 4, 10).cast("int") % len(classify.DOMAINS)
-    corpus = docs(spark, sf_dir, "doc_id", "text", "source").withColumn("domain", F.get(names, place))
-    model = classify.train_domain_model(corpus)
-    return classify.classify_domain(corpus.select("doc_id", "text"), model).select("doc_id", "domain_pred")
+    """Domains that the words of a text tell, trained on one half of the documents and predicted for the other."""
+    names = F.create_map(*[F.lit(x) for pair in DOMAIN_OF_LANGUAGE.items() for x in pair])
+    known, rest = _halves(docs(spark, sf_dir, "doc_id", "text", "lang").withColumn("domain", names[F.col("lang")]))
+    scored = classify.classify_domain(rest.select("doc_id", "text"), classify.train_domain_model(known))
+    return scored.select("doc_id", "domain_pred")
 
 
 def _by_quality(spark, sf_dir):
     labels = load(spark, sf_dir, "labels", "doc_id", "quality")
-    return docs(spark, sf_dir).join(labels, "doc_id")
+    # Read for the counts and the samples of both classes, so joined and written once.
+    return materialize(docs(spark, sf_dir).join(labels, "doc_id"), "graded")
 
 
 def _training_set(spark, sf_dir, n=200):
@@ -705,7 +772,7 @@ def confirmed_fuzzy_duplicates(spark, sf_dir):
 def contaminated_positions(spark, sf_dir):
     return decontaminate.contaminated_positions(
         docs(spark, sf_dir), load(spark, sf_dir, "benchmark", "text"), id_field="doc_id"
-    ).withColumn("pos", F.col("pos").cast("bigint"))
+    ).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.col("n_words").cast("bigint").alias("n_words"))
 
 
 @query

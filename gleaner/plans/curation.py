@@ -15,7 +15,7 @@ from gleaner.operators.compose import Modify, ScoreFilter, Sequential, skip_if_e
 from gleaner.operators.dedup import remove_exact_duplicates
 from gleaner.operators.ordinals import add_id_by_position
 from gleaner.session import materialize
-from gleaner.sources.readers import spread_few_files
+from gleaner.sources.readers import deal_out
 
 HEURISTICS = str(Path(__file__).parent.parent / "config" / "heuristic_filter_non_en.yaml")
 
@@ -59,13 +59,16 @@ def curate_pretraining_corpus(
     id_prefix: str,
     stage_dir: str | None = None,
     config: str = HEURISTICS,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Number, reformat, remove exact copies, apply the quality heuristics to a parquet corpus.
 
     Ids come from the place in the files, so numbering moves no text.  The reformatted corpus is written once, as
     both the hashing and the filtering read it; with ``stage_dir`` a rerun goes on from what is there.
     """
-    numbered = spread_few_files(add_id_by_position(spark, paths, "id", id_prefix))
+    numbered = add_id_by_position(spark, paths, "id", id_prefix)
+    if partitions:
+        numbered = deal_out(numbered, partitions)
     formatted = Modify(reformat_unicode)(numbered)
     if stage_dir:
         fresh = formatted

@@ -20,6 +20,9 @@ MARKS = '[.!?"”]'
 UNIT = "('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0"
 
 
+HELD_OUT = f"NOT {UNIT.format(chr(39) + 'half:' + chr(39) + ' || doc_id')} < 0.5"
+
+
 def _ids(text: str) -> str:
     return f"list_transform(regexp_extract_all({text}, '{PIECE}'), lambda p: ('0x' || substr(md5(p), 1, 8))::BIGINT % 65536)"
 
@@ -50,7 +53,7 @@ SAMPLES = f"""
          sum(least(start + n, (sample + 1) * 512) - greatest(start, sample * 512))::BIGINT AS n_tokens
   FROM ({PIECES}) GROUP BY sample"""
 
-LINE_BUCKETS = f"SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest({LINES}) AS line FROM documents) WHERE length(line) >= 40"
+LINE_BUCKETS = f"SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest({LINES}) AS line FROM documents)"
 LINE_EDGES = f"""
   SELECT DISTINCT src, dst FROM (SELECT doc_id AS src, min(doc_id) OVER (PARTITION BY line) AS dst FROM ({LINE_BUCKETS}))
   WHERE src <> dst"""
@@ -179,6 +182,15 @@ def _spans(name: str) -> str:
              {score}::DOUBLE AS score, hits[k] AS value FROM ({each})"""
 
 
+ODD_FILTERS = ("urls", "boilerplate", "unique_paragraphs", "unique_paragraph_chars", "ellipsis", "bullets")
+_LINE = "regexp_replace(left(html, 400), '[<>\\n]', ' ', 'g')"
+ODD_TEXTS = f"""
+  SELECT page_id * 1000 + 999 AS doc_id, concat_ws(chr(10) || chr(10), '* ' || url, {_LINE}, CASE WHEN page_id % 3 = 0 THEN {_LINE} END,
+    '- see http://' || page_id || '.org ...', ['We use cookies.', 'Lorem ipsum dolor.', 'Plain end.', 'See our Privacy Policy'][page_id % 4 + 1]) AS text
+  FROM pages
+  UNION ALL SELECT conv_id * 1000 + turn, concat_ws(chr(10), '• ' || replace(text, chr(10), ' '), CASE WHEN turn % 2 = 0 THEN 'and so on…' END,
+    'www.example.org/x') FROM conversations"""
+
 _RANDOM = "md5('42:' || {0})"
 _COMPONENTS = f"""
   WITH RECURSIVE e AS ({LINE_EDGES}),
@@ -187,16 +199,17 @@ _COMPONENTS = f"""
   SELECT a AS doc_id, min(b) AS "group" FROM reach GROUP BY a"""
 
 _SHINGLES = "list_distinct(list_transform(range(1, greatest(length({0}) - 23, 1) + 1), lambda i: substr({0}, i, 24)))"
-_GRAM13 = " || ' ' || ".join(["word", *[f"lead(word, {k}) OVER d" for k in range(1, 13)]])
-
-
-def _grams13(table: str, key: str) -> str:
-    split = f"SELECT {key}, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '') AS w FROM {table}"
-    places = f"SELECT {key}, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM ({split})"
-    return f"SELECT {key}, p - 1 AS pos, {_GRAM13} AS g FROM ({places}) WINDOW d AS (PARTITION BY {key} ORDER BY p)"
-
-
-_HITS = f"SELECT doc_id, pos FROM ({_grams13('documents', 'doc_id')}) WHERE g IN (SELECT g FROM ({_grams13('benchmark', 'item_id')}) WHERE g IS NOT NULL)"
+_TASK_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_PASSAGES = f"""
+  SELECT DISTINCT m, array_to_string(w[p : p + m - 1], ' ') AS g
+  FROM (SELECT w, least(13, len(w)) AS m, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS p
+        FROM (SELECT {_TASK_WORDS} AS w FROM benchmark) WHERE len(w) > 0)"""
+_HITS = f"""
+  SELECT doc_id, p - 1 AS pos, m AS n_words
+  FROM (SELECT doc_id, m, p, array_to_string(w[p : p + m - 1], ' ') AS g
+        FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS p
+              FROM (SELECT doc_id, {_TASK_WORDS} AS w FROM documents), (SELECT DISTINCT m FROM ({_PASSAGES})) WHERE len(w) >= m))
+  WHERE (m, g) IN (SELECT (m, g) FROM ({_PASSAGES}))"""
 
 _CURATED = f"""
   SELECT d.doc_id, len({WORDS})::BIGINT AS word_count FROM documents d
@@ -214,9 +227,7 @@ ORACLE: dict[str, str] = {
     "read_gzipped_json": "SELECT doc_id, text FROM documents",
     "read_recursively": "SELECT doc_id FROM documents",
     "read_projected_columns": "SELECT doc_id, source FROM documents",
-    "files_without_required_columns": """
-      SELECT table_name || '.parquet' AS file, 'text' AS missing FROM information_schema.tables
-      WHERE table_name NOT IN (SELECT table_name FROM information_schema.columns WHERE column_name = 'text')""",
+    "files_without_required_columns": "SELECT 'shard-3' AS shard, 'text' AS missing, count(*) AS n_rows FROM documents WHERE doc_id % 4 = 3",
     "write_json_per_source_file": "SELECT doc_id, 'documents.parquet' AS file_name, 'documents.parquet' AS folder FROM documents",
     "write_json_parts": "SELECT doc_id, text FROM documents",
     "write_parquet_parts": "SELECT doc_id, text FROM documents",
@@ -288,7 +299,8 @@ ORACLE: dict[str, str] = {
       SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY doc_id) - 1 < floor(count(*) OVER () * 0.995) THEN 'train' ELSE 'validation' END AS split
       FROM documents""",
     "head_of_corpus": "SELECT doc_id, lang, source FROM documents ORDER BY doc_id LIMIT 3",
-    "sorted_input_files": "SELECT table_name || '.parquet' AS file FROM information_schema.tables",
+    "sorted_input_files": """
+      SELECT doc_id, printf('shard-%02d', doc_id % 3) AS shard, row_number() OVER (ORDER BY doc_id % 3, doc_id) - 1 AS place FROM documents""",
     "row_at_global_index": "SELECT doc_id, text, 123::BIGINT AS ordinal FROM documents ORDER BY doc_id LIMIT 1 OFFSET 123",
     "shuffled_corpus": f"SELECT doc_id, source FROM documents ORDER BY {_RANDOM.format('doc_id')}",
     "sample_about_n": f"SELECT doc_id, lang FROM documents WHERE {UNIT.format(chr(39) + '42:' + chr(39) + ' || doc_id')} * (SELECT count(*) FROM documents) < 100",
@@ -302,6 +314,7 @@ ORACLE: dict[str, str] = {
     "union_of_corpora": "SELECT text FROM documents UNION ALL SELECT text FROM benchmark",
     "every_sample_twice": "SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id, lang FROM documents",
     **{f"filter_{name}": _filter_sql(name) for name in FILTERS},
+    **{f"filter_{name}_on_pages": _filter_sql(name).replace("FROM documents", f"FROM ({ODD_TEXTS})") for name in ODD_FILTERS},
     "filter_top_ngrams": "\nUNION ALL\n".join(_top(n) for n in TOP_LIMITS),
     "filter_duplicate_ngrams": "\nUNION ALL\n".join(_dup(n) for n in DUP_LIMITS),
     "unify_quotes_and_tags": f"""
@@ -327,8 +340,12 @@ ORACLE: dict[str, str] = {
     "over_length_flag": f"SELECT conv_id, turn, len(f) > 512 AS over_length FROM ({TOKENS})",
     "pii_spans": "\nUNION ALL\n".join(_spans(t) for t in PII_TYPES),
     "pii_redaction": f"SELECT doc_id, {_redacted(PII_TYPES)} AS text FROM documents",
-    # The given labels; the model reproduces all of them on this scale.
-    "identify_language": "SELECT doc_id, upper(lang) AS language FROM documents",
+    # The labels of the half that the models have not seen.
+    "identify_language": f"SELECT doc_id, upper(lang) AS language FROM documents WHERE {HELD_OUT}",
+    "drop_unsure_language": f"SELECT doc_id, false AS foreign, upper(lang) AS language FROM documents WHERE {HELD_OUT} AND length(text) >= 40",
+    "classify_domain": f"""
+      SELECT doc_id, CASE lang WHEN 'en' THEN 'News' WHEN 'de' THEN 'Science' WHEN 'fr' THEN 'Finance' ELSE 'Sports' END AS domain_pred
+      FROM documents WHERE {HELD_OUT}""",
     "quality_training_set": f"""
       WITH g AS (SELECT doc_id, text, quality, count(*) OVER (PARTITION BY quality) AS n FROM documents JOIN labels USING (doc_id))
       SELECT doc_id, CASE quality WHEN 1 THEN '__label__hq ' ELSE '__label__lq ' END || regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions.modify import chat_turns, user_turn
@@ -29,15 +29,18 @@ def prepare_jsonl(
 ) -> DataFrame:
     """Write cleaned rows as JSON lines under ``split=train`` and ``split=validation``; returns rows per split.
 
-    A row's split follows from its place in the files, so it needs no id, and one pass writes both sides.
+    A row's split follows from its file's name and its place in it, so it needs no id; one pass writes both sides and
+    counts them.
     """
     require_columns(spark, input_glob, [prompt_col, label_col])
-    rows = _pairs(read_with_position(spark, input_glob, "_place"), prompt_col, label_col, "_place")
-    split = split_train_validation(sft.clean_pairs(rows), val_ratio, ["_place"], seed)
-    out = split.select("prompt", "label", "split").write.mode("overwrite").partitionBy("split")
-    out.option("ignoreNullFields", "false").json(output_dir)
-    written = spark.read.schema("prompt string, label string, split string").json(output_dir)
-    return written.groupBy("split").agg(F.count("*").alias("n_rows"))
+    place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")]
+    rows = _pairs(spark.read.parquet(input_glob), prompt_col, label_col, *place)
+    split = split_train_validation(sft.clean_pairs(rows), val_ratio, ["_file", "_row"], seed)
+    counts = Observation("split")
+    sides = ("train", "validation")
+    counted = split.select("prompt", "label", "split").observe(counts, *(F.count_if(F.col("split") == s).alias(s) for s in sides))
+    counted.write.mode("overwrite").partitionBy("split").option("ignoreNullFields", "false").json(output_dir)
+    return spark.createDataFrame([(s, counts.get[s]) for s in sides if counts.get[s]], "split string, n_rows bigint")
 
 
 def combine_jsonl(

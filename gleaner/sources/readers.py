@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -34,12 +34,13 @@ def read_documents(
     columns: Sequence[str] | None = None,
     add_filename: bool = False,
     recursive: bool = False,
-    spread: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Read a folder, a glob or a list of files.
 
     JSON needs a ``schema``: inferring one would read the whole corpus twice.  ``columns`` reaches the parquet
-    scan.  Gzipped JSON is read as is, but such a file is one task; use ``spread`` for few or unsplittable files.
+    scan.  Split size decides the tasks; a file that cannot be split, such as gzipped JSON, is one.  ``partitions`` deals
+    the rows out anew, a shuffle of all selected columns: give it only for input that is small or cannot be split.
     """
     if file_type == "json" and schema is None:
         raise ValueError("give the schema of JSON input")
@@ -57,20 +58,12 @@ def read_documents(
         df = df.select("*", F.col("_metadata.file_name").alias(FILE_NAME))
     if columns is not None:
         df = df.select(*columns, *([FILE_NAME] if add_filename else []))
-    return spread_few_files(df) if spread else df
+    return deal_out(df, partitions) if partitions else df
 
 
-def spread_few_files(df: DataFrame) -> DataFrame:
-    """Give every core rows when the input has fewer files than cores; otherwise leave the scan alone.
-
-    A small file is often a single row group, and so a single task, whatever the split size.  A large corpus
-    has far more files than cores, and is never shuffled here.  Select the needed columns before.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if len(df.inputFiles()) >= cores:
-        return df
-    # Later filters would otherwise be pushed below the shuffle, to where a single task does all the work.
-    return df.repartition(cores).select(F.inline(F.array(F.struct("*"))))
+def deal_out(df: DataFrame, partitions: int) -> DataFrame:
+    """The rows over a given number of partitions; later filters stay above the shuffle, where all tasks share them."""
+    return df.repartition(partitions).select(F.inline(F.array(F.struct("*"))))
 
 
 def input_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -82,21 +75,32 @@ def input_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return files.orderBy("path")
 
 
-def missing_columns(spark: SparkSession, paths: str | Sequence[str], required: Sequence[str]) -> DataFrame:
+def open_store(path: str):
+    """The pyarrow file system of a path and the path inside it; Spark's names of stores are translated."""
+    from pyarrow import fs
+
+    scheme, mark, rest = path.partition("://")
+    same = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "gs": "gs"}
+    return fs.FileSystem.from_uri(f"{same.get(scheme, scheme)}{mark}{rest}")
+
+
+def missing_columns(
+    spark: SparkSession, paths: str | Sequence[str], required: Sequence[str], store: Callable[[str], tuple] = open_store
+) -> DataFrame:
     """Parquet files that lack a required column, with the columns each one lacks.
 
-    A merged schema would hide a bad file, so each footer is looked at by itself, in tasks.
+    A merged schema would hide a bad file, so each footer is looked at by itself, in tasks.  ``store`` opens a path; give
+    your own for a file system that pyarrow does not know by its name.
     """
     required = list(required)
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.parquet as pq
-        from pyarrow import fs
 
         for batch in batches:
             rows = []
             for path in batch["path"]:
-                system, name = fs.FileSystem.from_uri(path)
+                system, name = store(path)
                 names = pq.read_schema(name, filesystem=system).names
                 rows.append((path, [c for c in required if c not in names]))
             yield pd.DataFrame(rows, columns=["path", "missing"])

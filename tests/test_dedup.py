@@ -176,3 +176,21 @@ def test_check_drops_a_weak_edge_but_keeps_the_rest_of_the_bucket(spark):
     buckets = spark.createDataFrame([(i, 0, 7, 7) for i in range(4)], "id long, band int, h1 long, h2 long")
     edges = fuzzy._confirmed_edges(buckets, df, fuzzy.FuzzyConfig())
     assert {(r.src, r.dst) for r in edges.collect()} == {(2, 1)}
+
+
+def test_null_texts_are_no_copies(spark):
+    df = corpus(spark, [(1, None), (2, None), (3, "a"), (4, "a"), (5, "")])
+    assert {r.id for r in dedup.remove_exact_duplicates(df).collect()} == {1, 2, 3, 5}
+
+
+def test_equally_heavy_keys_lose_no_row(spark, monkeypatch):
+    """As many heavy keys of one weight as the limit splits among: all or none of them are spread, alike on both sides."""
+    from gleaner.operators import skew
+
+    monkeypatch.setattr(skew, "PARTS", 3)
+    rows = spark.createDataFrame([(k, i) for k in range(5) for i in range(40)], "k long, i long").repartition(6)
+    table = spark.createDataFrame([(k, f"v{k}") for k in range(5)], "k long, v string")
+    weights = rows.groupBy("k").agg(F.count("*").alias("n"))
+    for per_salt in (1, 39, 40):
+        out = join_by_heavy_key(rows, table, "k", weights, rows_per_salt=per_salt)
+        assert out.count() == out.distinct().count() == 200

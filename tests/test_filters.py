@@ -154,3 +154,11 @@ def test_hash_unit_is_independent_of_partitions(spark):
 def test_compute_once_keeps_rows(spark):
     df = compute_once(spark.range(5), twice=F.col("id") * 2)
     assert [tuple(r) for r in df.orderBy("id").collect()] == [(i, 2 * i) for i in range(5)]
+
+
+def test_python_filter_runs_after_the_native_ones(spark):
+    cascade = filters.FilterCascade([filters.python_filter("ends", lambda t: float(len(t)), lambda s: s > 2), filters.word_count(min_words=2)])
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text")
+    plan = cascade(df)._jdf.queryExecution().executedPlan().toString()
+    python, words = plan.index("EvalPython"), plan.index("size(_words")
+    assert python < words  # a plan is printed from the top: what runs later stands first

@@ -116,14 +116,12 @@ def test_finished_stage_is_not_run_again(spark, tmp_path):
     assert skip_if_exists(path, lambda: 1 / 0, spark).count() == 3
 
 
-def test_few_files_are_spread_and_many_are_left_alone(spark, tmp_path):
+def test_rows_are_dealt_out_only_when_asked(spark, tmp_path):
     spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/one")
-    spark.range(100).repartition(20).write.parquet(f"{tmp_path}/many")
-    shuffled = [
-        "Exchange" in readers.read_documents(spark, f"{tmp_path}/{p}", spread=True)._jdf.queryExecution().executedPlan().toString()
-        for p in ("one", "many")
+    plans = [
+        readers.read_documents(spark, f"{tmp_path}/one", partitions=n)._jdf.queryExecution().executedPlan().toString() for n in (None, 6)
     ]
-    assert shuffled == [True, False]
+    assert ["Exchange" in p for p in plans] == [False, True]
 
 
 def test_scratch_folder_comes_from_the_session(spark):
@@ -169,3 +167,29 @@ def test_row_wise_plan_runs_on_a_stream(spark, tmp_path):
     run.start(f"{tmp_path}/out").awaitTermination(120)
     want = {r.doc_id for r in heuristic_filter(curate_web_corpus(docs)).collect()}
     assert {r.doc_id for r in spark.read.parquet(f"{tmp_path}/out").collect()} == want and len(want) > 100
+
+
+def test_row_at_reads_the_file_that_holds_the_row(spark, tmp_path):
+    spark.range(1000).repartitionByRange(8, "id").sortWithinPartitions("id").write.parquet(f"{tmp_path}/in")
+    found = ordinals.row_at(spark, f"{tmp_path}/in", 700)
+    assert found.first().id == 700 and len(found.inputFiles()) == 1
+    for bad in (-1, 1000):
+        with pytest.raises(IndexError):
+            ordinals.row_at(spark, f"{tmp_path}/in", bad)
+
+
+def test_places_need_no_exchange_of_the_rows(spark, tmp_path):
+    spark.range(50).withColumn("text", F.lit("x")).repartition(5).write.parquet(f"{tmp_path}/in")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1b")
+    try:
+        plan = ordinals.read_with_position(spark, f"{tmp_path}/in")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_a_document_of_a_million_tokens_is_packed(spark):
+    df = spark.range(1).select(F.col("id"), F.sequence(F.lit(1), F.lit(1_000_000)).alias("tokens")).withColumn("n_tokens", F.size("tokens"))
+    packed = packing.pack_samples(df, 512)
+    assert packed.agg(F.count("*"), F.sum(F.size("tokens"))).first() == (1954, 1_000_000)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,22 +149,54 @@ def test_map_columns(spark):
 
 
 def brute_hits(text, bench, n):
-    grams = {tuple(b.lower().split()[i : i + n]) for b in bench for i in range(len(b.split()) - n + 1)}
-    w = text.lower().split()
-    return {i for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in grams}
+    words = lambda t: re.findall(r"[^\W_]+", t.lower())
+    runs = {tuple(words(b)[i : i + min(n, len(words(b)))]) for b in bench for i in range(max(1, len(words(b)) - n + 1)) if words(b)}
+    w = words(text)
+    return {(i, len(r)) for r in runs for i in range(len(w) - len(r) + 1) if tuple(w[i : i + len(r)]) == r}
 
 
-@pytest.mark.parametrize("limit", [500_000, 0])
-def test_contamination_equals_brute_force(spark, limit):
-    bench = ["The quick brown fox jumps over it", "one two three"]
-    docs = ["a b the QUICK brown fox jumps over c", "one two three four one two three", "nothing here", "two three", ""]
+@pytest.mark.parametrize("block_chars", [4_000_000, 12])
+def test_contamination_equals_brute_force(spark, block_chars):
+    bench = ["The quick brown fox jumps over it", "one two three", "short, item", None, "..."]
+    docs = ["a b the QUICK brown; fox jumps over c", "one two, three four one two three", "nothing here", "two three", "", "a SHORT item!", "a_short_item", None]
     df = texts(spark, *docs)
     tasks = spark.createDataFrame([(b,) for b in bench], "text string")
-    hits = decontaminate.contaminated_positions(df, tasks, 3, "id", broadcast_limit=limit, rows_per_salt=1)
-    got = {(r.id, r.pos) for r in hits.collect()}
-    assert got == {(i, p) for i, d in enumerate(docs) for p in brute_hits(d, bench, 3)}
-    kept = decontaminate.remove_contaminated_documents(df, tasks, 3, "id", broadcast_limit=limit)
-    assert {r.id for r in kept.collect()} == {2, 3, 4}
+    hits = decontaminate.contaminated_positions(df, tasks, 3, "id", block_chars=block_chars)
+    got = {(r.id, r.pos, r.n_words) for r in hits.collect()}
+    assert got == {(i, *h) for i, d in enumerate(docs) for h in brute_hits(d or "", [b for b in bench if b], 3)}
+    kept = decontaminate.remove_contaminated_documents(df, tasks, 3, "id", block_chars=block_chars)
+    assert {r.id for r in kept.collect()} == {2, 3, 4, 7}
+
+
+def test_every_piece_of_a_cut_document_stays(spark):
+    df = texts(spark, " ".join(f"part{i} x y z" for i in range(50)))
+    tasks = spark.createDataFrame([("x y z",)], "text string")
+    out = decontaminate.remove_contaminated_sections(df, tasks, 13, "id").orderBy("piece").collect()
+    assert [r.text for r in out] == [f"part{i}" for i in range(50)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["http://a.b/" + "c" * 100_000, "x@" + "a." * 50_000 + "com", "<" + "b" * 100_000 + ">", "4" * 100_000, "x@" + "a" * 100_000 + ".com", "http://" + "%20" * 40_000, "1 " + "Aa " * 40_000],
+)
+def test_long_runs_do_not_overflow_the_stack(spark, tmp_path, text):
+    texts(spark, text).write.parquet(f"{tmp_path}/t")  # stored, so that the engine's own code runs on it
+    df = spark.read.parquet(f"{tmp_path}/t")
+    kinds = [k for k in pii.ENTITIES if k != "CREDIT_CARD"]
+    assert df.select(modify.unify_quotes_and_tags(F.col("text")), pii.redact(F.col("text"), kinds), pii.redact(F.col("text"))).count() == 1
+    out = df.select(modify.unify_quotes_and_tags(F.col("text")).alias("a"), pii.redact(F.col("text"), kinds).alias("b")).first()
+    assert out.a is not None and out.b is not None
+
+
+def test_overlapping_spans_go_by_score_then_length(spark):
+    df = texts(spark, "at 12 Ryan Street", "see www.x.org/1.2.3.4 now")
+    spans = [[(s["type"], s["start"], s["end"]) for s in row] for row in column(df.withColumn("text", pii.analyze(F.col("text"))))]
+    assert spans == [[("PERSON", 6, 17)], [("URL", 4, 21)]]
+
+
+def test_many_spans_take_time_in_proportion():
+    compiled = {"IP_ADDRESS": (re.compile(pii.PATTERNS["IP_ADDRESS"][0]), 0.95)}
+    assert len(pii.find_spans("10.0.0.1 " * 50_000, compiled)) == 50_000
 
 
 def test_contaminated_sections_are_cut_out(spark):
@@ -198,7 +232,7 @@ def test_domain_model_takes_known_domains_and_any_function(spark):
 def test_quality_model_separates_its_labels(spark):
     good, bad = "a clear sentence about science", "buy cheap now click here"
     lines = spark.createDataFrame([(f"__label__hq {good}",), (f"__label__lq {bad}",)] * 10, "value string")
-    model = classify.train_quality_model(classify.read_training_lines(lines), features=1 << 10)
+    model = classify.train_quality_model(classify.read_training_lines(lines), dim=1 << 10)
     scores = column(classify.score_quality(texts(spark, good, bad), model), "quality_score")
     assert scores[0] > 0.6 > 0.4 > scores[1]
 
