@@ -18,7 +18,7 @@ from gleaner.llm.textmodel import Features, Model, labelled_sample, train
 from gleaner.llm.words import SPACE, cut_words, parts, texts_of, windows
 
 FEATURES = Features(letters_only=False, chars=(2, 3, 4), prefixes=False, words=(1, 2), bits=18)
-MAX_ROWS = 6_000
+MAX_ROWS = 4_000
 THRESHOLD = 0.5
 MIN_WORDS = 10
 MAX_REPEATED_PER_CENT = 20

@@ -116,18 +116,33 @@ class Features(NamedTuple):
 
 
 class Rows(NamedTuple):
-    """Sparse rows: bounds, slots and values."""
+    """Sparse rows: bounds, slots and values.  Sums go over blocks of rows, so that they need little memory of their own."""
 
     bounds: np.ndarray
     slots: np.ndarray
     values: np.ndarray
 
+    def blocks(self, size: int = 1 << 20):
+        i, n = 0, len(self.bounds) - 1
+        while i < n:
+            j = max(int(np.searchsorted(self.bounds, self.bounds[i] + size, "right")) - 1, i + 1)
+            yield i, min(j, n)
+            i = j
+
     def times(self, w: np.ndarray) -> np.ndarray:
-        total = np.r_[0.0, np.cumsum(self.values * w[self.slots])]
-        return total[self.bounds[1:]] - total[self.bounds[:-1]]
+        out = np.empty(len(self.bounds) - 1)
+        for i, j in self.blocks():
+            a, b = self.bounds[i], self.bounds[j]
+            total = np.r_[0.0, np.cumsum(self.values[a:b] * w[self.slots[a:b]])]
+            out[i:j] = total[self.bounds[i + 1 : j + 1] - a] - total[self.bounds[i:j] - a]
+        return out
 
     def back(self, r: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.slots, weights=self.values * np.repeat(r, np.diff(self.bounds)), minlength=size)
+        out = np.zeros(size)
+        for i, j in self.blocks():
+            a, b = self.bounds[i], self.bounds[j]
+            out += np.bincount(self.slots[a:b], weights=self.values[a:b] * np.repeat(r[i:j], np.diff(self.bounds[i : j + 1])), minlength=size)
+        return out
 
     def take(self, which: np.ndarray) -> Rows:
         count = np.diff(self.bounds)[which]
@@ -172,23 +187,25 @@ def minimise(f, w: np.ndarray, rounds: int, memory: int = 8) -> np.ndarray:
     return w
 
 
-def fit(rows: Rows, label: np.ndarray, size: int, l2: float, others: Rows | None = None, penalty: float = 0.0, rounds: int = 80) -> np.ndarray:
-    """Weights and, last, the bias: mean logistic loss plus ``l2`` times the squares of the weights plus ``penalty`` times
-    the mean square of the scores of ``others``, rows of differences whose scores shall be zero."""
-    n = max(1, len(label))
+def fit(rows: Rows, label: np.ndarray, used: np.ndarray, size: int, l2: float, penalty: float = 0.0, rounds: int = 80) -> np.ndarray:
+    """Weights and, last, the bias: mean logistic loss of the ``used`` rows plus ``l2`` times the squares of the weights plus
+    ``penalty`` times the mean square of the scores of the rows of label -1, differences whose scores shall be zero."""
+    apart = label < 0
+    n, m = max(1, int(used.sum())), max(1, int(apart.sum()))
+    target = np.where(used, label, 0.0)
 
     def f(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = rows.times(w) + w[-1]
-        loss = float(np.logaddexp(0, z).sum() - z @ label) / n + l2 * float(w[:-1] @ w[:-1])
-        r = (sigmoid(z) - label) / n
+        d = rows.times(w)
+        z = d + w[-1]
+        loss = float((np.logaddexp(0, z[used]) - z[used] * target[used]).sum()) / n + l2 * float(w[:-1] @ w[:-1])
+        r = np.where(used, sigmoid(z) - target, 0.0) / n
+        bias = r.sum()
+        if penalty:
+            loss += penalty * float(d[apart] @ d[apart]) / m
+            r[apart] = 2 * penalty * d[apart] / m
         grad = rows.back(r, size + 1)
-        grad[-1] = r.sum()
+        grad[-1] = bias
         grad[:-1] += 2 * l2 * w[:-1]
-        if others is not None and penalty and len(others.bounds) > 1:
-            d = others.times(w)
-            m = len(others.bounds) - 1
-            loss += penalty * float(d @ d) / m
-            grad += others.back(2 * penalty * d / m, size + 1)
         return loss, grad
 
     return minimise(f, np.zeros(size + 1), rounds)
@@ -264,20 +281,15 @@ def differences(a: Rows, b: Rows, bits: int) -> Rows:
     return Rows(np.searchsorted(name[on] >> bits, np.arange(n + 1)), name[on] & ((1 << bits) - 1), value[on])
 
 
-def collect_rows(sample: DataFrame, features: Features, variants=()) -> tuple[Rows, np.ndarray, np.ndarray, Rows]:
-    """Features, labels and folds of a bounded sample, in order of the id, and the differences of its variants."""
-    found = sample.mapInArrow(features_task(features, variants), FEATURES).orderBy("row", F.desc("label")).toArrow().combine_chunks()
-
-    if not found.num_rows:
-        none = Rows(np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return none, np.zeros(0), np.zeros(0, np.int64), none
-    slots, values = (found.column(c).combine_chunks() for c in ("slots", "values"))
-    slots, values = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for x in (slots, values))
-    bounds = slots.offsets.to_numpy().astype(np.int64)
-    rows = Rows(bounds - bounds[0], slots.flatten().to_numpy().astype(np.int64), values.flatten().to_numpy().astype(np.float64))
-    label, fold = found.column("label").to_numpy(), found.column("fold").to_numpy()
-    own, other = np.flatnonzero(label >= 0), np.flatnonzero(label < 0)
-    return rows.take(own), label[own].astype(np.float64), fold[own], rows.take(other)
+def collect_rows(sample: DataFrame, features: Features, variants=()) -> tuple[Rows, np.ndarray, np.ndarray]:
+    """Features, labels (-1: differences to a variant) and folds of a bounded sample, in order of the id."""
+    found = sample.mapInArrow(features_task(features, variants), FEATURES).orderBy("row", F.desc("label")).toArrow()
+    label = found.column("label").to_numpy().astype(np.float64)
+    fold = found.column("fold").to_numpy()
+    sizes = [np.diff(c.offsets.to_numpy()) for c in found.column("slots").chunks]
+    bounds = np.r_[0, np.cumsum(np.concatenate(sizes, dtype=np.int64))] if sizes else np.zeros(1, np.int64)
+    slots, values = (np.concatenate([c.flatten().to_numpy() for c in found.column(x).chunks] or [np.zeros(0, t)]) for x, t in (("slots", np.int32), ("values", np.float32)))
+    return Rows(bounds, slots, values), label, fold
 
 
 class Model(NamedTuple):
@@ -295,14 +307,14 @@ class Model(NamedTuple):
 
 def train(sample: DataFrame, features: Features, l2: float, variants=(), penalty: float = 0.0) -> Model:
     """Fit on four fifths of the sample, calibrate on the fifth.  Without rows, or with one label only, the score is the label's share."""
-    rows, label, fold, other = collect_rows(sample, features, variants)
-    size = 1 << features.bits
-    if not len(label) or label.min() == label.max():
-        share = float(label.mean()) if len(label) else 0.0
+    rows, label, fold = collect_rows(sample, features, variants)
+    size, own = 1 << features.bits, label >= 0
+    if not own.any() or label[own].min() == label.max():
+        share = float(label[own].mean()) if own.any() else 0.0
         return Model(features, np.zeros(size + 1, np.float32), 1.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
-    some, held = np.flatnonzero(fold > 0), np.flatnonzero(fold == 0)
-    if not len(some) or not len(held):
-        some = held = np.arange(len(label))
-    weights = fit(rows.take(some), label[some], size, l2, other, penalty)
-    slope, offset = calibrate(rows.take(held).times(weights) + weights[-1], label[held])
+    used, held = own & (fold > 0), own & (fold == 0)
+    if not used.any() or not held.any():
+        used = held = own
+    weights = fit(rows, label, used, size, l2, penalty)
+    slope, offset = calibrate(rows.times(weights)[held] + weights[-1], label[held])
     return Model(features, weights.astype(np.float32), max(slope, 1e-3), offset)

@@ -35,7 +35,7 @@ IDENTITY_TERMS: Mapping[str, Sequence[str]] = {
 }
 
 FEATURES = Features(letters_only=True, chars=(3, 4, 5, 6, 7), prefixes=True, words=(1,), bits=18)
-MAX_ROWS = 10_000
+MAX_ROWS = 8_000
 THRESHOLD = 0.3
 
 
