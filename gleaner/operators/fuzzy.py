@@ -47,13 +47,14 @@ def signatures(df: DataFrame, config: FuzzyConfig) -> DataFrame:
 
 
 def band_hashes(signature: Column, num_buckets: int, hashes_per_bucket: int) -> Column:
-    """One 128-bit bucket name per band, as two independent 64-bit hashes of the band's values."""
+    """One bucket name per band: 120 bits of the md5 of the band's values, as two numbers."""
 
-    def bucket(band: int) -> Column:
+    def bucket(band: Column) -> Column:
         part = F.slice(signature, band * hashes_per_bucket + 1, hashes_per_bucket)
-        return F.struct(F.xxhash64(part).alias("h1"), F.xxhash64(F.lit(1), part).alias("h2"))
+        name = F.md5(F.array_join(F.transform(part, lambda v: v.cast("string")), " "))
+        return F.struct(*[F.conv(F.substring(name, at, 15), 16, 10).cast("bigint").alias(h) for at, h in ((1, "h1"), (16, "h2"))])
 
-    return F.array(*[bucket(b) for b in range(num_buckets)])
+    return F.transform(F.sequence(F.lit(0), F.lit(num_buckets - 1)), bucket)
 
 
 def lsh_buckets(sigs: DataFrame, config: FuzzyConfig) -> DataFrame:

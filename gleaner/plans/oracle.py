@@ -211,6 +211,62 @@ _HITS = f"""
               FROM (SELECT doc_id, {_TASK_WORDS} AS w FROM documents), (SELECT DISTINCT m FROM ({_PASSAGES})) WHERE len(w) >= m))
   WHERE (m, g) IN (SELECT (m, g) FROM ({_PASSAGES}))"""
 
+_SECTIONS = rf"""
+  WITH h AS ({_HITS}),
+  tok AS (
+    SELECT doc_id, generate_subscripts(ts, 1) AS k, unnest(ts) AS tok
+    FROM (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+') AS ts FROM documents WHERE doc_id IN (SELECT doc_id FROM h))),
+  placed AS (
+    SELECT doc_id, k, tok, regexp_matches(tok, '^[\p{{L}}\p{{N}}]') AS word,
+           count(*) FILTER (regexp_matches(tok, '^[\p{{L}}\p{{N}}]')) OVER (PARTITION BY doc_id ORDER BY k) AS w
+    FROM tok),
+  gone_words AS (SELECT DISTINCT doc_id, unnest(range(pos, pos + n_words)) AS w FROM h),
+  gone_gaps AS (SELECT DISTINCT doc_id, unnest(range(pos + 1, pos + n_words)) AS w FROM h),
+  kept AS (
+    SELECT doc_id, k, tok, k - row_number() OVER (PARTITION BY doc_id ORDER BY k) AS run
+    FROM placed
+    WHERE (word AND (doc_id, w - 1) NOT IN (SELECT (doc_id, w) FROM gone_words))
+       OR (NOT word AND (doc_id, w) NOT IN (SELECT (doc_id, w) FROM gone_gaps))),
+  pieces AS (
+    SELECT doc_id, run, {STRIP.format("string_agg(tok, '' ORDER BY k)")} AS text FROM kept GROUP BY doc_id, run)
+  SELECT doc_id, text, row_number() OVER (PARTITION BY doc_id ORDER BY run) - 1 AS piece FROM pieces WHERE text <> ''
+  UNION ALL SELECT doc_id, text, 0 FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM h)"""
+
+
+
+def _minhash() -> str:
+    """``sig``: signature per document as a list of 260 numbers; window hashes and orderings as in the library, step by step."""
+    from gleaner.functions.minhash import BASE, MIX, orderings
+
+    whole, low = "18446744073709551616::UHUGEINT", 4294967296
+    terms = " + ".join(f"lead(c, {k}, 0) OVER d * {pow(BASE, k, 1 << 64)}::UHUGEINT" for k in range(24))
+    steps = [f"SELECT DISTINCT doc_id, ((({terms}) + least(n, 24)::UHUGEINT) % {whole})::UBIGINT AS v, i, n FROM chars WINDOW d AS (PARTITION BY doc_id ORDER BY i)"]
+    steps.append(f"SELECT DISTINCT doc_id, v FROM ({steps[-1]}) WHERE i <= greatest(n - 23, 1)")
+    for m in MIX:
+        steps.append(f"SELECT doc_id, ((xor(v, v >> 33)::UHUGEINT * {m}::UHUGEINT) % {whole})::UBIGINT AS v FROM ({steps[-1]})")
+    steps.append(f"SELECT DISTINCT doc_id, (xor(v, v >> 33) % {low})::UBIGINT AS v FROM ({steps[-1]})")
+    factor, offset = orderings(260, 42)
+    minima = ", ".join(f"min((v * {f}::UBIGINT % {low} + {o}) % {low})::BIGINT" for f, o in zip(factor[:, 0].tolist(), offset[:, 0].tolist()))
+    return f"""
+      chars AS (SELECT doc_id, length(text) AS n, unicode(ch)::UHUGEINT AS c, i
+                FROM (SELECT doc_id, text, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i
+                      FROM documents WHERE length(text) > 0)),
+      sig AS (SELECT doc_id, list_transform([{minima}], lambda x: CASE WHEN x >= 2147483648 THEN x - {low} ELSE x END) AS sig FROM ({steps[-1]}) GROUP BY doc_id)"""
+
+
+_BANDS = """
+  bands AS (
+    SELECT doc_id, band, ('0x' || substr(name, 1, 15))::BIGINT AS h1, ('0x' || substr(name, 16, 15))::BIGINT AS h2
+    FROM (SELECT doc_id, band, md5(array_to_string(sig[band * 13 + 1 : band * 13 + 13], ' ')) AS name
+          FROM (SELECT doc_id, sig, unnest(range(20)) AS band FROM sig))),
+  edges AS (
+    SELECT DISTINCT doc_id AS src, centre AS dst
+    FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY band, h1, h2) AS centre FROM bands) WHERE doc_id <> centre)"""
+_GROUPS = """
+  sym AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges),
+  reach(a, b) AS (SELECT a, a FROM sym UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a),
+  groups AS (SELECT a AS doc_id, min(b) AS "group" FROM reach GROUP BY a)"""
+
 _CURATED = f"""
   SELECT d.doc_id, len({WORDS})::BIGINT AS word_count FROM documents d
   WHERE len({WORDS}) BETWEEN 80 AND 100000 AND {FILTERS['complete_document'][0]}
@@ -366,6 +422,14 @@ ORACLE: dict[str, str] = {
       n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
       c AS (SELECT e.src, e.dst, count(b.g) AS c FROM e JOIN s a ON a.doc_id = e.src LEFT JOIN s b ON b.doc_id = e.dst AND b.g = a.g GROUP BY ALL)
       SELECT c.src, c.dst, c.c / (x.n + y.n - c.c) AS similarity FROM c JOIN n x ON x.doc_id = c.src JOIN n y ON y.doc_id = c.dst""",
+    "minhash_signatures": f"WITH {_minhash()} SELECT doc_id, md5(array_to_string(sig, ' ')) AS signature FROM sig",
+    "lsh_buckets": f"WITH {_minhash()}, {_BANDS} SELECT doc_id, band::INT AS band, h1, h2 FROM bands",
+    "lsh_edges": f"WITH {_minhash()}, {_BANDS} SELECT src, dst FROM edges",
+    "fuzzy_duplicates": f"WITH RECURSIVE {_minhash()}, {_BANDS}, {_GROUPS} SELECT * FROM groups",
+    "remove_fuzzy_duplicates": f"""
+      WITH RECURSIVE {_minhash()}, {_BANDS}, {_GROUPS}
+      SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM groups WHERE doc_id <> "group")""",
     "contaminated_positions": _HITS,
+    "remove_contaminated_sections": _SECTIONS,
     "remove_contaminated_documents": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_HITS}))",
 }
