@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.frames import unused
 from gleaner.llm.words import LOWER, SPACE, Words, cut_words, mix, parts, texts_of, windows
 from gleaner.operators.components import connected_components
+from gleaner.operators.skew import join_by_heavy_key
 from gleaner.session import materialize
 
 BITS = 4
@@ -197,7 +198,14 @@ def local_links(similarity: float, least: int):
 
 
 def near_duplicates(
-    docs: DataFrame, size: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 4, margin: float = 5.0, block_shingles: int = BLOCK_SHINGLES
+    docs: DataFrame,
+    size: int = 5,
+    similarity: float = 0.8,
+    bands: int = 32,
+    rows: int = 4,
+    margin: float = 5.0,
+    block_shingles: int = BLOCK_SHINGLES,
+    rows_per_salt: int = 1000,
 ) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -209,12 +217,14 @@ def near_duplicates(
     signed = materialize(docs.mapInArrow(sign_task(size, bands, rows), SIGNED), "bbit-signed")
     known = signed.filter("doc_id IS NOT NULL AND n > 0")
 
-    # Equal sets: the smallest id stands for all.
-    same = ["s1", "s2", "n"]
-    groups = known.groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    # Equal sets: the smallest id stands for all.  A set that a third of all documents have is spread over tasks.
+    same = ["s1", "s2", "size"]
+    known = known.withColumnRenamed("n", "size")
+    groups = materialize(known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "bbit-groups")
     is_rep = F.col("doc_id") == F.col("rep")
-    grouped = known.join(groups, same).select(
-        "doc_id", "rep", "n", F.when(is_rep, F.col("packed")).alias("packed"), F.when(is_rep, F.col("bands")).alias("bands")
+    joined = join_by_heavy_key(known, groups.drop("n"), same, groups, rows_per_salt=rows_per_salt)
+    grouped = joined.select(
+        "doc_id", "rep", F.col("size").alias("n"), F.when(is_rep, F.col("packed")).alias("packed"), F.when(is_rep, F.col("bands")).alias("bands")
     )
     grouped = materialize(grouped, "bbit-grouped")
     reps = grouped.filter(is_rep).select("rep", "n", "packed", "bands")
