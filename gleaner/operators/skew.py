@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gleaner.session import materialize
@@ -38,8 +38,12 @@ def join_by_heavy_key(
     keys = [key] if isinstance(key, str) else list(key)
     per_salt = rows_per_salt or ROWS_PER_SALT
     # Both sides must see the same list, so it is written and not worked out twice.
-    large = materialize(weights.filter(F.col("n") > per_salt).select(*keys, "n"), "heavy-keys")
-    per_part = max(per_salt, (large.agg(F.sum("n")).first()[0] or 0) // PARTS)
+    seen = Observation("heavy-keys")
+    large = weights.filter(F.col("n") > per_salt).select(*keys, "n")
+    large = materialize(large.observe(seen, F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows")), "heavy-keys")
+    if not seen.get["keys"]:  # nothing to spread: the same join without the salts
+        return rows.join(table, keys, how)
+    per_part = max(per_salt, (seen.get["rows"] or 0) // PARTS)
     hot = large.filter(F.col("n") > per_part).select(*keys, F.ceil(F.col("n") / per_part).alias("_salts"))
     hot = F.broadcast(hot)  # at most PARTS rows of key and number
     others = [c for c in rows.columns if c not in keys]
