@@ -3,10 +3,10 @@
 A window is ``size`` consecutive words.  It is removed where its word sequence also starts in a document with a smaller
 id.  Three passes, none of which gathers the windows of a document or the documents of a window:
 
-1. Each task keeps a sketch of its texts: for every window its *anchor*, the runs of ``size // 2`` words inside it with
-   the smallest hash, is counted once per text in ``depth`` rows of cells.  Equal windows have equal anchors, so the count
-   of an anchor is never below that of any of its windows, and neighbouring windows share anchors, so that a text has
-   about 2 / size * 2 of them per word.  The tasks' sketches are sparse pieces of 65,536 cells; they are added up per
+1. Each task keeps a sketch of its texts: for every window its *anchor*, the run of ``size // 2`` words inside it with the
+   smallest hash, is counted once per text in ``depth`` rows of cells.  Equal windows have equal anchors, so the count of
+   an anchor is never below that of any of its windows; neighbouring windows share anchors, so that a text has about four
+   of them per ``size`` words.  The tasks' sketches are sparse pieces of 65,536 cells; they are added up per
    piece, in a stream.  Each piece of the merged sketch keeps one bit per cell: counted twice or more.
 2. Windows all of whose cells have that bit are the only ones that can be repeated.  A task first settles windows that
    it saw in several documents itself: all but those of the smallest id are repeated.  So a passage that a third of all
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.words import SECOND_BASE, SPACE, Words, cut_words, mix, parts, texts_of, windows
@@ -37,9 +37,8 @@ def anchors(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first word and hash of the anchor of each window: its half window with the smallest hash."""
     half = size // 2
     n = len(words.hashes)
-    at, _ = np.zeros(0, np.int64), None
     if n < size:
-        return at, np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     starts, hashes = windows(words, half)
     full = np.full(n, np.iinfo(np.uint64).max, np.uint64)
     full[starts] = hashes
@@ -205,18 +204,13 @@ def repeated_runs(docs: DataFrame, size: int = 50, depth: int = 2, max_cells: in
     cells, bits = build_sketch(known.select("text"), size, depth, max_cells)
     shared = spark.sparkContext.broadcast(bits)
     found = known.mapInArrow(candidate_task(size, depth, cells, shared), CANDIDATE)
-    least = F.min("doc_id").over(_by_window())
+    # At most one row per buffer of a task, for each place of the window in the buffer's smallest document.
+    least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     repeated = found.withColumn("least", least).filter("end IS NOT NULL OR least < doc_id")
     runs = repeated.select("doc_id", "text_key", "start", F.coalesce("end", F.col("start") + size).alias("end"))
     return runs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("runs"))
 
 
-def _by_window():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("h1", "h2")  # at most one row per task's buffer and place in the smallest document
-
-
 def remove_repeated_substrings(docs: DataFrame, size: int = 50, depth: int = 2, max_cells: int = 1 << 28, keep_text: bool = True) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_text, kept_sha256)`` for every row of ``docs`` (``doc_id``, ``text``).
 

@@ -137,11 +137,3 @@ def windows(words: Words, size: int, base: int = WORD_BASE) -> tuple[np.ndarray,
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(words.hashes * power, out=total[1:])
     return at, mix((total[at + size] - total[at]) * inverse[at] + np.uint64(size))
-
-
-def covered(at: np.ndarray, size: int, n: int) -> np.ndarray:
-    """Which of ``n`` words lie in a window of ``size`` that starts at one of ``at``."""
-    step = np.zeros(n + 1, np.int64)
-    np.add.at(step, at, 1)
-    np.add.at(step, np.minimum(at + size, n), -1)
-    return np.cumsum(step[:n]) > 0

@@ -12,7 +12,6 @@ of a bounded number of windows, one pass each, so that what a task holds does no
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
