@@ -486,10 +486,10 @@ for _f in (
 
 
 def _odd_texts(spark, sf_dir):
-    """Texts with URLs, bullets, ellipses, boilerplate and paragraphs, made of every page and conversation turn."""
+    """Texts with URLs, bullets, ellipses, boilerplate and paragraphs, made of every page, whole, and conversation turn."""
     pages = load(spark, sf_dir, "pages", "page_id", "url", "html")
     said = load(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    line = F.regexp_replace(F.left("html", F.lit(400)), "[<>\n]", " ")
+    line = F.regexp_replace("html", "[<>\n]", " ")
     note = F.element_at(F.array(*map(F.lit, ("We use cookies.", "Lorem ipsum dolor.", "Plain end.", "See our Privacy Policy"))), (F.col("page_id") % 4 + 1).cast("int"))
     page = F.concat_ws("\n\n", F.concat(F.lit("* "), "url"), line, F.when(F.col("page_id") % 3 == 0, line), F.concat(F.lit("- see http://"), F.col("page_id"), F.lit(".org ...")), note)
     turn = F.concat_ws("\n", F.concat(F.lit("• "), F.regexp_replace("text", "\n", " ")), F.when(F.col("turn") % 2 == 0, F.lit("and so on…")), F.lit("www.example.org/x"))
