@@ -2,8 +2,9 @@
 
 Every node of the page has a density: its characters per tag, lowered where much of it is link text.  The node whose
 children's densities add up to most holds the article.  The lowest density on the way from it up to the body is the
-threshold at which its neighbours still belong to it.  Menus, forms, adverts, comments and the like inside are left out by
-their element, role, class or id.
+threshold at which its neighbours, and articles elsewhere with a node that dense, still belong to it.  An article or main
+element only adds: the outermost one around that node is kept whole.  Menus, forms, adverts, comments and the like inside
+are left out by their element, role, class or id.
 
 The page is read once, by regular expressions, into parallel lists in document order; nothing recurses.
 """
@@ -239,7 +240,8 @@ class Page:
             c, t, lc, lt = chars[i], max(1, tags[i]), link_chars[i], link_tags[i]
             if c and not out[i]:
                 base = log(c / max(1, c - lc) * lc + ratio * c + e)
-                density[i] = c / t * max(0.0, log(max(1.0, c / max(1, lc) * (t / max(1, lt)))) / log(max(base, 1.0001)) if base != 1 else c)
+                # Without any link text the base is 1 for all nodes; its limit keeps their order.
+                density[i] = c / t * max(0.0, log(max(1.0, c / max(1, lc) * (t / max(1, lt)))) / log(max(base, 1.0001)))
         for i in range(1, n):
             total[parent[i]] += density[i]
         inside = [i for i in range(n) if not out[i] and (i == body or i > body)]
@@ -248,23 +250,19 @@ class Page:
         while path[-1] not in (body, 0):
             path.append(parent[path[-1]])
         threshold = min(density[i] for i in path)
-        # An article or main element is a whole: the outermost one around the chosen node, or the densest inside it.
-        marks = [i for i in inside if self.landmark[i]]
-        around = [i for i in path if self.landmark[i]]
-        if around:
-            region = {around[-1]}
-        elif marks:
-            below = [False] * n
-            for i in range(n):
-                below[i] = i == best or (i > best and below[parent[i]])
-            inner = [i for i in marks if below[i]]
-            region = {max(inner, key=lambda i: (total[i] + density[i], -i))} if inner else {best}
-        else:
-            ways = set(path[1:])
-            region = {best}
-            for i in range(1, n):
-                if parent[i] in ways and not out[i] and i not in ways and (tag[i] in HEADINGS or (chars[i] and density[i] >= threshold)):
-                    region.add(i)
+        peak = density[:]  # of the densest node of the subtree
+        for i in range(n - 1, 0, -1):
+            peak[parent[i]] = max(peak[parent[i]], peak[i])
+        region, ways = {best}, set(path[1:])
+        for i in range(1, n):
+            if out[i] or i in ways:
+                continue
+            beside = parent[i] in ways and (tag[i] in HEADINGS or (chars[i] and density[i] >= threshold))
+            # Articles of their own may lie deeper than beside the path, and their headings lower the density.
+            if beside or (self.landmark[i] and chars[i] > 2 * link_chars[i] and peak[i] >= threshold):
+                region.add(i)
+        # An article or main element around the chosen node is kept whole, so that no short part of it is lost.
+        region.update([i for i in path if self.landmark[i]][-1:])
         taken = [False] * n
         for i in range(n):
             taken[i] = not out[i] and (i in region or (i > 0 and taken[parent[i]]))
