@@ -4,7 +4,8 @@ Every node of the page has a density: its characters per tag, lowered where much
 children's densities add up to most holds the article.  The lowest density on the way from it up to the body is the
 threshold at which its neighbours, and articles elsewhere with a node that dense, still belong to it.  An article or main
 element only adds: the outermost one around that node is kept whole.  Menus, forms, adverts, comments and the like inside
-are left out by their element, role, class or id.
+are left out by their element, role, class or id.  A name that may belong to an article as well leaves out only what is
+thin or mostly links, and a form stays if it holds the chosen node or most of its text.
 
 The page is read once, by regular expressions, into parallel lists in document order; nothing recurses.
 """
@@ -45,11 +46,11 @@ ENDS = {
 }
 #: Elements that hold no part of an article.
 NOISE_TAGS = frozenset(
-    "nav aside footer form script style noscript iframe template button select input textarea object embed svg canvas audio video"
+    "nav aside footer script style noscript iframe template button select input textarea object embed svg canvas audio video"
     " dialog menu head title link meta map noembed noframes xmp search datalist label".split()
 )
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar status".split())
-#: Parts of class and id names.
+NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar status".split())
+#: Words of class and id names.
 NOISE_NAMES = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising adsense adunit sponsor sponsored sponsors promo promoted promotion banner banners"
     " nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars aside rail footer masthead topbar toolbar comment comments commentlist"
@@ -57,6 +58,18 @@ NOISE_NAMES = frozenset(
     " modal overlay newsletter subscribe subscription signup signin login register search related recommended recommendations widget widgets"
     " pagination pager skip hidden noprint paywall disclaimer copyright".split()
 )
+#: Those that name parts of articles as well.
+DOUBTFUL_NAMES = frozenset(
+    "advertising consent cookies copyright disclaimer discussion follow gdpr login navigation notice notices notification pagination promotion rail"
+    " recommended recommendations register related reply replies search share shares sharing social subscription widgets".split()
+)
+#: Words that say nothing of what a name stands for.
+FRAME_NAMES = frozenset(
+    "area bar block body bottom box button buttons col column container content count entry feed form group header holder icon icons inner is item"
+    " items left link links list main meta module panel page post reader right row section site slot text thread title top unit user wrap wrapper".split()
+)
+#: A name that begins so tells how an element looks, not what it is.
+STATE_NAMES = frozenset("has have no non not with without".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 _TAG = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
@@ -68,6 +81,18 @@ _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 
 
+def noise_of(value: str) -> tuple[bool, bool]:
+    """Whether a class or id names noise, and whether it may: by a doubtful word, or by a word among others."""
+    sure = maybe = False
+    for token in value.split():
+        names = [x.lower() for x in _NAME_PART.findall(token)]
+        noise = NOISE_NAMES.intersection(names)
+        if noise and names[0] not in STATE_NAMES:
+            told = not noise <= DOUBTFUL_NAMES and all(x in NOISE_NAMES or x in FRAME_NAMES or x.isdigit() for x in names)
+            sure, maybe = sure or told, maybe or not told
+    return sure, maybe and not sure
+
+
 def tag_end(html: str, at: int) -> int:
     """The place of the ``>`` that ends the tag whose name ends at ``at``; -1 if there is none.  Quoted values may hold ``>``."""
     end = html.find(">", at)
@@ -88,7 +113,7 @@ class Page:
 
     def __init__(self, html: str):
         self.tag, self.parent, self.noise, self.landmark = ["html"], [-1], [False], [False]
-        self.by_name = [False]
+        self.by_name, self.doubtful = [False], [False]
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) where a block begins or ends
         self._read(html)
 
@@ -96,15 +121,18 @@ class Page:
         node = len(self.tag)
         self.tag.append(tag)
         self.parent.append(stack[-1])
-        noise, by_name, landmark = tag in NOISE_TAGS, False, tag in ("article", "main")
+        noise, by_name, doubtful, landmark = tag in NOISE_TAGS, False, tag == "form", tag in ("article", "main")
         if attributes and _WANTED.search(attributes):
             for name, value in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id"):
-                    names = {x.lower() for x in _NAME_PART.findall(value)}
-                    by_name |= bool(names & NOISE_NAMES)
+                    sure, maybe = noise_of(value)
+                    heading = tag in HEADINGS and name == "id"  # made of its words
+                    by_name |= sure and not heading
+                    doubtful |= maybe and tag not in HEADINGS
                 elif name == "role":
                     noise |= value.lower() in NOISE_ROLES
+                    doubtful |= value.lower() == "form"
                     landmark |= value.lower() == "main"
                 elif name == "itemprop":
                     landmark |= value.lower() == "articlebody"
@@ -112,6 +140,7 @@ class Page:
                     noise = True
         self.noise.append(noise)
         self.by_name.append(by_name)
+        self.doubtful.append(doubtful)
         self.landmark.append(landmark)
         return node
 
@@ -201,21 +230,16 @@ class Page:
             stack.append(node)
             open_tags[tag] = open_tags.get(tag, 0) + 1
 
-    def main_text(self) -> str:
+    def _densest(self, holds: list[bool], dropped: frozenset[int]) -> tuple:
+        """What is left out, the counts, the densities, the path from the node of the largest sum, and its least density."""
         tag, parent, noise = self.tag, self.parent, self.noise
         n = len(tag)
-        # Noise by name does not hold for what contains the article itself; a header inside an article is its own.
-        holds = [False] * n
-        for i in range(n - 1, 0, -1):
-            if self.landmark[i] and not self.by_name[i] or tag[i] == "h1" or holds[i]:
-                holds[i] = holds[i] or self.landmark[i] or tag[i] == "h1"
-                holds[parent[i]] = True
         out, in_article = [False] * n, [False] * n
         for i in range(1, n):
             in_article[i] = in_article[parent[i]] or self.landmark[i]
             named = self.by_name[i] and not holds[i] and tag[i] not in ("body", "html")
             header = tag[i] == "header" and not in_article[i] and not holds[i]
-            out[i] = out[parent[i]] or noise[i] or named or header
+            out[i] = out[parent[i]] or noise[i] or named or header or i in dropped
         chars, link_chars, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         for node, text in self.events:
             if text is not None and not out[node]:
@@ -253,6 +277,31 @@ class Page:
         peak = density[:]  # of the densest node of the subtree
         for i in range(n - 1, 0, -1):
             peak[parent[i]] = max(peak[parent[i]], peak[i])
+        return out, chars, link_chars, density, peak, path, threshold
+
+    def main_text(self) -> str:
+        tag, parent = self.tag, self.parent
+        n = len(tag)
+        # Noise by name does not hold for what contains the article itself; a header inside an article is its own.
+        holds = [False] * n
+        for i in range(n - 1, 0, -1):
+            if self.landmark[i] and not self.by_name[i] or tag[i] == "h1" or holds[i]:
+                holds[i] = holds[i] or self.landmark[i] or tag[i] == "h1"
+                holds[parent[i]] = True
+        region_of = self._densest(holds, frozenset())
+        doubtful = [i for i in range(1, n) if self.doubtful[i] and not holds[i] and tag[i] not in ("body", "html")]
+        if doubtful:
+            # With all of them in: what holds the chosen node or most of it stays, and so does a dense part with few links.
+            _, chars, link_chars, _, peak, path, threshold = region_of
+            ways = set(path)
+            below = [False] * n
+            for i in range(1, n):
+                below[i] = parent[i] == path[0] or below[parent[i]]
+            held = {i for i in doubtful if i in ways or (below[i] and 2 * chars[i] > chars[path[0]])}
+            dense = {i for i in doubtful if tag[i] != "form" and chars[i] > 2 * link_chars[i] and peak[i] >= threshold}
+            region_of = self._densest(holds, frozenset(doubtful) - held - dense)
+        out, chars, link_chars, density, peak, path, threshold = region_of
+        best = path[0]
         region, ways = {best}, set(path[1:])
         for i in range(1, n):
             if out[i] or i in ways:

@@ -28,3 +28,27 @@ FIRST = f"<article><h1>A</h1><p>{said('One.', 9)}</p><p>{said('Two.', 5)}</p></a
 )
 def test_articles_of_a_page(page, text):
     assert extract(f"<body>{page}</body>") == "\n".join(text)
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<article>{{0}}<h2 id='related-work'>Related work</h2><p>{said('Three.', 4)}</p></article>", ["Related work", said("Three.", 4)]),
+        (f"<article>{{0}}<h2 id=cookies>Cookies</h2><p>{said('Three.', 4)}</p></article>", ["Cookies", said("Three.", 4)]),
+        (f"<article>{{0}}<section id='discussion'><h2>Discussion</h2><p>{said('Three.', 6)}</p></section></article>", ["Discussion", said("Three.", 6)]),
+        (f"<article>{{0}}<h2 id='search-results'>Results</h2><p class='no-follow'>{said('Three.', 4)}</p></article>", ["Results", said("Three.", 4)]),
+        ("<div class='content has-sidebar'>{0}</div>", []),
+        ("<form>{0}</form>", []),
+        ("<form method=post><div>{0}</div></form>", []),
+        ("<article>{0}<div class='related-posts'><ul>" + "<li><a href=/a>Go there</a>" * 9 + "</ul></div><form><p>mail</p></form><div class='post-comments'><p>Dense talk of others.</p></div></article>", []),
+    ],
+    ids=["related-work", "cookies", "discussion", "search-results", "has-sidebar", "form", "form of a div", "real noise"],
+)
+def test_names_of_noise(page, text):
+    first = [said("One.", 9), said("Two.", 5)]
+    html = "<body><nav><a href=/>x</a></nav>" + page.format("".join(f"<p>{x}</p>" for x in first)) + "<div class=ad>Buy</div></body>"
+    assert extract(html) == "\n".join(first + text)
+
+
+def test_a_form_may_be_the_page():
+    assert extract("<form><p>" + LINE + "</p></form>") == LINE
