@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import modify, pii
+from gleaner.functions.charmodel import CharacterModel
 from gleaner.functions.text import hash_unit, lines
 from gleaner.functions.tokenize import hashed_tokens
 from gleaner.operators import classify, compose, decontaminate, dedup, filters, fuzzy, ordinals, packing, sampling, sft
@@ -627,29 +628,32 @@ def pii_redaction_of_all_types(spark, sf_dir):
 # --- classifiers ---------------------------------------------------------------------------------------------
 
 
-def _halves(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """One half to train on, the other to predict."""
-    first = hash_unit("half", "doc_id") < 0.5
-    return df.filter(first), df.filter(~first)
+def _by_other_half(df: DataFrame, train: Callable[[DataFrame], CharacterModel], predict: Callable[[DataFrame, CharacterModel], DataFrame]) -> DataFrame:
+    """Each half is predicted by a model trained on the other, so every row gets a prediction of texts not seen."""
+    first = F.coalesce(hash_unit("half", "doc_id") < 0.5, F.lit(False))
+    one, other = df.filter(first), df.filter(~first)
+    return predict(other, train(one)).unionByName(predict(one, train(other)))
 
 
 @query
 def identify_language(spark, sf_dir):
-    """Trained on one half of the documents, predicted for the other."""
-    known, rest = _halves(docs(spark, sf_dir, "doc_id", "text", "lang"))
-    scored = classify.identify_language(rest.select("doc_id", "text"), classify.train_language_model(known))
+    """Every document by the model of the half that it is not in."""
+    known = docs(spark, sf_dir, "doc_id", "text", "lang")
+    scored = _by_other_half(known, classify.train_language_model, lambda rest, model: classify.identify_language(rest.select("doc_id", "text"), model))
     return scored.select("doc_id", classify.language_code().alias("language"))
 
 
 @query
 def drop_unsure_language(spark, sf_dir):
-    """Each text of one half as it is and in a script the model has not seen; the least score drops the latter."""
-    known, rest = _halves(docs(spark, sf_dir, "doc_id", "text", "lang"))
-    model = classify.train_language_model(known)
-    long_enough = rest.filter(F.length("text") >= 40).select("doc_id", "text", F.lit(False).alias("foreign"))
-    letters = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ")
-    foreign = long_enough.select("doc_id", F.regexp_replace(letters, "[^а-я]", "я").alias("text"), F.lit(True).alias("foreign"))
-    scored = classify.identify_language(long_enough.unionByName(foreign), model, min_score=MIN_LANGUAGE_SCORE)
+    """Each text as it is and in a script the model has not seen; the least score drops the latter, and texts too short to tell."""
+
+    def sure(rest, model):
+        own = rest.select("doc_id", "text", F.lit(False).alias("foreign"))
+        letters = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщ")
+        foreign = own.select("doc_id", F.regexp_replace(letters, "[^а-я]", "я").alias("text"), F.lit(True).alias("foreign"))
+        return classify.identify_language(own.unionByName(foreign), model, min_score=MIN_LANGUAGE_SCORE)
+
+    scored = _by_other_half(docs(spark, sf_dir, "doc_id", "text", "lang"), classify.train_language_model, sure)
     return scored.select("doc_id", "foreign", classify.language_code().alias("language"))
 
 
@@ -659,10 +663,10 @@ MIN_LANGUAGE_SCORE = 0.15
 
 @query
 def classify_domain(spark, sf_dir):
-    """Domains that the words of a text tell, trained on one half of the documents and predicted for the other."""
+    """Domains that the words of a text tell; every document by the model of the half that it is not in."""
     names = F.create_map(*[F.lit(x) for pair in DOMAIN_OF_LANGUAGE.items() for x in pair])
-    known, rest = _halves(docs(spark, sf_dir, "doc_id", "text", "lang").withColumn("domain", names[F.col("lang")]))
-    scored = classify.classify_domain(rest.select("doc_id", "text"), classify.train_domain_model(known))
+    known = docs(spark, sf_dir, "doc_id", "text", "lang").withColumn("domain", names[F.col("lang")])
+    scored = _by_other_half(known, classify.train_domain_model, lambda rest, model: classify.classify_domain(rest.select("doc_id", "text"), model))
     return scored.select("doc_id", "domain_pred")
 
 
