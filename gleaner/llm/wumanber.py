@@ -166,9 +166,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, item:
     and ``text``; a null text or one without words gives no pattern, a null name is the empty name.  A null document has no words.
     """
     spark = docs.sparkSession
-    # Items in blocks of a bounded number of windows, each collected for one pass.
-    n_blocks = 1 + (benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (2 * block_windows)
-    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), "text").filter("text IS NOT NULL")
+    # Distinct items in blocks of a bounded number of windows, each collected for one pass.
+    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), "text").filter("text IS NOT NULL").distinct()
+    n_blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (2 * block_windows)
     names = []
     for block in range(n_blocks):
         rows = [(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block).collect()]
