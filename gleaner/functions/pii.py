@@ -22,7 +22,7 @@ SPANS = "array<struct<type string, start int, end int, score double>>"
 # Java, Python and RE2 read them alike.  Groups repeat a bounded number of times (a host has at most 127 labels), since
 # Java takes a stack frame for every turn.
 PATTERNS: dict[str, tuple[str, float]] = {
-    "EMAIL_ADDRESS": (r"\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}\b", 1.0),
+    "EMAIL_ADDRESS": (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}\b", 1.0),
     "URL": (r"\b(?:https?://|www\.)[^\s<>]+", 0.95),
     "CREDIT_CARD": (r"\b[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{1,4}\b", 1.0),
     "IP_ADDRESS": (
