@@ -60,7 +60,7 @@ class CharacterModel:
         for doc, gram in grams(texts, self.ns, len(self.features)):
             if len(doc):
                 starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-                sums[doc[starts]] += np.add.reduceat(self.features[gram], starts, axis=0)
+                sums[doc[starts]] += np.add.reduceat(self.features[gram], starts, axis=0, dtype=np.float64)
                 shown[doc[starts]] += np.add.reduceat(known[gram], starts, axis=0, dtype=np.float64)
                 counts += np.bincount(doc, minlength=len(texts))
         means = sums / (counts + PSEUDO)[:, None]

@@ -24,7 +24,7 @@ from gleaner.functions.charmodel import CharacterModel, grams, runs
 from gleaner.functions.modify import label_prefix
 from gleaner.functions.text import hash_unit, words
 from gleaner.operators.sampling import sample_about
-from gleaner.session import materialize
+from gleaner.session import materialize, scratch_path
 
 # The domain names.
 DOMAINS = [
@@ -190,7 +190,11 @@ def train_quality_model(
         HashingTF(numFeatures=dim, inputCol="_grams", outputCol="features"),
         LogisticRegression(maxIter=epoch, regParam=reg, labelCol="_index"),
     ]
-    return WordModel(Pipeline(stages=steps).fit(indexer.transform(labelled)), list(indexer.labels))
+    fitted = Pipeline(stages=steps).fit(indexer.transform(labelled))
+    # A freshly fitted model holds its training summary and through it the session, which cannot be sent to a task.
+    path = scratch_path(df.sparkSession, "quality-model")
+    fitted.write().overwrite().save(path)
+    return WordModel(PipelineModel.load(path), list(indexer.labels))
 
 
 def score_quality(df: DataFrame, model: WordModel, high_label: str = "hq", text_field: str = "text") -> DataFrame:

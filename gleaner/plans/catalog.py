@@ -15,6 +15,7 @@ from gleaner.functions.tokenize import hashed_tokens
 from gleaner.operators import classify, compose, decontaminate, dedup, filters, fuzzy, ordinals, packing, sampling, sft
 from gleaner.operators.components import connected_components
 from gleaner.plans import curation, sft_data
+from gleaner.plans.settings import BLOCK_TAG, DOMAIN_OF_LANGUAGE, MIN_LANGUAGE_SCORE
 from gleaner.session import materialize, scratch_path, ship_package
 from gleaner.sources import readers, writers
 
@@ -490,7 +491,7 @@ def _odd_texts(spark, sf_dir):
     """Texts with URLs, bullets, ellipses, boilerplate and paragraphs, made of every page, whole, and conversation turn."""
     pages = load(spark, sf_dir, "pages", "page_id", "url", "html")
     said = load(spark, sf_dir, "conversations", "conv_id", "turn", "text")
-    line = F.regexp_replace("html", "[<>\n]", " ")
+    line = F.regexp_replace(F.regexp_replace("html", BLOCK_TAG, "\n\n"), "<[^>]*>", " ")  # blocks are paragraphs
     note = F.element_at(F.array(*map(F.lit, ("We use cookies.", "Lorem ipsum dolor.", "Plain end.", "See our Privacy Policy"))), (F.col("page_id") % 4 + 1).cast("int"))
     page = F.concat_ws("\n\n", F.concat(F.lit("* "), "url"), line, F.when(F.col("page_id") % 3 == 0, line), F.concat(F.lit("- see http://"), F.col("page_id"), F.lit(".org ...")), note)
     turn = F.concat_ws("\n", F.concat(F.lit("• "), F.regexp_replace("text", "\n", " ")), F.when(F.col("turn") % 2 == 0, F.lit("and so on…")), F.lit("www.example.org/x"))
@@ -645,7 +646,10 @@ def identify_language(spark, sf_dir):
 
 @query
 def drop_unsure_language(spark, sf_dir):
-    """Each text as it is and in a script the model has not seen; the least score drops the latter, and texts too short to tell."""
+    """Each text as it is and in a script the model has not seen; the least score drops the latter.
+
+    A short text is dropped only where it is mostly of n-grams that its language has not shown.
+    """
 
     def sure(rest, model):
         own = rest.select("doc_id", "text", F.lit(False).alias("foreign"))
@@ -657,10 +661,6 @@ def drop_unsure_language(spark, sf_dir):
     return scored.select("doc_id", "foreign", classify.language_code().alias("language"))
 
 
-DOMAIN_OF_LANGUAGE = {"en": "News", "de": "Science", "fr": "Finance", "es": "Sports"}
-MIN_LANGUAGE_SCORE = 0.15
-
-
 @query
 def classify_domain(spark, sf_dir):
     """Domains that the words of a text tell; every document by the model of the half that it is not in."""

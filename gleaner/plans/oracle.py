@@ -7,8 +7,11 @@ layout.  The tables hold no white space but space and line break, which the SQL
 from __future__ import annotations
 
 from gleaner.functions import pii
+from gleaner.functions.minhash import BASE
+from gleaner.functions.charmodel import PSEUDO
 from gleaner.functions.modify import TAG_OR_URL
 from gleaner.functions.tokenize import PIECE
+from gleaner.plans.settings import BLOCK_TAG, DOMAIN_OF_LANGUAGE, MIN_LANGUAGE_SCORE
 
 WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
 LINES = "list_filter(string_split(text, chr(10)), lambda s: trim(s, ' ' || chr(10)) <> '')"
@@ -20,7 +23,7 @@ MARKS = '[.!?"”]'
 UNIT = "('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0"
 
 
-HELD_OUT = f"NOT {UNIT.format(chr(39) + 'half:' + chr(39) + ' || doc_id')} < 0.5"
+FIRST_HALF = f"{UNIT.format(chr(39) + 'half:' + chr(39) + ' || doc_id')} < 0.5"
 
 
 def _ids(text: str) -> str:
@@ -183,7 +186,8 @@ def _spans(name: str) -> str:
 
 
 ODD_FILTERS = ("urls", "boilerplate", "unique_paragraphs", "unique_paragraph_chars", "ellipsis", "bullets")
-_LINE = "regexp_replace(left(html, 400), '[<>\\n]', ' ', 'g')"
+_BLOCKS = f"regexp_replace(html, '{BLOCK_TAG}', chr(10) || chr(10), 'g')"
+_LINE = f"regexp_replace({_BLOCKS}, '<[^>]*>', ' ', 'g')"
 ODD_TEXTS = f"""
   SELECT page_id * 1000 + 999 AS doc_id, concat_ws(chr(10) || chr(10), '* ' || url, {_LINE}, CASE WHEN page_id % 3 = 0 THEN {_LINE} END,
     '- see http://' || page_id || '.org ...', ['We use cookies.', 'Lorem ipsum dolor.', 'Plain end.', 'See our Privacy Policy'][page_id % 4 + 1]) AS text
@@ -236,7 +240,7 @@ _SECTIONS = rf"""
 
 def _minhash() -> str:
     """``sig``: signature per document as a list of 260 numbers; window hashes and orderings as in the library, step by step."""
-    from gleaner.functions.minhash import BASE, MIX, orderings
+    from gleaner.functions.minhash import MIX, orderings
 
     whole, low = "18446744073709551616::UHUGEINT", 4294967296
     terms = " + ".join(f"lead(c, {k}, 0) OVER d * {pow(BASE, k, 1 << 64)}::UHUGEINT" for k in range(24))
@@ -267,6 +271,44 @@ _GROUPS = """
   reach(a, b) AS (SELECT a, a FROM sym UNION SELECT reach.a, sym.b FROM reach JOIN sym ON reach.b = sym.a),
   groups AS (SELECT a AS doc_id, min(b) AS "group" FROM reach GROUP BY a)"""
 
+_LETTERS = "translate(lower(text), 'abcdefghijklmnopqrstuvwxyz', 'абвгдежзийклмнопрстуфхцчшщ')"
+_DOMAIN_CASES = " ".join(f"WHEN '{lang}' THEN '{domain}'" for lang, domain in DOMAIN_OF_LANGUAGE.items())
+
+
+def _naive_bayes(label: str, ns: tuple[int, ...], features: int = 1 << 16, foreign: bool = False) -> str:
+    """``best``: label and score of every document by naive Bayes counted over the half that it is not in.
+
+    With ``foreign`` each text comes a second time, in letters that the model has not seen.
+    """
+    copies = f"""UNION ALL SELECT doc_id, true, half, regexp_replace({_LETTERS}, '[^а-я]', 'я', 'g') FROM halves""" if foreign else ""
+    grams = []
+    for n in ns:
+        value = " + ".join(f"lead(c, {k}) OVER d * {pow(BASE, n - k, 1 << 64)}::UHUGEINT" for k in range(n))
+        grams.append(f"SELECT doc_id, \"foreign\", ((({value}) % 18446744073709551616::UHUGEINT)::UBIGINT >> 32) % {features} AS f FROM chars WINDOW d AS (PARTITION BY doc_id, \"foreign\" ORDER BY i)")
+    return f"""
+      WITH halves AS (SELECT doc_id, text, {label} AS label, {FIRST_HALF} AS half FROM documents),
+      texts AS (SELECT doc_id, false AS "foreign", half, lower(text) AS text FROM halves {copies}),
+      chars AS (SELECT doc_id, "foreign", i, (unicode(ch) + 1)::UHUGEINT AS c
+                FROM (SELECT doc_id, "foreign", unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) AS i
+                      FROM texts WHERE length(text) > 0)),
+      freq AS (SELECT doc_id, "foreign", f, count(*) AS n FROM ({" UNION ALL ".join(grams)}) WHERE f IS NOT NULL GROUP BY ALL),
+      counts AS (SELECT half, label, f, sum(n) AS n FROM freq JOIN halves USING (doc_id) WHERE NOT "foreign" GROUP BY ALL),
+      totals AS (SELECT half, label, sum(n) + {features} AS total FROM counts GROUP BY ALL),
+      priors AS (SELECT half, label, ln(count(*) / sum(count(*)) OVER (PARTITION BY half)) AS prior FROM halves GROUP BY half, label),
+      sums AS (
+        SELECT t.doc_id, t."foreign", p.label, any_value(p.prior) + coalesce(sum(q.n * ln((coalesce(c.n, 0) + 1) / w.total)::FLOAT::DOUBLE), 0) AS total,
+               coalesce(sum(q.n) FILTER (c.n > 0), 0) AS shown, coalesce(sum(q.n), 0) AS grams
+        FROM texts t JOIN priors p ON p.half <> t.half JOIN totals w ON w.half = p.half AND w.label = p.label
+        LEFT JOIN freq q ON q.doc_id = t.doc_id AND q."foreign" = t."foreign"
+        LEFT JOIN counts c ON c.half = p.half AND c.label = p.label AND c.f = q.f
+        GROUP BY t.doc_id, t."foreign", p.label),
+      odds AS (SELECT *, exp(total / (grams + {PSEUDO}) - max(total / (grams + {PSEUDO})) OVER (PARTITION BY doc_id, "foreign")) AS odd FROM sums),
+      best AS (
+        SELECT doc_id, "foreign", arg_max(label, total) AS label,
+               arg_max(odd, total) / sum(odd) * arg_max(shown, total) / greatest(max(grams), 1) AS score
+        FROM odds GROUP BY doc_id, "foreign")"""
+
+
 _CURATED = f"""
   SELECT d.doc_id, len({WORDS})::BIGINT AS word_count FROM documents d
   WHERE len({WORDS}) BETWEEN 80 AND 100000 AND {FILTERS['complete_document'][0]}
@@ -396,12 +438,10 @@ ORACLE: dict[str, str] = {
     "over_length_flag": f"SELECT conv_id, turn, len(f) > 512 AS over_length FROM ({TOKENS})",
     "pii_spans": "\nUNION ALL\n".join(_spans(t) for t in PII_TYPES),
     "pii_redaction": f"SELECT doc_id, {_redacted(PII_TYPES)} AS text FROM documents",
-    # The labels of the half that the models have not seen.
-    "identify_language": f"SELECT doc_id, upper(lang) AS language FROM documents WHERE {HELD_OUT}",
-    "drop_unsure_language": f"SELECT doc_id, false AS foreign, upper(lang) AS language FROM documents WHERE {HELD_OUT} AND length(text) >= 40",
-    "classify_domain": f"""
-      SELECT doc_id, CASE lang WHEN 'en' THEN 'News' WHEN 'de' THEN 'Science' WHEN 'fr' THEN 'Finance' ELSE 'Sports' END AS domain_pred
-      FROM documents WHERE {HELD_OUT}""",
+    "identify_language": _naive_bayes("lang", (1, 2, 3)) + " SELECT doc_id, upper(label) AS language FROM best",
+    "drop_unsure_language": _naive_bayes("lang", (1, 2, 3), foreign=True)
+    + f' SELECT doc_id, "foreign", upper(label) AS language FROM best WHERE score >= {MIN_LANGUAGE_SCORE}',
+    "classify_domain": _naive_bayes(f"CASE lang {_DOMAIN_CASES} END", (4, 6)) + " SELECT doc_id, label AS domain_pred FROM best",
     "quality_training_set": f"""
       WITH g AS (SELECT doc_id, text, quality, count(*) OVER (PARTITION BY quality) AS n FROM documents JOIN labels USING (doc_id))
       SELECT doc_id, CASE quality WHEN 1 THEN '__label__hq ' ELSE '__label__lq ' END || regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text
