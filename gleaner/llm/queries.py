@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.bbit import near_duplicates
 from gleaner.llm.bestfit import pack_best_fit, token_pieces
+from gleaner.llm.bitslices import whiten
+from gleaner.llm.chatlog import conversation_digests, format_conversations, log_of_conversations
 from gleaner.llm.hilbert import hilbert_shards
 from gleaner.llm.htmltext import extract_main_text
 from gleaner.llm.license import scan_licenses
 from gleaner.llm.linededup import apply_bitmap, drop_bitmaps, lines_of, with_row_key
 from gleaner.llm.quality import COUNTS, judge_quality, train_quality
 from gleaner.llm.substring import remove_repeated_substrings
+from gleaner.llm.subvectors import cluster_vectors
 from gleaner.llm.toxicity import score_toxicity, train_toxicity
 from gleaner.llm.wumanber import benchmark_hits, is_contaminated
 from gleaner.session import ship_package
@@ -109,6 +112,25 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, similarity=0.8)
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster_vectors(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, scale=1024, seed=3).described()
+    totals = (F.col(c).cast("long").alias(c) for c in ("cluster_inertia", "inertia"))
+    return found.select("vec_id", "cluster", "distance", *totals, "centroid_sha256")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whitened = whiten(table(spark, sf_dir, "embeddings"), components=4, dims=64, scale=256)
+    return whitened.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    parts = format_conversations(log_of_conversations(conversations), message=("turn", "message", "copy"))
+    return conversation_digests(parts)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -120,4 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_chat_formatting": op13_chat_formatting,
 }

@@ -6,6 +6,33 @@ SPACES = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _clustering(k: int, rounds: int) -> str:
+    """Lloyd's rounds in whole numbers, one step of the query after the other."""
+    steps = [
+        "vec AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY name, v) - 1 AS cluster, v AS c FROM (SELECT sha256('3:' || vec_id) AS name, v FROM vec ORDER BY name, v LIMIT {k}))",
+    ]
+    apart = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    for r in range(rounds + 1):
+        steps.append(
+            f"a{r} AS MATERIALIZED (SELECT vec_id, any_value(v) AS v, min(struct_pack(distance := d, cluster := cluster)) AS best"
+            f" FROM (SELECT vec_id, n, v, cluster, {apart} AS d FROM (SELECT *, row_number() OVER () AS n FROM vec), c{r}) GROUP BY vec_id, n)"
+        )
+        # The floor of the mean: division of integers cuts towards zero, so the remainder is taken off first.
+        mean = "list((s - ((s % n) + n) % n) // n ORDER BY d)"
+        sums = f"SELECT best.cluster AS cluster, d, sum(v[d])::BIGINT AS s, count(*) AS n FROM (SELECT best, v, unnest(range(1, 65)) AS d FROM a{r}) GROUP BY ALL"
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT o.cluster, coalesce(m.c, o.c) AS c FROM c{r} o LEFT JOIN (SELECT cluster, {mean} AS c FROM ({sums}) GROUP BY cluster) m USING (cluster))")
+    return f"""
+WITH {", ".join(steps[:-1])}
+SELECT vec_id, best.cluster::INT AS cluster, best.distance AS distance,
+       sum(best.distance) OVER (PARTITION BY best.cluster)::BIGINT AS cluster_inertia, sum(best.distance) OVER ()::BIGINT AS inertia,
+       sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON c{rounds}.cluster = best.cluster"""
+
+
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACES}') AS ws FROM documents),
@@ -67,4 +94,15 @@ link AS (
 reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT reach.doc_id, y AS r FROM reach JOIN link ON reach.r = link.x)
 SELECT n.doc_id, n AS n_shingles, min(r) AS component_id, n.doc_id = min(r) AS kept
 FROM n JOIN reach USING (doc_id) GROUP BY n.doc_id, n""",
+    "op11_centroid_clustering": _clustering(8, 10),
+    "op13_chat_formatting": rf"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length(role) + length(text) + length('<|im_start|><|im_end|>') + 2
+           + len(regexp_extract_all(text, '<\\*(\||s>|/s>|<SYS>>|</SYS>>)|\[\\*/?INST\]')))::BIGINT AS formatted_chars
+FROM said GROUP BY conv_id""",
 }
