@@ -51,20 +51,31 @@ class Template:
                     raise ValueError(f"{b!r} may begin within {a!r}, which could not be read back")
 
     @cached_property
-    def _inside(self) -> re.Pattern:
-        """After the first character of a control string that may hold backslashes there."""
-        return re.compile("|".join(rf"(?<={re.escape(c[0])})(?=\\*{re.escape(c[1:])})" for c in self.controls))
+    def _starts(self) -> dict[str, str]:
+        """Per first character, a pattern of what follows it in a control string that may hold backslashes there."""
+        starts: dict[str, list[str]] = {}
+        for c in self.controls:
+            starts.setdefault(c[0], []).append(re.escape(c[1:]))
+        return {first: rf"(?=\\*(?:{'|'.join(rest)}))" for first, rest in starts.items()}
+
+    @cached_property
+    def _plain(self) -> re.Pattern:
+        return re.compile("|".join(re.escape(first) + rest for first, rest in self._starts.items()))
 
     @cached_property
     def _escaped(self) -> re.Pattern:
-        return re.compile("|".join(rf"(?<={re.escape(c[0])})\\(?=\\*{re.escape(c[1:])})" for c in self.controls))
+        return re.compile("|".join(rf"{re.escape(first)}\\{rest}" for first, rest in self._starts.items()))
 
     def escape(self, text: str) -> str:
-        return self._inside.sub(r"\\", text)
+        if not any(first in text for first in self._starts):
+            return text
+        return self._plain.sub(lambda m: m[0] + "\\", text)
 
     def unescape(self, text: str) -> str:
+        if "\\" not in text:
+            return text
         # The first backslash of a run goes, the others stay.
-        return self._escaped.sub("", text)
+        return self._escaped.sub(lambda m: m[0][:-1], text)
 
     def render(self, role: str, text: str) -> tuple[str, int, int]:
         """A formatted turn, and where the text begins and ends in it."""
