@@ -166,12 +166,61 @@ def _cascade_counts() -> str:
       FROM (VALUES {names}) s(step, filter), total"""
 
 
+_WORD_CHAR = r"\p{L}\p{M}\p{N}_"
+_NAME_SECOND = "[A-Z][a-z]+|" + "|".join(pii.FAMILY_NAMES)
+
+
+def _listed(words: list[str], second: bool) -> str:
+    """A pattern over text in which every character that is no part of a word stands between two chr(1)."""
+    mark, gap = "\x01", "\x01 \x01"
+    listed = "|".join(sorted((w.replace(" ", gap) for w in words), key=lambda w: (-len(w), w)))
+    return f"{mark}({listed})" + (f"({gap}({_NAME_SECOND}))?" if second else "") + mark
+
+
+def _marked(text: str) -> str:
+    return f"(chr(1) || regexp_replace({text}, '([^{_WORD_CHAR}])', chr(1) || '\\1' || chr(1), 'g') || chr(1))"
+
+
+_PERSONS, _PLACES = _listed(pii.GIVEN_NAMES, True), _listed(pii.PLACES, False)
+_LUHN = """(len(hit_digits) >= 13 AND list_sum(list_transform(range(1, len(hit_digits) + 1), lambda i:
+  CASE WHEN i % 2 = 1 THEN hit_digits[-i]::INT WHEN hit_digits[-i]::INT > 4 THEN 2 * hit_digits[-i]::INT - 9 ELSE 2 * hit_digits[-i]::INT END)) % 10 = 0)"""
+
+
+def _resolved(types: list[str]) -> str:
+    """``kept``: the spans that stay, one after the other by score, length and place; a span that meets one kept goes."""
+    parts = []
+    for name in types:
+        if name in pii.LISTED:
+            # Split at the phrases; without the marks, a hit is the phrase and the rest the text between.
+            pattern, text, score = (_PERSONS if name == "PERSON" else _PLACES), _marked("text"), pii.LIST_SCORE
+            clean = "list_transform({0}, lambda x: replace(x, chr(1), ''))"
+        else:
+            pattern, score = pii.Lexicon().address() if name == "ADDRESS" else pii.PATTERNS[name]
+            text, clean = "text", "{0}"
+        rest, hits = clean.format(f"string_split_regex({text}, '{pattern}')"), clean.format(f"regexp_extract_all({text}, '{pattern}')")
+        found = f"SELECT doc_id, {rest} AS rest, {hits} AS hits FROM documents"
+        each = f"SELECT doc_id, rest, hits, unnest(range(1, len(hits) + 1)) AS k FROM ({found})"
+        begin = "(length(array_to_string(rest[1:k], '')) + length(array_to_string(hits[1:k - 1], '')))"
+        spans = f"SELECT doc_id, '{name}' AS kind, {begin} AS s, {begin} + length(hits[k]) AS e, {score}::DOUBLE AS score, hits[k] AS hit FROM ({each})"
+        if name == "CREDIT_CARD":
+            spans = f"SELECT * EXCLUDE (hit_digits) FROM (SELECT *, regexp_extract_all(hit, '[0-9]') AS hit_digits FROM ({spans})) WHERE {_LUHN}"
+        parts.append(spans)
+    return f"""
+      spans AS ({" UNION ALL ".join(parts)}),
+      ranked AS (SELECT doc_id, list([struct_pack(s := s, e := e, kind := kind)] ORDER BY score DESC, e - s DESC, s, kind) AS found FROM spans GROUP BY doc_id),
+      kept AS (
+        SELECT doc_id, unnest(list_reduce(found, lambda acc, x: CASE WHEN len(list_filter(acc, lambda k: k.s < x[1].e AND x[1].s < k.e)) = 0
+          THEN list_concat(acc, x) ELSE acc END), recursive := true) FROM ranked)"""
+
+
 def _redacted(types: list[str]) -> str:
-    out = "text"
-    for name in pii.PATTERNS:
-        if name in types:
-            out = f"regexp_replace({out}, '{pii.PATTERNS[name][0]}', '<{name}>', 'g')"
-    return out
+    return f"""
+      WITH {_resolved(types)},
+      cut AS (SELECT doc_id, s, e, kind, lag(e, 1, 0) OVER (PARTITION BY doc_id ORDER BY s) AS before FROM kept),
+      masked AS (
+        SELECT doc_id, string_agg(substr(text, before + 1, s - before) || '<' || kind || '>', '' ORDER BY s) AS head, max(e) AS e
+        FROM cut JOIN documents USING (doc_id) GROUP BY doc_id)
+      SELECT doc_id, coalesce(head, '') || substr(text, coalesce(e, 0) + 1) AS text FROM documents LEFT JOIN masked USING (doc_id)"""
 
 
 def _spans(name: str) -> str:
@@ -437,7 +486,9 @@ ORACLE: dict[str, str] = {
       FROM m""",
     "over_length_flag": f"SELECT conv_id, turn, len(f) > 512 AS over_length FROM ({TOKENS})",
     "pii_spans": "\nUNION ALL\n".join(_spans(t) for t in PII_TYPES),
-    "pii_redaction": f"SELECT doc_id, {_redacted(PII_TYPES)} AS text FROM documents",
+    "pii_redaction": _redacted(PII_TYPES),
+    "pii_redaction_of_persons": _redacted(["PERSON"]),
+    "pii_redaction_of_all_types": _redacted(pii.ENTITIES),
     "identify_language": _naive_bayes("lang", (1, 2, 3)) + " SELECT doc_id, upper(label) AS language FROM best",
     "drop_unsure_language": _naive_bayes("lang", (1, 2, 3), foreign=True)
     + f' SELECT doc_id, "foreign", upper(label) AS language FROM best WHERE score >= {MIN_LANGUAGE_SCORE}',
