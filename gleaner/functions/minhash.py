@@ -19,8 +19,8 @@ MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 _BLOCK = 1024
 
 
-def shingle_values(text: str, width: int) -> np.ndarray:
-    """One 32-bit value per position of a character n-gram; a shorter, non-empty text is one n-gram."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """One 64-bit hash per position of a character n-gram; a shorter, non-empty text is one n-gram."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     width = min(width, len(codes))
     with np.errstate(over="ignore"):
@@ -34,7 +34,12 @@ def shingle_values(text: str, width: int) -> np.ndarray:
             value ^= value >> np.uint64(33)
             value *= np.uint64(m)
         value ^= value >> np.uint64(33)
-    return value.astype(np.uint32)
+    return value
+
+
+def shingle_values(text: str, width: int) -> np.ndarray:
+    """The low 32 bits of the hashes."""
+    return shingle_hashes(text, width).astype(np.uint32)
 
 
 def orderings(num_hashes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:

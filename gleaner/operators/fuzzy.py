@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.minhash import minhash
 from gleaner.operators.components import connected_components
 from gleaner.operators.dedup import remove_ids
+from gleaner.operators.similarity_join import confirmed_edges
 from gleaner.operators.skew import join_by_heavy_key
 from gleaner.session import materialize
 
@@ -25,7 +26,8 @@ from gleaner.session import materialize
 class FuzzyConfig:
     """``bands_per_pass`` bounds the shuffle on disk: so many bands are shuffled at once, all by default.
 
-    With ``false_positive_check`` an edge must also reach ``jaccard_threshold`` over the character n-grams.
+    With ``false_positive_check`` an edge must also reach ``jaccard_threshold`` over the character n-grams, and all members
+    of a bucket that do are joined, see ``similarity_join.py``.
     """
 
     id_field: str = "id"
@@ -70,6 +72,7 @@ def bucket_edges(
     """Edges ``(src, dst, *key)`` from each member of a shared bucket to the smallest id in it."""
     key = list(key)
     centres = buckets.groupBy(*key).agg(F.min(id_field).alias("dst"), F.count("*").alias("n")).filter("n > 1")
+    centres = materialize(centres, "centres")  # read for the heavy ones and for the join
     joined = join_by_heavy_key(buckets, centres, key, centres, rows_per_salt=rows_per_salt)
     return joined.filter(F.col(id_field) != F.col("dst")).select(F.col(id_field).alias("src"), "dst", *key)
 
@@ -111,25 +114,10 @@ def edge_similarity(edges: DataFrame, df: DataFrame, config: FuzzyConfig) -> Dat
 
 
 def _confirmed_edges(buckets: DataFrame, df: DataFrame, config: FuzzyConfig) -> DataFrame:
-    """Edges that pass the similarity check.
-
-    A member that fails against the centre of its bucket may still match another member.  Those that failed
-    form the bucket again without the others, with a centre of their own, until none is left over.
-    """
-    passed = []
-    while True:
-        edges = materialize(bucket_edges(buckets, config.id_field, config.rows_per_salt), "candidates")
-        if edges.isEmpty():
-            break
-        scored = materialize(edge_similarity(edges, df, config), "similarity")
-        passed.append(scored.filter(F.col("similarity") >= config.jaccard_threshold).select("src", "dst"))
-        failed = scored.filter(F.col("similarity") < config.jaccard_threshold).select("src", "dst")
-        left = edges.join(failed, ["src", "dst"], "left_semi")
-        left = left.select(F.col("src").alias(config.id_field), "band", "h1", "h2")
-        buckets = materialize(left, "rejected")
-    if not passed:
-        return edges.select("src", "dst")
-    return reduce(DataFrame.unionByName, passed).distinct()
+    """Edges between members of a bucket that pass the similarity check, enough to join all that do."""
+    return confirmed_edges(
+        buckets, df, config.id_field, config.text_field, config.char_ngrams, config.jaccard_threshold, rows_per_salt=config.rows_per_salt
+    )
 
 
 def fuzzy_edges(df: DataFrame, config: FuzzyConfig) -> DataFrame:

@@ -520,6 +520,14 @@ ORACLE: dict[str, str] = {
     "remove_fuzzy_duplicates": f"""
       WITH RECURSIVE {_minhash()}, {_BANDS}, {_GROUPS}
       SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM groups WHERE doc_id <> "group")""",
+    "confirmed_fuzzy_duplicates": f"""
+      WITH RECURSIVE {_minhash()}, {_BANDS.rsplit("edges AS", 1)[0]}
+      pairs AS (SELECT DISTINCT a.doc_id AS src, b.doc_id AS dst FROM bands a JOIN bands b USING (band, h1, h2) WHERE a.doc_id > b.doc_id),
+      s AS (SELECT doc_id, unnest({_SHINGLES.format('text')}) AS g FROM documents WHERE doc_id IN (SELECT src FROM pairs UNION SELECT dst FROM pairs)),
+      n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+      c AS (SELECT p.src, p.dst, count(b.g) AS c FROM pairs p JOIN s a ON a.doc_id = p.src LEFT JOIN s b ON b.doc_id = p.dst AND b.g = a.g GROUP BY ALL),
+      edges AS (SELECT c.src, c.dst FROM c JOIN n x ON x.doc_id = c.src JOIN n y ON y.doc_id = c.dst WHERE c.c / (x.n + y.n - c.c) >= 0.8),
+      {_GROUPS} SELECT * FROM groups""",
     "contaminated_positions": _HITS,
     "remove_contaminated_sections": _SECTIONS,
     "remove_contaminated_documents": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_HITS}))",

@@ -178,6 +178,54 @@ def test_check_drops_a_weak_edge_but_keeps_the_rest_of_the_bucket(spark):
     assert {(r.src, r.dst) for r in edges.collect()} == {(2, 1)}
 
 
+def test_similarity_join_equals_all_pairs(spark):
+    """Components of all pairs of a bucket that reach the similarity, in buckets of copies, near copies, chains and unlike members."""
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    shared = word(120)
+    rows = [(i, shared + word(160)) for i in range(150)]  # unlike, with much in common
+    base = word(300)
+    rows += [(200 + i, base[: 300 - 8 * i] + word(8 * i)) for i in range(20)]  # a chain: neighbours are alike
+    rows += [(300 + i, rows[5 + i % 3][1]) for i in range(30)] + [(400 + i, rows[7][1][:-3] + word(3)) for i in range(10)] + [(500, "short"), (501, "short")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    named = [(i, 0, i % 2, 7) for i, _ in rows] + [(i, 1, 0, i % 3) for i, _ in rows if i >= 150]
+    buckets = spark.createDataFrame(named, "id long, band int, h1 long, h2 long")
+    got = fuzzy.connected_components(fuzzy._confirmed_edges(buckets, df, fuzzy.FuzzyConfig(char_ngrams=9, rows_per_salt=20)))
+
+    sets = {i: fuzzy._shingles(t, 9) for i, t in rows}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    by_bucket = {}
+    for i, *bucket in named:
+        by_bucket.setdefault(tuple(bucket), []).append(i)
+    for members in by_bucket.values():
+        for x in members:
+            for y in members:
+                if x < y and len(sets[x] & sets[y]) / len(sets[x] | sets[y]) >= 0.8:
+                    a, b = root(x), root(y)
+                    parent[max(a, b)] = min(a, b)
+    groups = {i: root(i) for i in sets}
+    shared_ids = {i for i in groups if list(groups.values()).count(groups[i]) > 1}
+    assert {(r.id, r.group) for r in got.collect()} == {(i, groups[i]) for i in shared_ids}
+
+
+def test_a_bucket_of_many_unlike_members(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    shared = word(300)
+    rows = [(i, shared + word(200)) for i in range(2000)] + [(3000, None)]
+    rows[-1] = (3000, rows[1234][1][:-2] + "zz")
+    df = spark.createDataFrame(rows, "id long, text string")
+    buckets = df.select("id", F.lit(0).alias("band"), F.lit(1).cast("long").alias("h1"), F.lit(2).cast("long").alias("h2"))
+    edges = fuzzy._confirmed_edges(buckets, df, fuzzy.FuzzyConfig())
+    assert {(r.src, r.dst) for r in edges.collect()} == {(3000, 1234)}
+
+
 def test_null_texts_are_no_copies(spark):
     df = corpus(spark, [(1, None), (2, None), (3, "a"), (4, "a"), (5, "")])
     assert {r.id for r in dedup.remove_exact_duplicates(df).collect()} == {1, 2, 3, 5}
