@@ -2,29 +2,25 @@
 
 A model is any function that adds a prediction to a DataFrame, so a user's own model can stand in.  Language and
 domain use naive Bayes over hashed character n-grams, counted per task and summed by a grouping; quality uses
-Spark ML's logistic regression over hashed word n-grams.  The size of a model is set by ``features`` and the
-number of labels, not by the corpus.
+averaged word n-gram embeddings (``supervised.py``).  The size of a model is set by its parameters and the number of labels,
+not by the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, NGram, StringIndexer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.charmodel import CharacterModel, grams, runs
 from gleaner.functions.modify import label_prefix
-from gleaner.functions.text import hash_unit, words
+from gleaner.functions.text import hash_unit
 from gleaner.operators.sampling import sample_about
-from gleaner.session import materialize, scratch_path
+from gleaner.operators.supervised import TextModel, train_supervised
+from gleaner.session import materialize
 
 # The domain names.
 DOMAINS = [
@@ -94,23 +90,6 @@ def train_character_model(
     )
 
 
-@dataclass
-class WordModel:
-    """A fitted Spark ML model over word n-grams with its label names."""
-
-    model: PipelineModel
-    labels: Sequence[str]
-
-    def probability(self, df: DataFrame, label: str, text_field: str, into: str) -> DataFrame:
-        scored = self.model.transform(df.withColumn("_units", _units(text_field)))
-        place = list(self.labels).index(label) + 1
-        return scored.select(*df.columns, F.element_at(vector_to_array("probability"), place).alias(into))
-
-
-def _units(text_field: str) -> Column:
-    return words(F.lower(F.coalesce(F.col(text_field), F.lit(""))))
-
-
 def train_language_model(
     df: DataFrame, text_field: str = "text", label_field: str = "lang", ns: Sequence[int] = (1, 2, 3), features: int = 1 << 16
 ) -> CharacterModel:
@@ -172,34 +151,15 @@ def read_training_lines(df: DataFrame, field: str = "value") -> DataFrame:
 
 
 def train_quality_model(
-    df: DataFrame, text_field: str = "text", label_field: str = "label", word_ngrams: int = 2, epoch: int = 5, dim: int = 1 << 16, reg: float = 0.01
-) -> WordModel:
-    """Logistic regression over ``dim`` hashed word n-grams, trained on a labelled sample.
+    df: DataFrame, text_field: str = "text", label_field: str = "label", lr: float = 0.01, dim: int = 100, epoch: int = 5, word_ngrams: int = 2, **settings
+) -> TextModel:
+    """The supervised classifier over a labelled sample; see ``train_supervised``."""
+    return train_supervised(df, text_field, label_field, lr, dim, epoch, word_ngrams, **settings)
 
-    ``epoch`` is the number of passes over the sample that the optimiser makes at most.  It finds its own step length,
-    so there is no learning rate; ``reg`` is the weight of the squared coefficients.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    labelled = df.filter(F.col(label_field).isNotNull()).select(F.col(label_field).cast("string").alias("_name"), text_field)
-    # Training passes over the sample again and again: one written copy, spread over all cores.
-    labelled = materialize(labelled.repartition(cores), "training").withColumn("_units", _units(text_field))
-    # Ordered by name, so that the numbering does not depend on the counts.
-    indexer = StringIndexer(inputCol="_name", outputCol="_index", stringOrderType="alphabetAsc").fit(labelled)
-    steps = [
-        NGram(n=word_ngrams, inputCol="_units", outputCol="_grams"),
-        HashingTF(numFeatures=dim, inputCol="_grams", outputCol="features"),
-        LogisticRegression(maxIter=epoch, regParam=reg, labelCol="_index"),
-    ]
-    fitted = Pipeline(stages=steps).fit(indexer.transform(labelled))
-    # A freshly fitted model holds its training summary and through it the session, which cannot be sent to a task.
-    path = scratch_path(df.sparkSession, "quality-model")
-    fitted.write().overwrite().save(path)
-    return WordModel(PipelineModel.load(path), list(indexer.labels))
-
-
-def score_quality(df: DataFrame, model: WordModel, high_label: str = "hq", text_field: str = "text") -> DataFrame:
+
+def score_quality(df: DataFrame, model: TextModel, high_label: str = "hq", text_field: str = "text") -> DataFrame:
     """Add ``quality_score``, the probability of the high-quality label."""
-    return model.probability(df, high_label, text_field, "quality_score")
+    return model.predict(df, high_label, text_field, "quality_score")
 
 
 def keep_by_quality(

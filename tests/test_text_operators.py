@@ -231,7 +231,7 @@ def test_domain_model_takes_known_domains_and_any_function(spark):
 def test_quality_model_separates_its_labels(spark):
     good, bad = "a clear sentence about science", "buy cheap now click here"
     lines = spark.createDataFrame([(f"__label__hq {good}",), (f"__label__lq {bad}",)] * 10, "value string")
-    model = classify.train_quality_model(classify.read_training_lines(lines), dim=1 << 10)
+    model = classify.train_quality_model(classify.read_training_lines(lines), lr=0.5, epoch=20, buckets=1 << 10)
     scores = column(classify.score_quality(texts(spark, good, bad), model), "quality_score")
     assert scores[0] > 0.6 > 0.4 > scores[1]
 
