@@ -9,18 +9,20 @@ not by the corpus.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.functions.charmodel import CharacterModel, grams, runs
+from gleaner.functions.charmodel import PSEUDO, CharacterModel, grams, runs
 from gleaner.functions.modify import label_prefix
 from gleaner.functions.text import hash_unit
 from gleaner.operators.sampling import sample_about
 from gleaner.operators.supervised import TextModel, train_supervised
-from gleaner.session import materialize
+from gleaner.session import materialize, written_with_row_id
 
 # The domain names.
 DOMAINS = [
@@ -31,12 +33,88 @@ DOMAINS = [
     "Sensitive_Subjects", "Shopping", "Sports", "Travel_and_Transportation",
 ]
 
-MAX_LABELS = 1000
-MAX_WEIGHTS = 1 << 26
+BLOCK_WEIGHTS = 1 << 24  # weights held at a time, 64 MB
+_HELD_LABELS = 64  # labels whose counts a task holds before it passes them on
 
 
-def predict(model: CharacterModel, df: DataFrame, text_field: str = "text") -> DataFrame:
+@dataclass
+class LabelTable:
+    """A model with more weights than are held at a time: the counts as a written table ``(number, feature, n)``.
+
+    The driver holds a name, a number of texts and a number of n-grams for each label.
+    """
+
+    counts: DataFrame
+    labels: list[str]
+    texts: np.ndarray
+    totals: np.ndarray
+    features: int
+    ns: Sequence[int]
+    block_weights: int
+
+    def blocks(self) -> Iterator[tuple[int, CharacterModel]]:
+        """The first label's number and the model of every block of labels, with probabilities among all labels."""
+        width = max(1, self.block_weights // self.features)
+        for low in range(0, len(self.labels), width):
+            names = self.labels[low : low + width]
+            rows = self.counts.filter(F.col("number").between(low, low + len(names) - 1)).toPandas()  # a block's weights at most
+            table = np.ones((self.features, len(names)))
+            table[rows["feature"].to_numpy(np.int64), rows["number"].to_numpy(np.int64) - low] += rows["n"].to_numpy(np.int64)
+            logs = np.log(table / (self.totals[low : low + width] + self.features)).astype(np.float32)
+            yield low, CharacterModel(names, np.log(self.texts[low : low + width] / self.texts.sum()), logs, self.ns)
+
+
+def _predict_by_blocks(model: LabelTable, df: DataFrame, text_field: str) -> DataFrame:
+    """One pass over the texts' n-gram counts per block of labels; each writes a narrow row per text.
+
+    The rows are written once with a number of their own, to which the results come back.
+    """
+    rows, uid = written_with_row_id(df, "labelled-rows")
+    width, ns = model.features, tuple(model.ns)
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                found = [gram for _, gram in grams([text], ns, width)]
+                out.append(np.unique(np.concatenate(found), return_counts=True))
+            yield pd.DataFrame({"uid": batch["uid"], "features": [f for f, _ in out], "counts": [c for _, c in out]})
+
+    texts = rows.select(F.col(uid).alias("uid"), F.coalesce(F.col(text_field), F.lit("")).alias("text"))
+    table = materialize(texts.mapInPandas(counted, "uid long, features array<long>, counts array<long>"), "label-features")
+    parts = []
+    for low, block in model.blocks():
+        shared = df.sparkSession.sparkContext.broadcast(block)  # block_weights at most, freed after the pass
+
+        def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held, first = shared.value, low
+            known = held.features > held.features.min(axis=0) + 1e-6
+            for batch in batches:
+                out = []
+                for feature, count in zip(batch["features"], batch["counts"]):
+                    n = count.sum()
+                    sums = held.prior + count @ held.features[feature].astype(np.float64)
+                    means = sums / (n + PSEUDO)
+                    at = int(sums.argmax())
+                    out.append((first + at, sums[at], means[at], np.exp(means).sum(), count @ known[feature, at] / max(n, 1)))
+                yield pd.DataFrame(out, columns=["number", "total", "mean", "odds", "shown"]).assign(uid=batch["uid"].to_numpy())
+
+        found = table.mapInPandas(best, "number long, total double, mean double, odds double, shown double, uid long")
+        parts.append(materialize(found, "label-block"))
+        shared.unpersist()
+    every = reduce(DataFrame.unionByName, parts)
+    first = F.max_by(F.struct("number", "mean", "shown"), F.struct("total", -F.col("number")))
+    merged = every.groupBy("uid").agg(first.alias("best"), F.sum("odds").alias("odds"))
+    names = df.sparkSession.createDataFrame(list(enumerate(model.labels)), "number long, _label string")
+    score = F.exp("best.mean") / F.col("odds") * F.col("best.shown")
+    merged = merged.select(F.col("uid").alias(uid), score.alias("_score"), F.col("best.number").alias("number")).join(names, "number")
+    return rows.join(merged, uid).select(*df.columns, "_score", "_label")
+
+
+def predict(model: CharacterModel | LabelTable, df: DataFrame, text_field: str = "text") -> DataFrame:
     """Add ``_score`` and ``_label`` of the likeliest label."""
+    if isinstance(model, LabelTable):
+        return _predict_by_blocks(model, df, text_field)
     shared = df.sparkSession.sparkContext.broadcast(model)  # labels times features, fixed when it was trained
 
     @F.pandas_udf("score double, label string")
@@ -49,55 +127,59 @@ def predict(model: CharacterModel, df: DataFrame, text_field: str = "text") -> D
 
 
 def train_character_model(
-    df: DataFrame, text_field: str, label_field: str, ns: Sequence[int], features: int, max_labels: int = MAX_LABELS
-) -> CharacterModel:
-    """Count features per label in every task, then sum the counts: one pass, whatever the share of a label.
+    df: DataFrame, text_field: str, label_field: str, ns: Sequence[int], features: int, block_weights: int = BLOCK_WEIGHTS
+) -> CharacterModel | LabelTable:
+    """Count features per label in every task, then sum the counts: one pass, whatever the share or number of the labels.
 
-    The labels are looked up first.  More than ``max_labels``, or more than MAX_WEIGHTS weights, is an error before any
-    text is counted; so the model, of labels times features, is small whatever the data.
+    Labels times features up to ``block_weights`` give a model in memory, more a table that is applied in blocks.
     """
     ns = tuple(ns)
-    named = df.select(F.col(label_field).cast("string").alias("label")).dropna().distinct()
-    labels = sorted(r.label for r in named.limit(max_labels + 1).collect())
-    if not 0 < len(labels) <= max_labels or len(labels) * features > MAX_WEIGHTS:
-        raise ValueError(f"between 1 and {max_labels} labels and at most {MAX_WEIGHTS} weights are needed")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
+
+        def flushed() -> Iterator[pd.DataFrame]:
+            for label, held in totals.items():
+                used = np.flatnonzero(held)
+                yield pd.DataFrame({"label": label, "feature": used, "n": held[used]})
+            totals.clear()
+
         for batch in batches:
             for label, part in batch.groupby("label"):
+                if label not in totals and len(totals) >= _HELD_LABELS:
+                    yield from flushed()
                 held = totals.setdefault(label, np.zeros(features + 1, np.int64))
                 held[features] += len(part)  # the last place counts the texts
                 for run in runs(part["text"].tolist()):
                     for _, gram in grams(run, ns, features):
                         held[:features] += np.bincount(gram, minlength=features)
-        for label, held in totals.items():
-            used = np.flatnonzero(held)
-            yield pd.DataFrame({"label": label, "feature": used, "n": held[used]})
+        yield from flushed()
 
     labelled = df.select(F.col(label_field).cast("string").alias("label"), F.col(text_field).alias("text")).dropna()
     counts = labelled.mapInPandas(count, "label string, feature bigint, n bigint")
-    summed = counts.groupBy("label", "feature").agg(F.sum("n").alias("n"))
-    summed = materialize(summed, "model")
-    table = np.zeros((features + 1, len(labels)))
-    place = {name: i for i, name in enumerate(labels)}
-    for name, row in ((r.label, r) for r in summed.groupBy("label").agg(F.collect_list(F.struct("feature", "n")).alias("counts")).toLocalIterator()):
-        counts = np.array(row.counts, dtype=np.int64).reshape(-1, 2)  # one label's features at a time
-        table[counts[:, 0], place[name]] = counts[:, 1]
-    smooth = table[:features] + 1.0
-    return CharacterModel(
-        labels, np.log(table[features] / table[features].sum()), np.log(smooth / smooth.sum(axis=0)).astype(np.float32), ns
+    summed = materialize(counts.groupBy("label", "feature").agg(F.sum("n").alias("n")), "model")
+    is_text = F.col("feature") == features
+    about = summed.groupBy("label").agg(F.sum(F.when(is_text, F.col("n"))).alias("texts"), F.sum(F.when(~is_text, F.col("n")).otherwise(0)).alias("total"))
+    rows = sorted(about.collect(), key=lambda r: r["label"])  # a row per label
+    if not rows:
+        raise ValueError("no labelled text")
+    labels = [r["label"] for r in rows]
+    numbers = df.sparkSession.createDataFrame(list(enumerate(labels)), "number long, label string")
+    numbered = materialize(summed.filter(~is_text).join(numbers, "label").select("number", "feature", "n"), "model-counts")
+    table = LabelTable(
+        numbered, labels, np.array([r["texts"] for r in rows], float), np.array([r["total"] for r in rows], float), features, ns, max(block_weights, features)
     )
+    return next(table.blocks())[1] if len(labels) * features <= table.block_weights else table
 
 
 def train_language_model(
-    df: DataFrame, text_field: str = "text", label_field: str = "lang", ns: Sequence[int] = (1, 2, 3), features: int = 1 << 16
-) -> CharacterModel:
-    return train_character_model(df, text_field, label_field, ns, features)
+    df: DataFrame, text_field: str = "text", label_field: str = "lang", ns: Sequence[int] = (1, 2, 3), features: int = 1 << 16, **settings
+) -> CharacterModel | LabelTable:
+    return train_character_model(df, text_field, label_field, ns, features, **settings)
 
 
 def identify_language(
-    df: DataFrame, model: CharacterModel, text_field: str = "text", score_field: str = "language", min_score: float = 0.0
+    df: DataFrame, model: CharacterModel | LabelTable, text_field: str = "text", score_field: str = "language", min_score: float = 0.0
 ) -> DataFrame:
     """Add ``language`` as a struct of score and upper-case code, and drop rows under the least score."""
     scored = predict(model, df, text_field)
@@ -112,7 +194,7 @@ def language_code(field: str = "language") -> Column:
 
 def train_domain_model(
     df: DataFrame, text_field: str = "text", label_field: str = "domain", ns: Sequence[int] = (4, 6), features: int = 1 << 16
-) -> CharacterModel:
+) -> CharacterModel | LabelTable:
     """Labels must be known domains."""
     known = F.when(F.col(label_field).isin(DOMAINS), F.col(label_field)).otherwise(
         F.raise_error(F.concat(F.lit("unknown domain "), F.col(label_field)))
@@ -121,10 +203,10 @@ def train_domain_model(
 
 
 def classify_domain(
-    df: DataFrame, model: CharacterModel | Callable[[DataFrame], DataFrame], text_field: str = "text", pred_field: str = "domain_pred"
+    df: DataFrame, model: CharacterModel | LabelTable | Callable[[DataFrame], DataFrame], text_field: str = "text", pred_field: str = "domain_pred"
 ) -> DataFrame:
     """Add the domain of every document; nothing is dropped.  ``model`` may be any function that adds the column."""
-    if not isinstance(model, CharacterModel):
+    if not isinstance(model, (CharacterModel, LabelTable)):
         return model(df)
     return predict(model, df, text_field).withColumnRenamed("_label", pred_field).drop("_score")
 

@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -97,3 +98,14 @@ def materialize(df: DataFrame, label: str, path: str | None = None) -> DataFrame
     path = path or scratch_path(spark, label)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written_with_row_id(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written once with a number per row that no other row has, and the name of its column.
+
+    Results that several passes find for a row come back to it by that number, whatever its own keys are.
+    """
+    name = "_row_id"
+    while name in df.columns:
+        name += "_"
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), label), name
