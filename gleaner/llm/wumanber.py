@@ -2,16 +2,20 @@
 
 The patterns are the benchmark's windows of ``size`` words; an item with fewer words is one pattern.  For the patterns of
 one length a table over hashed blocks of two words tells how far the search may shift: the full length less one when the
-block is in no pattern.  Blocks that end a pattern shift by zero; their hash selects the few patterns to test, and a
-direct comparison of the words confirms.  All stretches of text in a batch move forward together, as numpy arrays.
-
-Documents are never shuffled: each pass over the patterns is a column added to the rows.  The patterns are taken in blocks
-of a bounded number of windows, one pass each, so that what a task holds does not grow with the benchmark.
+block is in no pattern.  Blocks that end a pattern shift by zero; their hash and that of the pattern's first block select the
+few patterns to test, and a direct comparison of the words' bytes confirms.  All stretches of text in a batch move forward
+together, as numpy arrays.
+
+The patterns are taken in blocks of a bounded number of windows.  With one block, the common case, documents are neither
+shuffled nor written: the search is a column added to the rows.  With more, the rows are written once with a number; each block
+is a pass that writes what it found by that number, and its patterns are freed before the next one.  So what a task holds
+does not grow with the benchmark.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,27 +25,52 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from gleaner.llm.frames import unused
 from gleaner.llm.words import LOWER, NON_ALNUM, Words, cut_words, mix, parts, texts_of
+from gleaner.session import materialize, written_with_row_id
 
 BLOCK = 2
 STRETCH = 1024  # words of a text searched in one stretch; stretches overlap by a pattern's length less one
 TABLE_BITS = 22
 BLOCK_WINDOWS = 500_000
+COMPARED = 50_000  # places compared at a time
+
+
+def same_words(a: Words, at: np.ndarray, b: Words, bt: np.ndarray) -> np.ndarray:
+    """Whether the words ``a[at]`` and ``b[bt]`` (index arrays of one shape) have the same bytes."""
+    length = (a.ends - a.starts)[at]
+    same = length == (b.ends - b.starts)[bt]
+    x, y, size = a.starts[at][same], b.starts[bt][same], length[same]
+    if len(size):  # a word has at least one byte
+        first = np.cumsum(size) - size
+        step = np.arange(int(size.sum())) - np.repeat(first, size)
+        differ = a.data[np.repeat(x, size) + step] != b.data[np.repeat(y, size) + step]
+        same[same] = ~np.logical_or.reduceat(differ, first)
+    return same
 
 
 class Patterns:
-    """Shift table and suffix buckets of patterns of one length."""
+    """Shift table and buckets of patterns of one length; pattern i is the words from ``first[i]`` on."""
 
-    def __init__(self, length: int, hashes: np.ndarray, items: list[list[str]]):
-        self.length, self.hashes, self.items = length, hashes, items
+    def __init__(self, length: int, words: Words, first: np.ndarray, items: list[list[str]]):
+        self.length, self.words, self.first, self.items = length, words, first, items
+        hashes = self.hashes
         self.block = min(BLOCK, length)
         self.bits = min(TABLE_BITS, max(10, int(np.ceil(np.log2(max(1, hashes.size) + 1))) + 4))
         self.shift = np.full(1 << self.bits, length - self.block + 1, np.uint8 if length < 255 else np.int32)
         for end in range(self.block, length + 1):
             name = self.names(hashes[:, end - self.block : end])
             np.minimum.at(self.shift, name, length - end)
-        suffix = self.full_names(hashes[:, length - self.block :])
-        order = np.argsort(suffix, kind="stable")
-        self.suffix, self.order = suffix[order], order
+        bucket = self.bucket(self.full_names(hashes[:, : self.block]), self.full_names(hashes[:, length - self.block :]))
+        order = np.argsort(bucket, kind="stable")
+        self.buckets, self.order = bucket[order], order
+
+    @property
+    def hashes(self) -> np.ndarray:
+        """The words' hashes, a row per pattern."""
+        return self.words.hashes[self.first[:, None] + np.arange(self.length)]
+
+    @staticmethod
+    def bucket(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+        return mix(suffix) ^ prefix
 
     def full_names(self, blocks: np.ndarray) -> np.ndarray:
         name = blocks[:, 0]
@@ -75,17 +104,19 @@ class Patterns:
             on = at < last
             at, last = at[on], last[on]
         ends = np.concatenate(found) if found else np.zeros(0, np.int64)
-        low = np.searchsorted(self.suffix, full[ends - block + 1], "left")
-        high = np.searchsorted(self.suffix, full[ends - block + 1], "right")
+        wanted = self.bucket(full[ends - length + 1], full[ends - block + 1])
+        low, high = (np.searchsorted(self.buckets, wanted, side) for side in ("left", "right"))
         some = high > low
         ends, low, high = ends[some], low[some], high[some]
         starts, numbers = [], []
         while len(ends):  # the bucket's patterns one after the other, all places together
             number = self.order[low]
-            window = ends[:, None] + np.arange(1 - length, 1)
-            same = (h[window] == self.hashes[number]).all(axis=1)
-            starts.append(ends[same] - length + 1)
-            numbers.append(number[same])
+            for i in range(0, len(ends), COMPARED):
+                window = ends[i : i + COMPARED, None] + np.arange(1 - length, 1)
+                mine = number[i : i + COMPARED]
+                same = same_words(words, window, self.words, self.first[mine][:, None] + np.arange(length)).all(axis=1)
+                starts.append(window[same, 0])
+                numbers.append(mine[same])
             low = low + 1
             on = low < high
             ends, low, high = ends[on], low[on], high[on]
@@ -98,14 +129,15 @@ def build_patterns(rows: list[tuple[str, str | None]], size: int) -> list[Patter
         return []
     words = cut_words(*texts_of(pa.array([t for _, t in rows], pa.large_string())), NON_ALNUM, LOWER)
     first = words.first(len(rows))
-    by_length: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
+    plain = [bytes(words.data[a:b]) for a, b in zip(words.starts, words.ends)]
+    by_length: dict[int, dict[bytes, tuple[int, set[str]]]] = defaultdict(dict)
     for i, (item, _) in enumerate(rows):
-        h = words.hashes[first[i] : first[i + 1]]
-        length = min(size, len(h))
-        for at in range(len(h) - length + 1 if length else 0):
-            by_length[length][h[at : at + length].tobytes()].add(item)
+        begin, stop = int(first[i]), int(first[i + 1])
+        length = min(size, stop - begin)
+        for at in range(begin, stop - length + 1 if length else begin):
+            by_length[length].setdefault(b" ".join(plain[at : at + length]), (at, set()))[1].add(item)
     return [
-        Patterns(length, np.frombuffer(b"".join(windows), np.uint64).reshape(-1, length), [sorted(x) for x in windows.values()])
+        Patterns(length, words, np.array([at for at, _ in windows.values()]), [sorted(names) for _, names in windows.values()])
         for length, windows in sorted(by_length.items())
     ]
 
@@ -159,34 +191,54 @@ def search_task(shared):
     return run
 
 
+def _hit_words(runs) -> F.Column:
+    """Words covered by runs ``(s, e)`` that may overlap."""
+    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("to"))
+    return F.aggregate(
+        F.array_sort(runs),
+        start,
+        lambda acc, r: F.struct((acc["total"] + F.greatest(r["e"] - F.greatest(r["s"], acc["to"]), F.lit(0))).alias("total"), F.greatest(r["e"], acc["to"]).alias("to")),
+        lambda acc: acc["total"],
+    )
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, size: int = 13, item: str = "item_id", block_windows: int = BLOCK_WINDOWS, out: str = "found") -> DataFrame:
     """``docs`` with a struct column ``out``: ``n_words``, ``n_hit`` and ``items``, the sorted names of the items that occur.
 
     Words are runs of ASCII letters and digits and of anything beyond ASCII, A-Z lower-cased.  ``benchmark`` has ``item``
-    and ``text``; a null text or one without words gives no pattern, a null name is the empty name.  A null document has no words.
+    and ``text``; a null text or one without words gives no pattern, a null name is the empty name, repeated rows are one.  A null
+    document has no words.  A column of ``docs`` named ``out`` is replaced; name another one to keep it.
     """
     spark = docs.sparkSession
     # Distinct items in blocks of a bounded number of windows, each collected for one pass.
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("item"), "text").filter("text IS NOT NULL").distinct()
     n_blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (2 * block_windows)
-    names = []
+
+    def search(rows: DataFrame, block: int, name: str):
+        mine = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block).collect()
+        shared = spark.sparkContext.broadcast(build_patterns([(r["item"], r["text"]) for r in mine], size))
+        return rows.withColumn(name, F.arrow_udf(search_task(shared), FOUND_TYPE).asNondeterministic()("text")), shared
+
+    runs = lambda f: F.arrays_zip(f["starts"].alias("s"), f["ends"].alias("e"))
+    if n_blocks == 1:
+        (name,) = unused(docs, "found_words", also=[out])
+        f = F.col(name)
+        searched, _ = search(docs, 0, name)
+        return searched.withColumn(out, F.struct(f["n_words"].alias("n_words"), _hit_words(runs(f)).alias("n_hit"), f["items"].alias("items"))).drop(name)
+
+    rows, row = written_with_row_id(docs, "wumanber-rows")
+    passes = []
     for block in range(n_blocks):
-        rows = [(r["item"], r["text"]) for r in items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block).collect()]
-        shared = spark.sparkContext.broadcast(build_patterns(rows, size))
-        find = F.arrow_udf(search_task(shared), FOUND_TYPE).asNondeterministic()
-        names += unused(docs, f"found_{block}", also=[out])
-        docs = docs.withColumn(names[-1], find("text"))
-    runs = F.concat(*(F.arrays_zip(F.col(f"{x}.starts").alias("s"), F.col(f"{x}.ends").alias("e")) for x in names))
-    ordered = F.array_sort(runs)
-    start = F.struct(F.lit(0).cast("long").alias("total"), F.lit(0).alias("to"))
-    total = F.aggregate(
-        ordered,
-        start,
-        lambda acc, r: F.struct((acc["total"] + F.greatest(r["e"] - F.greatest(r["s"], acc["to"]), F.lit(0))).alias("total"), F.greatest(r["e"], acc["to"]).alias("to")),
-        lambda acc: acc["total"],
+        found, shared = search(rows.select(F.col(row).alias("row"), "text"), block, "f")
+        # Where nothing is found there is a row of the first pass only, for the number of words.
+        kept = found.select("row", "f").filter((F.size("f.items") > 0) | F.lit(block == 0))
+        passes.append(materialize(kept.select("row", F.col("f.n_words").alias("n_words"), runs(F.col("f")).alias("runs"), F.col("f.items").alias("items")), "wumanber-pass"))
+        shared.unpersist()
+    every = reduce(DataFrame.unionByName, passes).groupBy("row").agg(
+        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    items_found = F.array_sort(F.array_distinct(F.concat(*(F.col(f"{x}.items") for x in names))))
-    return docs.withColumn(out, F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), total.alias("n_hit"), items_found.alias("items"))).drop(*names)
+    merged = every.select(F.col("row").alias(row), F.struct("n_words", _hit_words(F.col("runs")).alias("n_hit"), "items").alias(out))
+    return rows.drop(out).join(merged, row).drop(row)
 
 
 def is_contaminated(found):
