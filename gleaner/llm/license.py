@@ -40,47 +40,103 @@ NOTICE_PHRASES: Mapping[str, str] = {
     "eclipse public license": "epl",
     "this is free and unencumbered software released into the public domain": "unlicense",
     "all rights reserved": "all-rights-reserved",
+    "licensed under the apache license": "apache-2",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
+    "boost software license": "bsl",
+    "artistic license": "artistic",
+    "common development and distribution license": "cddl",
+    "european union public licence": "eupl",
+    "gnu free documentation license": "gfdl",
+    "sil open font license": "ofl",
+    "open data commons open database license": "odbl",
+    "server side public license": "sspl",
+    "business source license": "busl",
+    "do what the fuck you want to public license": "wtfpl",
+    "cc0 1 0 universal": "cc0",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
 }
 
 #: Words that introduce an expression, in normal form.
 TAGS = ("spdx license identifier", "spdx licence identifier")
 TAG = re.compile(rb"spdx-licen[sc]e-identifier[ \t]*:[ \t]*([^\r\n]*)", re.IGNORECASE)
 
-#: Identifiers of the SPDX list: label, and whether the terms are permissive.
-IDENTIFIERS: Mapping[str, tuple[str, bool]] = {
-    "mit": ("mit", True),
-    "apache-2.0": ("apache-2", True),
-    "bsd-2-clause": ("bsd-2-clause", True),
-    "bsd-3-clause": ("bsd-3-clause", True),
-    "isc": ("isc", True),
-    "zlib": ("zlib", True),
-    "unlicense": ("unlicense", True),
-    "cc0-1.0": ("cc0", True),
-    "cc-by-4.0": ("cc-by", True),
-    "cc-by-sa-4.0": ("cc-by-sa", False),
-    "cc-by-nc-4.0": ("cc-by-nc", False),
-    "gpl-2.0-only": ("gpl", False),
-    "gpl-2.0-or-later": ("gpl", False),
-    "gpl-3.0-only": ("gpl", False),
-    "gpl-3.0-or-later": ("gpl", False),
-    "lgpl-2.1-only": ("lgpl", False),
-    "lgpl-3.0-or-later": ("lgpl", False),
-    "agpl-3.0-only": ("agpl", False),
-    "mpl-2.0": ("mpl", False),
-    "epl-2.0": ("epl", False),
+# Names of the SPDX list.  Families and their versions; after a version may stand -only or -or-later, or, as
+# older lists had it, + or nothing.
+FAMILIES: Mapping[str, tuple[str, ...]] = {
+    "gpl": ("1.0", "2.0", "3.0"),
+    "lgpl": ("2.0", "2.1", "3.0"),
+    "agpl": ("1.0", "3.0"),
+    "gfdl": ("1.1", "1.2", "1.3"),
 }
+CREATIVE_COMMONS = ("cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc", "cc-by-nc-sa", "cc-by-nc-nd")
+CREATIVE_COMMONS_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+PERMISSIVE = (
+    "0bsd afl-3.0 apache-1.0 apache-1.1 apache-2.0 artistic-1.0 artistic-2.0 blueoak-1.0.0 bsd-1-clause bsd-2-clause bsd-2-clause-patent"
+    " bsd-3-clause bsd-3-clause-clear bsd-4-clause bsl-1.0 cc0-1.0 curl ecl-2.0 fsfap ftl hpnd icu ijg isc json libpng mit mit-0 ms-pl"
+    " mulanpsl-2.0 ncsa ntp openssl php-3.0 php-3.01 postgresql psf-2.0 python-2.0 ruby tcl unicode-3.0 unicode-dfs-2016 unlicense"
+    " upl-1.0 vim w3c wtfpl x11 zlib zpl-2.0 zpl-2.1"
+).split()
+RESTRICTED = (
+    "apsl-2.0 busl-1.1 cddl-1.0 cddl-1.1 cecill-2.1 cpal-1.0 cpl-1.0 epl-1.0 epl-2.0 eupl-1.1 eupl-1.2 ipl-1.0 mpl-1.0 mpl-1.1 mpl-2.0 ms-rl"
+    " odbl-1.0 ofl-1.0 ofl-1.1 osl-3.0 qpl-1.0 sspl-1.0"
+).split()
+#: Labels that keep part of the number or more; of the other names the version goes.
+KEPT_LABELS = {"apache-1.0": "apache-1", "apache-1.1": "apache-1", "apache-2.0": "apache-2"}
+
+
+def _identifiers() -> dict[str, tuple[str, bool]]:
+    """Label and whether the terms are permissive, per name in lower case."""
+    version = re.compile(r"-[0-9]+(\.[0-9]+)+$")
+    out = {name: (KEPT_LABELS.get(name, version.sub("", name)), permissive) for names, permissive in ((PERMISSIVE, True), (RESTRICTED, False)) for name in names}
+    out |= {f"{kind}-{v}": (kind, kind == "cc-by") for kind in CREATIVE_COMMONS for v in CREATIVE_COMMONS_VERSIONS}
+    out |= {f"{family}-{v}{ending}": (family, False) for family, versions in FAMILIES.items() for v in versions for ending in ("", "-only", "-or-later")}
+    return out
+
+
+IDENTIFIERS: Mapping[str, tuple[str, bool]] = _identifiers()
 
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+:-]*")
 _BINDING = {"or": 1, "and": 2, "with": 3}
 
 
 class Terms(NamedTuple):
-    """Value of an expression: its labels, whether a choice allows permissive terms, and whether every name is known."""
+    """Value of an expression, which offers one or more ways to choose among its licences.
+
+    ``labels``: all that are named, exceptions included.  ``obligations``: the licences of every way.  ``chosen``: those of the
+    best way, which is permissive if any is, then of known names if any is, then of few licences.  ``permissive``, ``known``:
+    whether some way has only permissive licences, or only known names.
+    """
 
     labels: frozenset[str]
+    obligations: frozenset[str]
+    chosen: frozenset[str]
+    exceptions: frozenset[str]
     permissive: bool
     known: bool
 
+    @property
+    def choice(self) -> frozenset[str]:
+        """The licences of some ways but not of all."""
+        return self.labels - self.obligations - self.exceptions
+
+    @property
+    def verdict(self) -> str:
+        return "permissive" if self.permissive else "restricted" if self.known else "unknown"
+
+    def rank(self) -> tuple:
+        return not self.permissive, not self.known, len(self.chosen), sorted(self.chosen)
+
+
+def both(a: Terms, b: Terms) -> Terms:
+    return Terms(a.labels | b.labels, a.obligations | b.obligations, a.chosen | b.chosen, a.exceptions | b.exceptions, a.permissive and b.permissive, a.known and b.known)
+
+
+def either(a: Terms, b: Terms) -> Terms:
+    best = min(a, b, key=Terms.rank)
+    return Terms(a.labels | b.labels, a.obligations & b.obligations, best.chosen, a.exceptions | b.exceptions, a.permissive or b.permissive, a.known or b.known)
+
 
 def to_postfix(expression: str) -> list[str] | None:
     """Dijkstra's shunting yard: names and operators in postfix order, the longest well-formed beginning of the text.
@@ -139,29 +195,40 @@ def to_postfix(expression: str) -> list[str] | None:
     return out or None
 
 
+def term_of(name: str, identifiers: Mapping[str, tuple[str, bool]]) -> Terms:
+    """Value of a name in lower case; ``+`` behind a name is the same licence in a later version."""
+    if name not in identifiers:
+        name = name.rstrip(".:")
+        name = name.removesuffix("+") if name.removesuffix("+") in identifiers else name
+    label, permissive = identifiers.get(name, (name, False))
+    one = frozenset([label])
+    return Terms(one, one, one, frozenset(), permissive, name in identifiers)
+
+
 def evaluate(expression: str, identifiers: Mapping[str, tuple[str, bool]] = IDENTIFIERS) -> Terms | None:
-    """Labels of an expression; ``or`` is permissive if either side is, ``and`` if both are; ``with`` keeps the left
-    side's terms and adds the exception's name.  None if the text is no expression."""
+    """Value of an expression: ``or`` offers the ways of either side, ``and`` joins one of each, ``with`` adds an exception to
+    the licence on its left.  None if the text is no expression."""
     postfix = to_postfix(expression)
     if postfix is None:
         return None
     stack: list[tuple[Terms, str]] = []
     for token in postfix:
         if token not in _BINDING:
-            label, permissive = identifiers.get(token, (token.rstrip(".:"), False))
-            stack.append((Terms(frozenset([label]), permissive, token in identifiers), label))
+            stack.append((term_of(token, identifiers), token))
             continue
-        (right, exception), (left, name) = stack.pop(), stack.pop()
+        (right, name), (left, _) = stack.pop(), stack.pop()
         if token == "with":
-            value = Terms(left.labels | {exception}, left.permissive, left.known)
-        elif token == "and":
-            value = Terms(left.labels | right.labels, left.permissive and right.permissive, left.known and right.known)
+            exceptions = right.labels if name in _BINDING else frozenset([name.rstrip(".:")])
+            value = left._replace(labels=left.labels | exceptions, exceptions=left.exceptions | exceptions)
         else:
-            value = Terms(left.labels | right.labels, left.permissive or right.permissive, left.known or right.known)
-        stack.append((value, name))
+            value = both(left, right) if token == "and" else either(left, right)
+        stack.append((value, token))
     return stack[0][0]
 
 
+#: Scores of a tag by its verdict.
+VERDICT_SCORES = {"permissive": 1.0, "restricted": 0.95, "unknown": 0.6}
+
 _WORD_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 
 
@@ -184,14 +251,17 @@ class Scanner:
         self.automaton.make_automaton()
 
     def scan(self, raw: bytes) -> tuple:
-        """n_words, n_base, first_word, last_word, base_labels, labels, score, expressions."""
+        """The values of ``SCANNED``.  Expressions of several tags hold together, as if joined by ``and``."""
         words = raw.translate(_WORD_BYTES).split()
         normal = (b" " + b" ".join(words) + b" ").decode("latin-1")
         n_base, first, last, base_labels, labels, tagged = 0, None, None, set(), set(), False
-        score = 0.0
+        score, counted, spaces = 0.0, 0, 0
         for end, (size, base, notice, tag) in self.automaton.iter(normal):
+            # Hits come by their ends, so the spaces before are counted on from the hit before.
+            spaces += normal.count(" ", counted, end)
+            counted = end
             if base is not None:
-                word = normal.count(" ", 0, end) - size
+                word = spaces - size
                 n_base += 1
                 first = word if first is None else min(first, word)
                 last = word if last is None else max(last, word)
@@ -201,20 +271,25 @@ class Scanner:
                 labels.add(notice)
                 score = max(score, 0.7)
             tagged |= tag
-        expressions = []
+        expressions, terms = [], None
         if tagged:
             for found in TAG.finditer(raw):
                 text = found[1].decode("utf-8", "replace").strip()
-                terms = evaluate(text, self.identifiers)
-                if terms is not None:
+                value = evaluate(text, self.identifiers)
+                if value is not None:
                     expressions.append(text)
-                    labels |= terms.labels
-                    score = max(score, 1.0 if terms.known else 0.6)
+                    terms = value if terms is None else both(terms, value)
+                    score = max(score, VERDICT_SCORES[value.verdict])
+        told = [None] * 5
+        if terms is not None:
+            labels |= terms.labels
+            told = [terms.verdict, *(",".join(sorted(x)) for x in (terms.obligations, terms.choice, terms.chosen, terms.exceptions))]
         labels |= base_labels
-        return len(words), n_base, first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, expressions
+        return len(words), n_base, first, last, ",".join(sorted(base_labels)), ",".join(sorted(labels)), score, expressions, *told
 
 
-SCANNED = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>"
+TOLD = ("verdict", "obligations", "choice", "chosen", "exceptions")
+SCANNED = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, expressions array<string>, " + ", ".join(f"{c} string" for c in TOLD)
 
 
 def scan_licenses(
@@ -224,10 +299,14 @@ def scan_licenses(
     identifiers: Mapping[str, tuple[str, bool]] = IDENTIFIERS,
     out: str = "license",
 ) -> DataFrame:
-    """``docs`` with a struct column ``out``: places and labels of the base phrases, all labels, a score and the expressions.
-
-    The score is 1 with a tag whose expression has a known name, 0.9 with a base phrase, 0.7 with a notice, 0.6 with a tag
-    of unknown names, else 0.  A null text is empty: no words, no places, empty labels.  Rows stay as they are.
+    """``docs`` with a struct column ``out``: places and labels of the base phrases, all labels, a score, the expressions of the
+    tags and what they come to.
+
+    ``verdict`` is permissive, restricted or unknown; ``obligations`` are the licences that hold whatever is chosen,
+    ``choice`` those that may be chosen or not, ``chosen`` those of the best choice, ``exceptions`` what follows ``with``.  All
+    five are null without an expression.  The score is the largest of 1, 0.95 or 0.6 by the verdict of each tag, 0.9 with a base phrase,
+    0.7 with a notice, else 0.  A null text is empty: no words, no places, empty labels.  Rows stay as they are, repeated ones too.
+    A column of ``docs`` named ``out`` is replaced; name another one to keep it.
     """
 
     def run(column: pa.Array) -> pa.Array:
@@ -246,6 +325,7 @@ def scan_licenses(
 ARROW = pa.schema(
     [("n_words", pa.int64()), ("n_base", pa.int64()), ("first_word", pa.int64()), ("last_word", pa.int64())]
     + [("base_labels", pa.string()), ("labels", pa.string()), ("score", pa.float64()), ("expressions", pa.list_(pa.string()))]
+    + [(c, pa.string()) for c in TOLD]
 )
 
 _made: list[tuple[tuple, Scanner]] = []

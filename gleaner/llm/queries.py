@@ -13,7 +13,7 @@ from gleaner.llm.bitslices import whiten
 from gleaner.llm.chatlog import conversation_digests, format_conversations, log_of_conversations
 from gleaner.llm.hilbert import hilbert_shards
 from gleaner.llm.htmltext import extract_main_text
-from gleaner.llm.license import scan_licenses
+from gleaner.llm.license import TOLD, scan_licenses
 from gleaner.llm.linededup import apply_bitmap, drop_bitmaps, lines_of, with_row_key
 from gleaner.llm.quality import COUNTS, judge_quality, train_quality
 from gleaner.llm.substring import remove_repeated_substrings
@@ -41,7 +41,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    columns = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    columns = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", *TOLD)
     return scanned.select("doc_id", *(F.col("license")[c].alias(c) for c in columns))
 
 

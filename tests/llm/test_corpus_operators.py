@@ -157,7 +157,7 @@ def test_license_places(docs):
     got = {i: r for (i, _), r in zip(rows, [license.Scanner(license.BASE_PHRASES, license.NOTICE_PHRASES, license.IDENTIFIERS).scan((t or "").encode()) for _, t in rows]) if i is not None}
     assert got[900][:5] == (16, 4, 0, 11, "apache-2,cc-by-nc,mit")
     assert got[901][1:4] == (0, None, None)
-    assert got[902][5:] == ("bsd-3-clause,foo,gpl,mit", 1.0, ["(MIT OR GPL-2.0-only) AND BSD-3-Clause", "Foo"])
+    assert got[902][5:8] == ("bsd-3-clause,foo,gpl,mit", 1.0, ["(MIT OR GPL-2.0-only) AND BSD-3-Clause", "Foo"])
     out = license.scan_licenses(docs).select("doc_id", "license.n_words", "license.score", "found").collect()
     assert same([r[:2] for r in out], [(i, len(ALNUM_WORDS.findall(lower(t or "")))) for i, t in DOCS]) and {r["found"] for r in out} == {"f"}
 
