@@ -75,7 +75,7 @@ def test_the_expression_decides_the_row(spark):
         1: ("restricted", "gpl,mit", "", "gpl,mit", "", "gpl,mit", 0.95),
         2: ("restricted", "gpl", "", "gpl", "classpath-exception-2.0", "classpath-exception-2.0,gpl", 0.95),
         3: ("unknown", "foo", "", "foo", "", "foo", 0.6),
-        4: ("restricted", "gpl,mit", "", "gpl,mit", "", "gpl,mit", 0.95),
+        4: ("restricted", "gpl,mit", "", "gpl,mit", "", "gpl,mit", 1.0),
         9: (None, None, None, None, None, "", 0.0),
     }
     assert {r["license"] for r in rows.values()} == {"mine"}
