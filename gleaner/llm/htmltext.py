@@ -2,10 +2,11 @@
 
 Every node of the page has a density: its characters per tag, lowered where much of it is link text.  The node whose
 children's densities add up to most holds the article.  The lowest density on the way from it up to the body is the
-threshold at which its neighbours, and articles elsewhere with a node that dense, still belong to it.  An article or main
-element only adds: the outermost one around that node is kept whole.  Menus, forms, adverts, comments and the like inside
-are left out by their element, role, class or id.  A name that may belong to an article as well leaves out only what is
-thin or mostly links, and a form stays if it holds the chosen node or most of its text.
+threshold at which its neighbours, and articles elsewhere with a node that dense, still belong to it.  Paragraphs, headings,
+lists and sections that follow each other are one run, however thin some are: where the chosen node is one of them, or lies in
+one, the run belongs to it.  Menus, forms, adverts, comments and the like inside are left out by their element, role, class or
+id.  A name that may belong to an article as well leaves out only what is thin or mostly links, and a form stays if it holds
+the chosen node or most of its text.
 
 The page is read once, by regular expressions, into parallel lists in document order; nothing recurses.
 """
@@ -71,6 +72,8 @@ FRAME_NAMES = frozenset(
 #: A name that begins so tells how an element looks, not what it is.
 STATE_NAMES = frozenset("has have no non not with without".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Blocks of a text, of which several stand side by side.
+RUN = HEADINGS | frozenset("p pre blockquote ul ol dl figure table section hgroup address".split())
 
 _TAG = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -145,26 +148,41 @@ class Page:
         return node
 
     def _read(self, html: str) -> None:
-        stack, open_tags = [0], {"html": 1}
+        stack = [0]
+        # Places on the stack: of every tag's open elements, and of the open blocks that a paragraph or a heading ends at.
+        open_at: dict[str, list[int]] = {"html": [0]}
+        not_p, not_heading = [0], [0]
         events, at, size = self.events, 0, len(html)
 
+        def push(node: int, tag: str) -> None:
+            place = len(stack)
+            stack.append(node)
+            open_at.setdefault(tag, []).append(place)
+            if tag in BLOCKS:
+                if tag != "p":
+                    not_p.append(place)
+                if tag not in HEADINGS:
+                    not_heading.append(place)
+
         def close(down_to: int) -> None:
             for node in stack[down_to:]:
                 tag = self.tag[node]
-                open_tags[tag] -= 1
+                open_at[tag].pop()
                 if tag in BLOCKS:
                     events.append((self.parent[node], None))
+                    if tag != "p":
+                        not_p.pop()
+                    if tag not in HEADINGS:
+                        not_heading.pop()
             del stack[down_to:]
 
-        def close_open(tags: tuple[str, ...], stop) -> None:
-            if any(open_tags.get(t) for t in tags):
-                for i in range(len(stack) - 1, 0, -1):
-                    tag = self.tag[stack[i]]
-                    if tag in tags:
-                        close(i)
-                        return
-                    if tag in stop:
-                        return
+        def innermost(tags) -> int:
+            return max((open_at[t][-1] for t in tags if open_at.get(t)), default=0)
+
+        def close_open(tags, barrier: int) -> None:
+            place = innermost(tags)
+            if place > barrier:
+                close(place)
 
         while at < size:
             found = _TAG.search(html, at)
@@ -195,22 +213,20 @@ class Page:
             if opening[1] == "/":
                 if tag == "br":
                     events.append((stack[-1], " "))
-                elif open_tags.get(tag) and tag not in ("html", "body"):
-                    for i in range(len(stack) - 1, 0, -1):
-                        if self.tag[stack[i]] == tag:
-                            close(i)
-                            break
+                elif open_at.get(tag) and tag not in ("html", "body"):
+                    close(open_at[tag][-1])
                 continue
-            if tag in ("html", "body") and open_tags.get(tag):
+            if tag in ("html", "body") and open_at.get(tag):
                 continue
             if tag in ENDS_P:
-                close_open(("p",), BLOCKS - {"p"})
+                close_open(("p",), not_p[-1])
             if tag in ENDS:
-                close_open(*ENDS[tag])
+                ended, within = ENDS[tag]
+                close_open(ended, innermost(within))
             if tag in HEADINGS:
-                close_open(tuple(HEADINGS), BLOCKS - HEADINGS)
+                close_open(HEADINGS, not_heading[-1])
             if tag == "body":
-                close_open(("head",), ())
+                close_open(("head",), 0)
             node = self._open(tag, attributes, stack)
             if tag in BLOCKS:
                 events.append((stack[-1], None))
@@ -227,8 +243,7 @@ class Page:
                 continue
             if attributes.endswith("/") and tag in ("svg", "path", "use"):
                 continue
-            stack.append(node)
-            open_tags[tag] = open_tags.get(tag, 0) + 1
+            push(node, tag)
 
     def _densest(self, holds: list[bool], dropped: frozenset[int]) -> tuple:
         """What is left out, the counts, the densities, the path from the node of the largest sum, and its least density."""
@@ -279,6 +294,23 @@ class Page:
             peak[parent[i]] = max(peak[parent[i]], peak[i])
         return out, chars, link_chars, density, peak, path, threshold
 
+    def _run(self, path: list[int], out: list[bool], chars: list[int], link_chars: list[int]) -> list[int]:
+        """The blocks of text that stand side by side with the one that is, or holds, the chosen node."""
+        tag, parent = self.tag, self.parent
+        member = next((i for i in path if tag[i] in BLOCKS), path[-1])
+        if tag[member] not in RUN:
+            return []
+        beside = [i for i in range(parent[member] + 1, len(tag)) if parent[i] == parent[member] and tag[i] in BLOCKS]
+        place = beside.index(member)
+        run = []
+        for way in (reversed(beside[:place]), beside[place:]):
+            for i in way:
+                if tag[i] not in RUN and not out[i]:
+                    break
+                if not out[i] and (tag[i] in HEADINGS or chars[i] > 2 * link_chars[i]):
+                    run.append(i)
+        return run
+
     def main_text(self) -> str:
         tag, parent = self.tag, self.parent
         n = len(tag)
@@ -310,8 +342,7 @@ class Page:
             # Articles of their own may lie deeper than beside the path, and their headings lower the density.
             if beside or (self.landmark[i] and chars[i] > 2 * link_chars[i] and peak[i] >= threshold):
                 region.add(i)
-        # An article or main element around the chosen node is kept whole, so that no short part of it is lost.
-        region.update([i for i in path if self.landmark[i]][-1:])
+        region.update(self._run(path, out, chars, link_chars))
         taken = [False] * n
         for i in range(n):
             taken[i] = not out[i] and (i in region or (i > 0 and taken[parent[i]]))

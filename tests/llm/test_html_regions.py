@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from gleaner.llm.htmltext import extract
@@ -52,3 +54,18 @@ def test_names_of_noise(page, text):
 
 def test_a_form_may_be_the_page():
     assert extract("<form><p>" + LINE + "</p></form>") == LINE
+
+
+@pytest.mark.parametrize("container", ["div", "section", "td"])
+def test_thin_paragraphs_of_a_run_belong_to_it(container):
+    """Without an article element, density alone chooses a paragraph; the run it stands in is kept whole."""
+    rows = ["<h2>Head</h2>", f"<p>{said('One.', 9)}</p>", "<p>Thin.</p>", f"<p>{said('Two.', 20)} <b>{LINE}</b></p>", "<ul><li>Point</li></ul>"]
+    page = f"<table><tr><td><a href=/>x</a></td></tr></table><div><a href=/>Elsewhere</a></div><{container}>{''.join(rows)}</{container}><div><a href=/>More</a></div>"
+    assert extract(f"<body>{page}</body>") == "\n".join(["Head", said("One.", 9), "Thin.", f"{said('Two.', 20)} {LINE}", "Point"])
+
+
+@pytest.mark.parametrize("page", ["<h1><div>" + "<b><h2></h2>" * 8000, "<ul>" + "<li><div>" * 8000, "<p>" + "<b><i>" * 8000 + "</i>" * 8000, "<table>" + "<tr><td><b>" * 8000])
+def test_open_elements_take_time_in_proportion(page):
+    start = time.perf_counter()
+    extract(page)
+    assert time.perf_counter() - start < 2
