@@ -29,7 +29,7 @@ from gleaner.llm.frames import unused
 from gleaner.llm.words import LOWER, SPACE, Words, cut_words, mix, parts, texts_of, windows
 from gleaner.operators.components import connected_components
 from gleaner.operators.skew import join_by_heavy_key
-from gleaner.session import materialize
+from gleaner.session import discard, materialize, scratch_path
 
 BITS = 4
 LANES = 64 // BITS
@@ -78,6 +78,15 @@ def minima(hashes: np.ndarray, bounds: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def set_names(hashes: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit numbers that name each set, whatever the order of its members."""
+    out = []
+    for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        total = np.r_[np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(seed)))]
+        out.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
+    return out
+
+
 SIGNED = "doc_id long, n long, s1 long, s2 long, packed array<long>, bands array<long>"
 
 
@@ -99,16 +108,14 @@ def sign_task(size: int, bands: int, rows: int):
                 hashes, bounds = shingle_sets(cut_words(*texts_of(part.column("text")), SPACE, LOWER), n, size)
                 count = np.diff(bounds)
                 least = minima(hashes, bounds, n_minima)
-                total1 = np.r_[np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))]
-                total2 = np.r_[np.uint64(0), np.cumsum(mix(hashes ^ np.uint64(0x14057B7EF767814F)))]
+                names = set_names(hashes, bounds)
                 low = (mix(least) & np.uint64((1 << BITS) - 1)).reshape(len(least), n_minima // LANES, LANES)
                 packed = (low << (np.arange(LANES, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64)
                 band = np.zeros((len(least), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
                 for r in range(rows):
                     band = mix(band * np.uint64(0x9E3779B97F4A7C15) + least.reshape(len(least), bands, rows)[:, :, r])
-                s1, s2 = total1[bounds[1:]] - total1[bounds[:-1]], total2[bounds[1:]] - total2[bounds[:-1]]
                 yield pa.record_batch(
-                    [part.column("doc_id"), count.astype(np.int64), s1.view(np.int64), s2.view(np.int64), lists(packed, count), lists(band, count)],
+                    [part.column("doc_id"), count.astype(np.int64), *names, lists(packed, count), lists(band, count)],
                     schema=schema,
                 )
 
@@ -116,15 +123,15 @@ def sign_task(size: int, bands: int, rows: int):
 
 
 def sets_task(size: int):
-    """For ``mapInArrow``: the sorted shingle hashes of each document."""
-    schema = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+    """For ``mapInArrow``: the 128-bit name of each document's set and its sorted shingle hashes."""
+    schema = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts(batch):
                 hashes, bounds = shingle_sets(cut_words(*texts_of(part.column("text")), SPACE, LOWER), part.num_rows, size)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.record_batch([part.column("doc_id"), lists], schema=schema)
+                yield pa.record_batch([part.column("doc_id"), *set_names(hashes, bounds), lists], schema=schema)
 
     return run
 
@@ -213,60 +220,84 @@ def near_duplicates(
     shorter text.  A null or empty text has no shingles and is linked with nothing.  Rows of one id are one node.  A row
     without an id is linked with nothing: its component is null and it is kept.  Other columns are not read.
     """
+    spark = docs.sparkSession
+    freed: dict[str, str] = {}
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        freed[label] = scratch_path(spark, f"bbit-{label}")
+        return materialize(df, label, freed[label])
+
+    def free(*labels: str) -> None:
+        for label in labels:
+            discard(spark, freed.pop(label))
+
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     signed = materialize(docs.mapInArrow(sign_task(size, bands, rows), SIGNED), "bbit-signed")
     known = signed.filter("doc_id IS NOT NULL AND n > 0")
 
-    # Equal sets: the smallest id stands for all.  A set that a third of all documents have is spread over tasks.
-    same = ["s1", "s2", "size"]
+    # Equal sets: the smallest id stands for all.  A set that a third of all documents have is spread over tasks.  A set is named
+    # by s1 and s2; where one id has rows of several texts, each of their sets goes its way under the same ``rep``.
+    same, name = ["s1", "s2", "size"], ["s1", "s2"]
     known = known.withColumnRenamed("n", "size")
-    groups = materialize(known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "bbit-groups")
+    groups = written(known.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "groups")
     is_rep = F.col("doc_id") == F.col("rep")
     joined = join_by_heavy_key(known, groups.drop("n"), same, groups, rows_per_salt=rows_per_salt)
     grouped = joined.select(
-        "doc_id", "rep", F.col("size").alias("n"), F.when(is_rep, F.col("packed")).alias("packed"), F.when(is_rep, F.col("bands")).alias("bands")
+        "doc_id", "rep", *name, F.col("size").alias("n"), F.when(is_rep, F.col("packed")).alias("packed"), F.when(is_rep, F.col("bands")).alias("bands")
     )
     grouped = materialize(grouped, "bbit-grouped")
-    reps = grouped.filter(is_rep).select("rep", "n", "packed", "bands")
-
-    # Buckets of two and more, each with its smallest member.
-    in_band = reps.select("rep", F.explode("bands").alias("bucket"))
-    buckets = in_band.groupBy("bucket").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre < last")
-    in_bucket = materialize(in_band.join(buckets.drop("last"), "bucket"), "bbit-buckets")
-    needed = in_bucket.select("rep").distinct()
-    texts = docs.join(needed.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    sets = texts.mapInArrow(sets_task(size), "doc_id long, shingles array<long>").withColumnRenamed("doc_id", "rep")
-    signatures = reps.join(needed, "rep", "left_semi").select("rep", "n", "packed")
-    sets = materialize(sets.dropDuplicates(["rep"]).join(signatures.dropDuplicates(["rep"]), "rep"), "bbit-sets")
-
-    # Each member against its bucket's smallest.
+    free("groups")
+    reps = grouped.filter(is_rep).dropDuplicates(name).select("rep", *name, "n", "packed", "bands")
+
+    # Buckets of two and more, each with its smallest member.  A bucket may hold a third of all sets, so its rows are spread.
+    in_band = reps.select("rep", *name, F.explode("bands").alias("bucket"))
+    member = F.struct("rep", *name)
+    buckets = in_band.groupBy("bucket").agg(F.min(member).alias("centre"), F.max(member).alias("last"), F.count("*").alias("n")).filter("centre < last")
+    buckets = written(buckets.select("bucket", F.col("centre.rep").alias("c_rep"), F.col("centre.s1").alias("c1"), F.col("centre.s2").alias("c2"), "n"), "centres")
+    in_bucket = written(join_by_heavy_key(in_band, buckets.drop("n"), "bucket", buckets, rows_per_salt=rows_per_salt), "buckets")
+    needed = in_bucket.select("rep", *name).distinct()
+    texts = docs.join(needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = texts.mapInArrow(sets_task(size), "doc_id long, s1 long, s2 long, shingles array<long>").withColumnRenamed("doc_id", "rep")
+    sets = sets.join(needed, ["rep", *name], "left_semi").dropDuplicates(name)
+    sets = written(sets.join(reps.select(*name, "n", "packed"), name), "sets")
+
+    # Each member against its bucket's smallest, which may have very many.
     least = least_agreement(similarity, bands * rows, margin)
     per_cent = round(similarity * 100)
-    narrow = sets.select("rep", "n", "packed")
-    pairs = in_bucket.filter("rep <> centre").select("rep", "centre").distinct()
-    pairs = pairs.join(narrow, "rep").join(narrow.select(F.col("rep").alias("centre"), F.col("n").alias("n2"), F.col("packed").alias("packed2")), "centre")
+    centre = ["c1", "c2"]
+    pairs = written(in_bucket.filter("rep <> c_rep").select("rep", *name, "c_rep", *centre).distinct(), "candidates")
+    weights = pairs.groupBy(*centre).agg(F.count("*").alias("n"))
+    narrow = sets.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("n").alias("n2"), F.col("packed").alias("packed2"))
+    pairs = join_by_heavy_key(pairs.join(sets.select(*name, "n", "packed"), name), narrow, centre, weights, rows_per_salt=rows_per_salt)
     alike = (F.least("n", "n2") * 100 >= per_cent * F.greatest("n", "n2")) & (agreeing_lanes("packed", "packed2") >= least)
-    pairs = pairs.filter(alike).select("rep", "centre", "n", "n2")
-    with_sets = pairs.join(sets.select("rep", "shingles"), "rep").join(sets.select(F.col("rep").alias("centre"), F.col("shingles").alias("shingles2")), "centre")
-    both = F.size(F.array_intersect("shingles", "shingles2"))
-    links = with_sets.withColumn("both", both).filter(F.col("both") * 100 >= per_cent * (F.col("n") + F.col("n2") - F.col("both")))
-    comps = connected_components(links.select(F.col("rep").alias("src"), F.col("centre").alias("dst")), id_field="rep").withColumnRenamed("group", "comp")
+    pairs = written(pairs.filter(alike).select("rep", *name, "c_rep", *centre, "n", "n2"), "alike")
+    weights = pairs.groupBy(*centre).agg(F.count("*").alias("n"))
+    of_centre = sets.select(F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.col("shingles").alias("shingles2"))
+    with_sets = join_by_heavy_key(pairs.join(sets.select(*name, "shingles"), name), of_centre, centre, weights, rows_per_salt=rows_per_salt)
+    common = F.size(F.array_intersect("shingles", "shingles2"))
+    links = with_sets.withColumn("both", common).filter(F.col("both") * 100 >= per_cent * (F.col("n") + F.col("n2") - F.col("both")))
+    comps = connected_components(links.select(F.col("rep").alias("src"), F.col("c_rep").alias("dst")), id_field="rep").withColumnRenamed("group", "comp")
+    free("candidates", "alike")
 
     # Buckets that still hold several components, each set of members once.
-    placed = in_bucket.select("bucket", "rep").join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    placed = materialize(placed, "bbit-placed")
-    members = [F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("m2"), F.count("*").alias("m3")]
+    placed = in_bucket.select("bucket", "rep", *name).join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    placed = written(placed, "placed")
+    free("buckets", "centres")
+    members = [F.sum(F.xxhash64(*name).cast("decimal(38,0)")).alias("m1"), F.bit_xor(F.xxhash64(F.lit(1), *name)).alias("m2"), F.count("*").alias("m3")]
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), *members).filter("low < high")
-    mixed = mixed.groupBy("m1", "m2", "m3").agg(F.min("bucket").alias("bucket")).select("bucket")
-    open_rows = placed.join(mixed, "bucket").join(sets, "rep")
-    open_rows = materialize(open_rows, "bbit-open")
-    blocks = open_rows.groupBy("bucket").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"))
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    cut = open_rows.join(blocks, "bucket").withColumn("side", block)
+    mixed = written(mixed.groupBy("m1", "m2", "m3").agg(F.min("bucket").alias("bucket")).select("bucket", F.col("m3").alias("n")), "mixed")
+    still_open = join_by_heavy_key(placed, mixed.drop("n"), "bucket", mixed, rows_per_salt=rows_per_salt)
+    open_rows = written(still_open.join(sets, name).select("bucket", placed["rep"], *name, "comp", "n", "packed", "shingles"), "open")
+    free("placed", "sets", "mixed")
+    blocks = written(open_rows.groupBy("bucket").agg(F.ceil(F.sum("n") / block_shingles).alias("blocks"), F.count("*").alias("n")), "blocks")
+    cut = join_by_heavy_key(open_rows.withColumnRenamed("n", "size"), blocks.drop("n"), "bucket", blocks, rows_per_salt=rows_per_salt)
+    cut = cut.withColumnRenamed("size", "n").withColumn("side", F.pmod(F.xxhash64(*name), F.col("blocks")))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda o: F.struct(F.least("side", o).alias("a"), F.greatest("side", o).alias("b")))
     paired = cut.withColumn("pair", F.explode(others)).select("bucket", "pair", "side", "rep", "comp", "n", "packed", "shingles")
-    rest = paired.groupBy("bucket", "pair").applyInArrow(local_links(similarity, least), "src long, dst long")
+    # Dealt out by bucket and pair: the pairs of one bucket are tasks of their own.
+    rest = paired.repartition("bucket", "pair").groupBy("bucket", "pair").applyInArrow(local_links(similarity, least), "src long, dst long")
     merged = connected_components(rest, id_field="comp")
+    free("open", "blocks")
 
     final = comps.join(merged, "comp", "left").select("rep", F.coalesce("group", "comp").alias("component"))
     alone = merged.select(F.col("comp").alias("rep"), F.col("group").alias("component")).join(comps, "rep", "left_anti")
