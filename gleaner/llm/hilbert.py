@@ -88,7 +88,8 @@ def hilbert_shards(docs: DataFrame, numbers: Sequence[str], texts: Sequence[str]
 
     ``numbers`` and ``texts`` are the dimensions, ``tie`` orders documents of one grid cell.  Nulls have a step of their own
     kind (a number's lowest, the hash of null).  Repeated rows take places of their own; no row is dropped.  Rows are
-    written once to the shared folder, so give the columns you need and not the text.
+    written once to the shared folder, so give the columns you need and not the text.  Columns of ``docs`` named ``curve``,
+    ``shard`` or ``slot`` are replaced.
     """
     spark = docs.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -6,7 +6,8 @@ that at least ``min_docs`` documents hold lose all their lines except in the doc
 1. Keys become 128 bits of hash.  The rows (hash, document, position) are range partitioned by hash and a slice of the
    documents, so that a line of a third of all documents is spread over ``slices`` ranges, and sorted by document, largest
    first, and position.  In that order one pass streams the first occurrence of each key per document.
-2. Slices are added up per hash; only hashes of enough documents go on.  They are joined back to the rows.
+2. Slices are added up per hash; only hashes of enough documents go on.  They are joined back to the rows, those of very many
+   lines spread over tasks.
 3. Positions to drop become a compressed bitmap per document: 64-bit words of positions, those without a drop left out.
 
 Text is read twice and shuffled once, when the bitmaps are applied.
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.frames import unused
+from gleaner.operators.skew import join_by_heavy_key
 from gleaner.session import materialize
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -43,16 +45,17 @@ def line_hashes(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 def repeated_keys(lines: DataFrame, min_docs: int, slices: int) -> DataFrame:
-    """``(h1, h2, keep_doc)``: the keys of at least ``min_docs`` documents, with the largest document."""
+    """``(h1, h2, keep_doc, n)``: the keys of at least ``min_docs`` documents, the largest document, and the number of lines."""
     spark = lines.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     by_slice = ["h1", "h2", "slice"]
     ranged = lines.select("h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice"), "doc_id", "pos").repartitionByRange(parts, *by_slice)
     stream = Window.partitionBy(*by_slice).orderBy(F.desc("doc_id"), "pos")
-    first = ranged.withColumn("before", F.lag("doc_id").over(stream)).filter("before IS NULL OR before <> doc_id")
-    counted = first.groupBy(*by_slice).agg(F.max("doc_id").alias("keep_doc"), F.count("*").alias("n"))
-    total = counted.groupBy("h1", "h2").agg(F.max("keep_doc").alias("keep_doc"), F.sum("n").alias("n"))
-    return total.filter(F.col("n") >= min_docs).drop("n")
+    before = ranged.withColumn("before", F.lag("doc_id").over(stream))
+    first = F.count_if(F.col("before").isNull() | (F.col("before") != F.col("doc_id")))
+    counted = before.groupBy(*by_slice).agg(F.max("doc_id").alias("keep_doc"), first.alias("docs"), F.count("*").alias("n"))
+    total = counted.groupBy("h1", "h2").agg(F.max("keep_doc").alias("keep_doc"), F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    return total.filter(F.col("docs") >= min_docs).drop("docs")
 
 
 def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, slices: int = 256) -> DataFrame:
@@ -63,7 +66,7 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, slices
     """
     lines = materialize(line_hashes(docs, min_chars), "lines")
     repeated = materialize(repeated_keys(lines, min_docs, slices), "lines-repeated")
-    gone = lines.join(repeated, ["h1", "h2"]).filter("doc_id <> keep_doc")
+    gone = join_by_heavy_key(lines, repeated.drop("n"), ["h1", "h2"], repeated).filter("doc_id <> keep_doc")
     bit = F.expr("shiftleft(1L, pos % 64)")
     # Rows repeated in the table have the same positions: a bit is set once, however often it is met.
     word = gone.groupBy("doc_id", "row_key", F.expr("CAST(pos div 64 AS INT)").alias("word")).agg(F.bit_or(bit).alias("bits"))
