@@ -18,14 +18,22 @@ from gleaner.llm.linededup import drop_repeated_lines
 from gleaner.llm.quality import keep_good, train_quality
 from gleaner.llm.queries import default_tokenizer, table
 from gleaner.llm.wumanber import drop_contaminated
-from gleaner.session import materialize
+from gleaner.session import discard, materialize, scratch_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the quality rules keep, as they are; repeated rows share a verdict.
+
+    A null or empty text has no words and goes.  The classifier learns from those of ``docs`` that ``labels`` marks.
+    """
     return keep_good(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, without the lines that three or more documents hold, except in the largest ``doc_id``.
+
+    A null text stays null, a row without an id keeps its lines, rows of one id are one document.  ``n_chars`` is counted anew.
+    """
     kept = drop_repeated_lines(docs, min_chars=20, min_docs=3)
     if "n_chars" not in docs.columns:
         return kept
@@ -33,14 +41,20 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest ``doc_id``, of each group of near duplicates.
+
+    Rows of one id stay or go together; rows without an id or without words stay.
+    """
     return drop_near_duplicates(docs, size=5, similarity=0.8)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of which less than a twentieth of the words lies in benchmark windows.  A null text has none and stays."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"), size=13)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document with its place in a sequence.  A null text is empty: one piece of the end token."""
     pieces = token_pieces(docs, default_tokenizer(), capacity=4096, keep_ids=False).drop("ids")
     return pack_best_fit(pieces, capacity=4096, order=["doc_id", "piece"])
 
@@ -58,7 +72,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; a stage's table is deleted when the next one has been written."""
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, path = path, scratch_path(spark, f"pipeline-{name}")
+        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}", path)
+        if before is not None:
+            discard(spark, before)
     return docs
