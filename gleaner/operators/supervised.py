@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gleaner.session import discard, materialize, scratch_path
 
-PART_ROWS = 4096
+PART_ROWS = 1024
 MAX_NUMBERS = 1 << 26  # embeddings in memory, 256 MB
 FEATURE_BLOCK = 4096
 

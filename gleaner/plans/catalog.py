@@ -690,7 +690,7 @@ def quality_training_set(spark, sf_dir):
 def quality_scores(spark, sf_dir):
     lines_ = _training_set(spark, sf_dir, 100_000).select(F.col("text").alias("value"))
     # A higher rate than for a sample of 100,000 a class, as the tables hold fewer labels.
-    model = classify.train_quality_model(classify.read_training_lines(lines_), lr=1.0, dim=100, epoch=10, word_ngrams=2)
+    model = classify.train_quality_model(classify.read_training_lines(lines_), lr=1.0, dim=100, epoch=5, word_ngrams=2)
     return classify.score_quality(docs(spark, sf_dir), model).select("doc_id", F.round("quality_score", 6).alias("quality_score"))
 
 
