@@ -148,10 +148,12 @@ def train_supervised(
             yield pd.DataFrame({"place": batch["place"], "label": batch["label"].map(numbers), "features": [f for f, _ in found], "counts": [c for _, c in found]})
 
     path = scratch_path(spark, "training")
-    placed = labelled.withColumn("place", F.xxhash64("label", "text"))
+    # A sample of few files is cut by all cores.
+    placed = labelled.withColumn("place", F.xxhash64("label", "text")).repartition(spark.sparkContext.defaultParallelism)
     sample = materialize(placed.mapInPandas(cut, "place long, label int, features array<long>, counts array<long>"), "training", path)
     parts = max(1, -(-sample.count() // part_rows))
-    sample = sample.withColumn("part", F.pmod(F.col("place"), F.lit(parts)))
+    # So many partitions as asked for: the engine would join parts of few bytes into one task.
+    sample = sample.withColumn("part", F.pmod(F.col("place"), F.lit(parts))).repartition(parts, "part")
     embeddings, layer = start(buckets, dim, len(labels), seed)
     met = np.zeros(buckets, bool)
     for turn in range(epoch):
