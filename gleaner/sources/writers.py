@@ -41,15 +41,14 @@ def write_documents(
 def separate_by_field(
     df: DataFrame, path: str, field: str, file_type: str = "json", compact: bool = False, mode: str = "overwrite"
 ) -> DataFrame:
-    """Write a sub-folder per value of ``field`` and return the rows per value.
+    """Write a sub-folder per value of ``field`` and return the rows per value in the folder.
 
-    Parquet is counted from the footers of what was written, text formats by the column alone of ``df``.
+    They are counted from what was written, without a column of it: ``df`` runs once.  With ``mode="append"`` earlier rows
+    count too.  A null and an empty value share a folder, and count as null.
     """
     _write(df, path, file_type, field, compact, mode)
-    if file_type != "parquet":
-        return df.groupBy(field).agg(F.count("*").alias("n_documents"))
-    folder = df.schema[field].dataType.simpleString()
-    written = df.sparkSession.read.schema(df.schema.add(f"by_{field}", folder)).parquet(path)
+    stored = df.schema.add(f"by_{field}", df.schema[field].dataType)
+    written = df.sparkSession.read.schema(stored).format(file_type).load(path)
     return written.groupBy(F.col(f"by_{field}").alias(field)).agg(F.count("*").alias("n_documents"))
 
 
