@@ -7,12 +7,13 @@ offset.  Nothing but that table is ever ordered in one place.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.session import materialize
+from gleaner.session import materialize, scratch_path
 
 BROADCAST_FILES = 1_000_000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the place within the partition in its low 33 bits
@@ -126,26 +127,57 @@ def row_at(spark: SparkSession, paths: str | Sequence[str], index: int) -> DataF
     return found.select(*df.columns, F.lit(index).cast("bigint").alias("ordinal"))
 
 
+class OrderedKeys:
+    """The keys of ``df`` alone in order, written once, with the rows before each range of them.
+
+    For places far into the order: a key is looked up in its range, so no task ever holds more than a range, and no other
+    column of ``df`` moves.  ``df`` must give the same keys when it is read again for the rows.
+    """
+
+    def __init__(self, df: DataFrame, order_by: str | Sequence[str]):
+        self.keys = [order_by] if isinstance(order_by, str) else list(order_by)
+        place = F.monotonically_increasing_id().bitwiseAND((1 << _LOCAL_BITS) - 1)
+        ranged = df.select(*self.keys).repartitionByRange(*self.keys).sortWithinPartitions(*self.keys)
+        self.path = scratch_path(df.sparkSession, "ordered-keys")
+        key, part = F.struct(*self.keys).alias("_key"), F.spark_partition_id().alias("_part")
+        self.placed = materialize(ranged.select(key, part, place.alias("_place")), "ordered-keys", self.path)
+        counts = self.placed.groupBy("_part").agg(F.count("*").alias("_rows"))
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+        self.offsets = counts.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        self.total = self.placed.count()
+
+    @property
+    def key(self) -> Column:
+        """The key of a row of ``df``, to compare with ``at``."""
+        return F.struct(*self.keys)
+
+    def at(self, place: int) -> Column:
+        """The key at a 0-based place, which must be below ``total``."""
+        if not 0 <= place < self.total:
+            raise IndexError(f"place {place} out of range, {self.total} rows")
+        holder = self.offsets.filter((F.col("_offset") <= place) & (F.col("_offset") + F.col("_rows") > place)).first()
+        found = (F.col("_part") == holder["_part"]) & (F.col("_place") == place - holder["_offset"])
+        return self.placed.filter(found).select("_key").scalar()
+
+
 def split_by_order(
     df: DataFrame, fractions: dict[str, float], order_by: str | Sequence[str], split: str = "split"
 ) -> DataFrame:
     """Contiguous split in key order by shares of the row count, such as 0.995, 0.005 and 0.
 
-    Part k takes the places from the rounded-down end of part k-1 to its own; the last one takes the rest.
+    Part k takes the places from the rounded-down end of part k-1 to its own; the last one takes the rest.  The key, which
+    must be unique, is compared with the keys at those ends: no row moves.
     """
     if abs(sum(fractions.values()) - 1.0) > 1e-9 or any(f < 0 for f in fractions.values()):
         raise ValueError("shares must be non-negative and add up to 1")
-    numbered = with_ordinal(df, order_by, "_ordinal")
-    totals = numbered.agg(F.count("*").alias("_total"))
-    named = F.lit(None).cast("string")
     edges, reached = [], 0.0
     for name, share in fractions.items():
         reached += share
         edges.append((name, round(reached, 12)))
     last = [name for name, share in fractions.items() if share > 0][-1]
-    total = totals.scalar()
+    ordered = OrderedKeys(df, order_by)
     named = F.lit(last)
     for name, edge in reversed(edges):
-        if edge < 1.0:
-            named = F.when(F.col("_ordinal") < F.floor(total * F.lit(edge)), F.lit(name)).otherwise(named)
-    return numbered.withColumn(split, named).drop("_ordinal")
+        if edge < 1.0 and ordered.total:
+            named = F.when(ordered.key < ordered.at(math.floor(ordered.total * edge)), F.lit(name)).otherwise(named)
+    return df.withColumn(split, named)

@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import hash_order, hash_unit
+from gleaner.operators.ordinals import OrderedKeys
 
 
-def _up_to(df: DataFrame, n: int, key: Column) -> DataFrame:
-    """The n rows with the smallest unique key.
-
-    Only the n keys are ever brought together, as they set the limit; the rows themselves are filtered in place.
-    """
-    limit = df.select(key.alias("_key")).orderBy("_key").limit(n).agg(F.max("_key")).scalar()
-    return df.filter(key <= limit)
+#: Up to here the first keys are found by an ordered limit; a longer list of keys is never brought together.
+FEW = 100_000
+#: Hexadecimal digits of the hash by which a histogram is refined: 65,536 bins, whatever n and the number of rows.
+DIGITS = 4
 
 
 def head(df: DataFrame, n: int, order_by: str) -> DataFrame:
@@ -24,14 +22,46 @@ def head(df: DataFrame, n: int, order_by: str) -> DataFrame:
 
 
 def first_n(df: DataFrame, n: int, order_by: str | Sequence[str]) -> DataFrame:
-    """The first n rows in key order; the key must be unique."""
+    """The first n rows in key order; the key must be unique.
+
+    The rows are filtered in place by the n-th key.  Beyond ``FEW`` it is looked up among the ordered keys.
+    """
     keys = [order_by] if isinstance(order_by, str) else list(order_by)
-    return _up_to(df, n, F.struct(*keys))
+    key = F.struct(*keys)
+    if n <= FEW:
+        return df.filter(key <= df.select(key.alias("_key")).orderBy("_key").limit(n).agg(F.max("_key")).scalar())
+    ordered = OrderedKeys(df, keys)
+    return df if n >= ordered.total else df.filter(ordered.key <= ordered.at(n - 1))
+
+
+def _bin_of_nth(bins: DataFrame, n: int) -> Row | None:
+    """The first row of ``bins`` (order, n_rows) up to which there are n rows, with those ``before`` it."""
+    upto = F.sum("n_rows").over(Window.orderBy("order").rowsBetween(Window.unboundedPreceding, 0))
+    reached = bins.withColumn("upto", upto).filter(F.col("upto") >= n)
+    return reached.select("order", (F.col("upto") - F.col("n_rows")).alias("before")).orderBy("order").first()
 
 
 def sample_exactly(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows at random, the same for a seed whatever the partitioning."""
-    return _up_to(df, n, F.struct(hash_order(seed, key), F.col(key)))
+    """n rows at random, the same for a seed whatever the partitioning; all rows when there are no more than n.
+
+    Two histograms of the keys' hashes, the second inside the bin of the first that holds the n-th, leave one row in 2^32
+    to be ordered, so n may be anything.  The key must be unique: rows of the n-th key stay or go together.
+    """
+    order = hash_order(seed, key)
+    hashed = df.select(order.alias("hash"), F.col(key).alias("key"))
+    if n < 1:
+        return df.filter(F.lit(False))
+    start, left = "", n
+    for digits in (DIGITS, 2 * DIGITS):
+        inside = hashed.filter(F.col("hash").startswith(start))
+        held = _bin_of_nth(inside.groupBy(F.left("hash", F.lit(digits)).alias("order")).agg(F.count("*").alias("n_rows")), left)
+        if held is None:
+            return df
+        start, left = held["order"], left - held["before"]
+    inside = hashed.filter(F.col("hash").startswith(start))
+    last = _bin_of_nth(inside.groupBy(F.struct("hash", "key").alias("order")).agg(F.count("*").alias("n_rows")), left)["order"]
+    # The key is only looked at where two keys share the n-th hash.
+    return df.filter((order < last["hash"]) | ((order == last["hash"]) & F.coalesce(F.col(key) <= F.lit(last["key"]), F.lit(True))))
 
 
 def sample_about(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
