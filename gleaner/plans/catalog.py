@@ -325,6 +325,12 @@ def documents_per_language(spark, sf_dir):
     return curation.documents_per_language(docs(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+@query
+def documents_per_language_in_stages(spark, sf_dir):
+    folder = scratch_path(spark, "stages")
+    return curation.documents_per_language_in_stages(spark, docs(spark, sf_dir, "doc_id", "text", "lang"), folder)
+
+
 @query
 def language_counts(spark, sf_dir):
     return docs(spark, sf_dir, "lang").groupBy("lang").agg(F.count("*").alias("n_documents"))
@@ -426,6 +432,12 @@ def first_n_documents(spark, sf_dir):
     return sampling.first_n(docs(spark, sf_dir, "doc_id", "lang"), 150, "doc_id")
 
 
+@query
+def sample_exactly_a_third(spark, sf_dir):
+    corpus = docs(spark, sf_dir, "doc_id", "lang")
+    return sampling.sample_exactly(corpus, corpus.count() // 3, "doc_id", SEED)
+
+
 @query
 def pick_among_first_valid(spark, sf_dir):
     valid = sft.clean_pairs(pairs(spark, sf_dir)).withColumn("row", F.col("conv_id") * 1000 + F.col("turn"))

@@ -14,6 +14,7 @@ from gleaner.operators import filters
 from gleaner.operators.compose import Modify, ScoreFilter, Sequential, skip_if_exists
 from gleaner.operators.dedup import remove_exact_duplicates
 from gleaner.operators.ordinals import add_id_by_position
+from gleaner.plans.stages import Stage, run_stages
 from gleaner.session import materialize
 from gleaner.sources.readers import deal_out
 
@@ -87,3 +88,14 @@ def documents_per_language(df: DataFrame) -> DataFrame:
         ]
     )(df)
     return kept.groupBy("lang").agg(F.count("*").alias("n_documents"))
+
+
+def documents_per_language_in_stages(spark: SparkSession, df: DataFrame, folder: str) -> DataFrame:
+    """The same in written stages: a killed run goes on after the last one written, and each text is stored once at a time."""
+    finished = filters.FilterCascade([filters.word_count(min_words=80), filters.complete_document()])
+    stages = [
+        Stage("finished", finished, ("documents",)),
+        Stage("unique", lambda d: remove_exact_duplicates(d, "doc_id"), ("finished",)),
+        Stage("per_language", lambda d: d.groupBy("lang").agg(F.count("*").alias("n_documents")), ("unique",)),
+    ]
+    return run_stages(spark, {"documents": df}, stages, folder)

@@ -452,6 +452,9 @@ ORACLE: dict[str, str] = {
     "shuffled_corpus": f"SELECT doc_id, source FROM documents ORDER BY {_RANDOM.format('doc_id')}",
     "sample_about_n": f"SELECT doc_id, lang FROM documents WHERE {UNIT.format(chr(39) + '42:' + chr(39) + ' || doc_id')} * (SELECT count(*) FROM documents) < 100",
     "sample_exactly_n": f"SELECT doc_id, lang FROM documents ORDER BY {_RANDOM.format('doc_id')}, doc_id LIMIT 100",
+    "sample_exactly_a_third": f"""
+      SELECT doc_id, lang FROM (SELECT *, row_number() OVER (ORDER BY {_RANDOM.format('doc_id')}, doc_id) AS place FROM documents)
+      WHERE place <= (SELECT count(*) // 3 FROM documents)""",
     "first_n_documents": "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 150",
     "pick_among_first_valid": f"""
       SELECT conv_id, turn, prompt, label FROM (SELECT * FROM ({CLEAN}) ORDER BY conv_id * 1000 + turn LIMIT 20)
@@ -532,3 +535,5 @@ ORACLE: dict[str, str] = {
     "remove_contaminated_sections": _SECTIONS,
     "remove_contaminated_documents": f"SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({_HITS}))",
 }
+
+ORACLE["documents_per_language_in_stages"] = ORACLE["documents_per_language"]
