@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gleaner.functions.encoding import repair_encoding
 from gleaner.functions.text import strip
 
 # The quotation marks to unify, and the tag and URL pattern to delete ([$-_] is a range, which has % in it).
@@ -51,24 +52,6 @@ _WIDE = re.compile("[\uff01-\uff5e\u3000\uffe0-\uffe6]")
 
 _LIGATURE = re.compile("[" + "".join(LIGATURES) + "]")
 
-# How the bytes 80 to BF, the continuation bytes of UTF-8, look when read as Windows-1252 (Latin-1 where that has none).
-_HIGH = {(bytes([b]).decode("windows-1252", "ignore") or chr(b)): b for b in range(0x80, 0x100)}
-_NEXT = "[" + re.escape("".join(c for c, b in _HIGH.items() if b < 0xC0)) + "]"
-# Sequences that are hardly ever meant: accented Latin letters, punctuation and signs, Devanagari, emoji.
-_MOJIBAKE = re.compile(f"(?:[ÂÃ]{_NEXT}|â[€‚„]{_NEXT}|à[¤¥]{_NEXT}|ðŸ{_NEXT}{_NEXT})+")
-
-
-def _decode_run(match: re.Match) -> str:
-    try:
-        return bytes(_HIGH[c] for c in match.group()).decode("utf-8")
-    except UnicodeDecodeError:
-        return match.group()
-
-
-def repair_encoding(text: str) -> str:
-    """Undo UTF-8 that was read as Windows-1252, also when that happened twice."""
-    return _MOJIBAKE.sub(_decode_run, _MOJIBAKE.sub(_decode_run, text))
-
 
 def reformat_text(text: str) -> str:
     """Entities, wrongly decoded text, ligatures, full-width forms, line breaks, control characters, NFC."""

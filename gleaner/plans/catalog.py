@@ -15,7 +15,7 @@ from gleaner.functions.tokenize import hashed_tokens
 from gleaner.operators import classify, compose, decontaminate, dedup, filters, fuzzy, ordinals, packing, sampling, sft
 from gleaner.operators.components import connected_components
 from gleaner.plans import curation, sft_data
-from gleaner.plans.settings import BLOCK_TAG, DOMAIN_OF_LANGUAGE, MIN_LANGUAGE_SCORE
+from gleaner.plans.settings import BLOCK_TAG, DOMAIN_OF_LANGUAGE, MIN_LANGUAGE_SCORE, THREE_SCRIPTS
 from gleaner.session import materialize, scratch_path, ship_package
 from gleaner.sources import readers, writers
 
@@ -556,6 +556,17 @@ def remove_urls(spark, sf_dir):
     return pages.select("page_id", modify.unify_quotes_and_tags(said).alias("text"))
 
 
+@query
+def repair_misread_documents(spark, sf_dir):
+    """Every document, with a sentence in three scripts, read as Latin-1 once (odd ids) or twice, and repaired."""
+    corpus = docs(spark, sf_dir, "doc_id", "text")
+    misread = F.concat("text", F.lit(THREE_SCRIPTS))
+    once = F.decode(F.encode(misread, "UTF-8"), "ISO-8859-1")
+    twice = F.decode(F.encode(once, "UTF-8"), "ISO-8859-1")
+    damaged = corpus.withColumn("text", F.when(F.col("doc_id") % 2 == 1, once).otherwise(twice))
+    return compose.Modify(modify.reformat_unicode)(damaged)
+
+
 @query
 def reformat_unicode(spark, sf_dir):
     """Entities of the pages' plain text."""

@@ -11,7 +11,7 @@ from gleaner.functions.minhash import BASE
 from gleaner.functions.charmodel import PSEUDO
 from gleaner.functions.modify import TAG_OR_URL
 from gleaner.functions.tokenize import PIECE
-from gleaner.plans.settings import BLOCK_TAG, DOMAIN_OF_LANGUAGE, MIN_LANGUAGE_SCORE
+from gleaner.plans.settings import BLOCK_TAG, DOMAIN_OF_LANGUAGE, MIN_LANGUAGE_SCORE, THREE_SCRIPTS
 
 WORDS = r"list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')"
 LINES = "list_filter(string_split(text, chr(10)), lambda s: trim(s, ' ' || chr(10)) <> '')"
@@ -470,6 +470,7 @@ ORACLE: dict[str, str] = {
     "unify_quotes_and_tags": f"""
       SELECT page_id, regexp_replace(translate(html, '‘’“”' || chr(9), '''''""' || ' '), '{TAG_OR_URL}', '', 'g') AS text FROM pages""",
     "remove_urls": f"SELECT page_id, regexp_replace('see ' || url || ' ''now''', '{TAG_OR_URL}', '', 'g') AS text FROM pages",
+    "repair_misread_documents": f"SELECT doc_id, text || '{THREE_SCRIPTS}' AS text FROM documents",
     "reformat_unicode": """
       SELECT page_id, nfc_normalize(replace(replace(replace(replace(regexp_replace(html, '[<>]', ' ', 'g'),
         '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&')) AS text FROM pages""",
