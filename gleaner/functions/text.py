@@ -39,6 +39,36 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.split(text, f"\n{SPACE}*\n"), lambda s: ~is_blank(s))
 
 
+# Marks that end a sentence where white space and no small letter follow; marks that end one anywhere; what
+# may close after a mark; abbreviations of titles, references and months, whose full stop ends no sentence.
+OPEN_STOPS = ".!?…"
+FULL_STOPS = "।॥。！？"
+CLOSERS = r"\"”’»)\]"
+ABBREVIATIONS = [
+    "Mr", "Mrs", "Ms", "Dr", "Prof", "St", "Sr", "Jr", "Gen", "Col", "Lt", "Capt", "Sgt", "Rev", "Hon", "Gov", "Sen", "Rep",
+    "vs", "cf", "ca", "approx", r"e\.g", r"i\.e", "Fig", "Figs", "Eq", "Vol", "Ch", "pp", "Jan", "Feb", "Mar", "Apr", "Aug",
+    "Sept", "Oct", "Nov", "Dec", "डॉ", "प्रो", "पं", "श्री", "कु",
+]
+NO_STOP = "\ufdd0"
+#: A listed abbreviation, or up to ten initials, and its full stop; a pattern for Java and RE2 alike.
+ABBREVIATED = rf"(^|[^\p{{L}}\p{{M}}\p{{N}}])({'|'.join(ABBREVIATIONS)}|(?:\p{{Lu}}\.){{0,9}}\p{{Lu}})\."
+
+
+def sentences(text: Column) -> Column:
+    """The sentences of a text as they stand, without the white space between them; none in a blank text.
+
+    A sentence ends with its line, after a danda or a wide full stop, and after ``. ! ? …`` where white space follows and then
+    neither a small letter nor another mark.  Quotation marks and brackets that close belong to it.  The full stop of
+    an abbreviation or an initial ends none, so a sentence that ends in one runs on.  U+FDD0, which is no character,
+    is left out.  Each step is one pass over the text.
+    """
+    marked = F.regexp_replace(F.replace(text, F.lit(NO_STOP), F.lit("")), ABBREVIATED, f"$1$2.{NO_STOP}")
+    ended = F.regexp_replace(marked, f"([{FULL_STOPS}][{CLOSERS}]*)", "$1\n")
+    parted = F.regexp_replace(ended, rf"([{OPEN_STOPS}][{CLOSERS}]*){SPACE}+([^\p{{Ll}}{OPEN_STOPS}\s])", "$1\n$2")
+    pieces = F.transform(F.split(F.replace(parted, F.lit(NO_STOP), F.lit("")), "\n"), strip)
+    return F.filter(pieces, lambda s: s != "")
+
+
 def line_ends(text: Column) -> Column:
     """The last three characters of each line that are not trailing white space."""
     return F.transform(lines(text), lambda s: F.right(F.rtrim(s, F.lit(SPACES)), F.lit(3)))

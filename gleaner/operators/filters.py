@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import ngrams
 from gleaner.functions.text import (
+    FULL_STOPS,
     SPACES,
     compute_once,
     line_ends,
@@ -27,6 +28,7 @@ from gleaner.functions.text import (
     matched_chars,
     occurrences,
     paragraphs,
+    sentences,
     strip,
     total_length,
     words,
@@ -51,6 +53,7 @@ class Text:
     words: Column
     lines: Column
     line_ends: Column
+    sentence_ends: Column
     paragraphs: Column
     lower: Column
     word_chars: Column
@@ -221,9 +224,9 @@ def _line_share(name: str, unit: str, rule: Callable[[Column], Column], limit: f
 
 
 def punctuation(max_num_sentences_without_endmark_ratio: float = 0.85) -> TextFilter:
-    """Lines that do not end with a sentence end over lines."""
-    open_end = lambda end: ~F.right(end, F.lit(1)).isin(TERMINATORS)
-    return _line_share("punctuation", "line_ends", open_end, max_num_sentences_without_endmark_ratio)
+    """Sentences that do not end with a sentence end, the danda and wide marks among them, over sentences."""
+    open_end = lambda end: ~end.isin([*TERMINATORS, *FULL_STOPS])
+    return _line_share("punctuation", "sentence_ends", open_end, max_num_sentences_without_endmark_ratio)
 
 
 def mean_word_length(min_mean_word_length: float = 3, max_mean_word_length: float = 10) -> TextFilter:
@@ -294,7 +297,10 @@ def python_filter(
     return TextFilter(name, lambda t: scored(t.text), keep, python=True)
 
 
-_DERIVED = {"words": words, "lines": lines, "line_ends": line_ends, "paragraphs": paragraphs, "lower": F.lower}
+_DERIVED = {
+    "words": words, "lines": lines, "line_ends": line_ends, "paragraphs": paragraphs, "lower": F.lower,
+    "sentence_ends": lambda text: F.transform(sentences(text), lambda s: F.right(s, F.lit(1))),
+}
 
 
 def with_features(df: DataFrame, text_field: str, filters: Iterable[TextFilter]) -> tuple[DataFrame, Text]:

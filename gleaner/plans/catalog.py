@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import modify, pii
 from gleaner.functions.charmodel import CharacterModel
-from gleaner.functions.text import hash_unit, lines
+from gleaner.functions.text import hash_unit, lines, sentences
 from gleaner.functions.tokenize import hashed_tokens
 from gleaner.operators import classify, compose, decontaminate, dedup, filters, fuzzy, ordinals, packing, sampling, sft
 from gleaner.operators.components import connected_components
@@ -127,11 +127,16 @@ def files_without_required_columns(spark, sf_dir):
 
 @query
 def write_json_per_source_file(spark, sf_dir):
+    """The documents as if read from a file per source and language, and the file each one was written to.
+
+    A large source's file comes in numbered parts; the number is taken off.
+    """
     path = scratch_path(spark, "by-file")
-    named = readers.read_documents(spark, f"{sf_dir}/documents.parquet", columns=["doc_id", "text"], add_filename=True)
+    named = docs(spark, sf_dir, "doc_id", "text", "source", "lang").withColumn(readers.FILE_NAME, F.format_string("%s %s.json", "source", "lang"))
     writers.write_documents(named, path, write_to_filename=True)
-    read = spark.read.schema("doc_id bigint, file_name string, by_file_name string").json(path)
-    return read.select("doc_id", "file_name", F.col("by_file_name").alias("folder"))
+    read = readers.read_documents(spark, path, "json", "doc_id bigint, file_name string").select("*", F.col("_metadata.file_path").alias("file"))
+    written = F.regexp_replace(F.url_decode(F.element_at(F.split("file", "/"), -1)), r"-[0-9]{5}\.json$", ".json")
+    return read.select("doc_id", "file_name", written.alias("written_to"))
 
 
 @query
@@ -231,10 +236,9 @@ def map_question_answer_columns(spark, sf_dir):
 
 @query
 def unpack_language_score(spark, sf_dir):
-    scored = docs(spark, sf_dir, "doc_id", "lang").select(
-        "doc_id", F.struct(F.lit(1.0).alias("score"), F.upper("lang").alias("lang")).alias("language")
-    )
-    return scored.withColumn("language", classify.language_code())
+    """Score and code out of the model's score object, each as a column."""
+    scored = _languages(spark, sf_dir).withColumn("score", F.round(F.col("language")["score"], 2))
+    return scored.select("doc_id", "score", classify.language_code().alias("language"))
 
 
 @query
@@ -260,6 +264,28 @@ def modify_text(spark, sf_dir):
     return compose.Modify(F.lower)(docs(spark, sf_dir))
 
 
+def _one_space(text: str) -> str:
+    return " ".join(text.split())
+
+
+def _distinct_words(text: str) -> float:
+    found = text.split()
+    return len(set(found)) / len(found) if found else 0.0
+
+
+@query
+def own_text_modifier(spark, sf_dir):
+    """A plain Python function from text to text as a modifier."""
+    return compose.Modify(compose.python_modifier(_one_space))(docs(spark, sf_dir))
+
+
+@query
+def own_score_and_keep(spark, sf_dir):
+    """A plain Python function from text to score as a filter, with its rule; the score goes on."""
+    own = filters.python_filter("distinct_words", _distinct_words, lambda share: share >= 0.7)
+    return compose.ScoreFilter(own, score_field="share")(docs(spark, sf_dir)).select("doc_id", "share")
+
+
 @query
 def sequential_steps(spark, sf_dir):
     steps = compose.Sequential(
@@ -540,6 +566,12 @@ def filter_duplicate_ngrams(spark, sf_dir):
     return _ngram_scores(spark, sf_dir, [filters.duplicate_ngram(n, 1.0) for n in DUP_NS])
 
 
+@query
+def split_sentences(spark, sf_dir):
+    """Every sentence of every document with its place."""
+    return docs(spark, sf_dir).select("doc_id", F.posexplode(sentences(F.col("text"))).alias("place", "sentence"))
+
+
 # --- modifiers, tokens, loss mask ----------------------------------------------------------------------------
 
 
@@ -659,12 +691,15 @@ def _by_other_half(df: DataFrame, train: Callable[[DataFrame], CharacterModel],
     return predict(other, train(one)).unionByName(predict(one, train(other)))
 
 
+def _languages(spark, sf_dir):
+    known = docs(spark, sf_dir, "doc_id", "text", "lang")
+    return _by_other_half(known, classify.train_language_model, lambda rest, model: classify.identify_language(rest.select("doc_id", "text"), model))
+
+
 @query
 def identify_language(spark, sf_dir):
     """Every document by the model of the half that it is not in."""
-    known = docs(spark, sf_dir, "doc_id", "text", "lang")
-    scored = _by_other_half(known, classify.train_language_model, lambda rest, model: classify.identify_language(rest.select("doc_id", "text"), model))
-    return scored.select("doc_id", classify.language_code().alias("language"))
+    return _languages(spark, sf_dir).select("doc_id", classify.language_code().alias("language"))
 
 
 @query

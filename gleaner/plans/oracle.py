@@ -10,6 +10,7 @@ from gleaner.functions import pii
 from gleaner.functions.minhash import BASE
 from gleaner.functions.charmodel import PSEUDO
 from gleaner.functions.modify import TAG_OR_URL
+from gleaner.functions.text import ABBREVIATED, CLOSERS, FULL_STOPS, NO_STOP, OPEN_STOPS
 from gleaner.functions.tokenize import PIECE
 from gleaner.plans.settings import BLOCK_TAG, DOMAIN_OF_LANGUAGE, MIN_LANGUAGE_SCORE, THREE_SCRIPTS
 
@@ -18,7 +19,13 @@ LINES = "list_filter(string_split(text, chr(10)), lambda s: trim(s, ' ' || chr(1
 PARAS = r"list_filter(string_split_regex(text, '\n\s*\n'), lambda s: trim(s, ' ' || chr(10)) <> '')"
 STRIP = "trim({0}, ' ' || chr(10))"
 CHARS = "length(array_to_string({0}, ''))"
-MARKS = '[.!?"”]'
+MARKS = '[.!?"”।॥。！？]'
+
+# Stops that are none are marked, then each end of a sentence becomes a line break.
+_STOPS = f"regexp_replace(text, '{ABBREVIATED}', '\\1\\2.{NO_STOP}', 'g')"
+_STOPS = f"regexp_replace({_STOPS}, '([{FULL_STOPS}][{CLOSERS}]*)', '\\1' || chr(10), 'g')"
+_STOPS = f"regexp_replace({_STOPS}, '([{OPEN_STOPS}][{CLOSERS}]*)\\s+([^\\p{{Ll}}{OPEN_STOPS}\\s])', '\\1' || chr(10) || '\\2', 'g')"
+SENTENCES = f"list_filter(list_transform(string_split(replace({_STOPS}, '{NO_STOP}', ''), chr(10)), lambda s: trim(s, ' ' || chr(10))), lambda s: s <> '')"
 
 UNIT = "('0x' || substr(md5({0}), 1, 8))::BIGINT / 4294967296.0"
 
@@ -117,7 +124,7 @@ FILTERS: dict[str, tuple[str, str]] = {
     "unique_paragraphs": (f"len(list_distinct({PARAS})) / nullif(len({PARAS}), 0)", "score >= 0.7"),
     "unique_line_chars": (f"{CHARS.format(f'list_distinct({LINES})')} / nullif({CHARS.format(LINES)}, 0)", "score >= 0.8"),
     "unique_paragraph_chars": (f"{CHARS.format(f'list_distinct({PARAS})')} / nullif({CHARS.format(PARAS)}, 0)", "score >= 0.8"),
-    "punctuation": (_line_share(f"NOT regexp_matches(s, '{MARKS}\\s*$')"), "score <= 0.85"),
+    "punctuation": (f"len(list_filter({SENTENCES}, lambda s: NOT regexp_matches(s, '{MARKS}$'))) / nullif(len({SENTENCES}), 0)", "score <= 0.85"),
     "mean_word_length": (f"{CHARS.format(WORDS)} / nullif(len({WORDS}), 0)", "score BETWEEN 3 AND 10"),
     "long_word": (f"list_max(list_transform({WORDS}, lambda w: length(w)))", "score <= 1000"),
     "ellipsis": (_line_share("regexp_matches(s, '(\\.\\.\\.|…)\\s*$')"), "score <= 0.3"),
@@ -375,7 +382,7 @@ ORACLE: dict[str, str] = {
     "read_recursively": "SELECT doc_id FROM documents",
     "read_projected_columns": "SELECT doc_id, source FROM documents",
     "files_without_required_columns": "SELECT 'shard-3' AS shard, 'text' AS missing, count(*) AS n_rows FROM documents WHERE doc_id % 4 = 3",
-    "write_json_per_source_file": "SELECT doc_id, 'documents.parquet' AS file_name, 'documents.parquet' AS folder FROM documents",
+    "write_json_per_source_file": "SELECT doc_id, source || ' ' || lang || '.json' AS file_name, source || ' ' || lang || '.json' AS written_to FROM documents",
     "write_json_parts": "SELECT doc_id, text FROM documents",
     "write_parquet_parts": "SELECT doc_id, text FROM documents",
     "separate_by_language": "SELECT lang, count(*) AS n_documents FROM documents GROUP BY lang",
@@ -393,11 +400,14 @@ ORACLE: dict[str, str] = {
       FROM (SELECT doc_id, list_append({_ids('text')}, 65536) AS ids FROM documents)""",
     "keep_text_column": "SELECT text FROM documents",
     "map_question_answer_columns": PAIRS,
-    "unpack_language_score": "SELECT doc_id, upper(lang) AS language FROM documents",
+    "unpack_language_score": _naive_bayes("lang", (1, 2, 3)) + " SELECT doc_id, round(score, 2) AS score, upper(label) AS language FROM best",
     "clean_prompt_label_pairs": CLEAN,
     "combined_prompt_label": f"SELECT conv_id, turn, coalesce(prompt, '') || chr(10) || coalesce(label, '') AS text FROM ({PAIRS})",
     "score_and_filter": f"SELECT doc_id, len({WORDS}) AS word_count FROM documents WHERE len({WORDS}) BETWEEN 80 AND 100000",
     "modify_text": "SELECT doc_id, lower(text) AS text FROM documents",
+    "own_text_modifier": f"SELECT doc_id, array_to_string({WORDS}, ' ') AS text FROM documents",
+    "own_score_and_keep": f"""
+      SELECT doc_id, share FROM (SELECT doc_id, len(list_distinct({WORDS})) / nullif(len({WORDS}), 0) AS share FROM documents) WHERE share >= 0.7""",
     "sequential_steps": f"SELECT doc_id FROM documents WHERE len({WORDS}) BETWEEN 80 AND 100000",
     "heuristic_cascade": f"SELECT doc_id FROM documents WHERE {_TEN_WORDS}",
     "cascade_stage_counts": _cascade_counts(),
@@ -465,6 +475,7 @@ ORACLE: dict[str, str] = {
     "every_sample_twice": "SELECT doc_id, lang FROM documents UNION ALL SELECT doc_id, lang FROM documents",
     **{f"filter_{name}": _filter_sql(name) for name in FILTERS},
     **{f"filter_{name}_on_pages": _filter_sql(name).replace("FROM documents", f"FROM ({ODD_TEXTS})") for name in ODD_FILTERS},
+    "split_sentences": f"SELECT doc_id, unnest(range(len(found)))::INT AS place, unnest(found) AS sentence FROM (SELECT doc_id, {SENTENCES} AS found FROM documents)",
     "filter_top_ngrams": "\nUNION ALL\n".join(_top(n) for n in TOP_LIMITS),
     "filter_duplicate_ngrams": "\nUNION ALL\n".join(_dup(n) for n in DUP_LIMITS),
     "unify_quotes_and_tags": f"""

@@ -82,25 +82,26 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/gleaner/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path for it."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a written intermediate that nothing will read again."""
-    system, target = _file_system(spark, path)
+    system, target = file_system(spark, path)
     system.delete(target, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    system, target = _file_system(spark, path)
+    system, target = file_system(spark, path)
     return system.exists(target)
 
 
 def touch(spark: SparkSession, path: str) -> None:
     """An empty file, with the folders above it."""
-    system, target = _file_system(spark, path)
+    system, target = file_system(spark, path)
     system.create(target, True).close()
 
 
