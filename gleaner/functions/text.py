@@ -49,9 +49,10 @@ ABBREVIATIONS = [
     "vs", "cf", "ca", "approx", r"e\.g", r"i\.e", "Fig", "Figs", "Eq", "Vol", "Ch", "pp", "Jan", "Feb", "Mar", "Apr", "Aug",
     "Sept", "Oct", "Nov", "Dec", "डॉ", "प्रो", "पं", "श्री", "कु",
 ]
-NO_STOP = "\ufdd0"
-#: A listed abbreviation, or up to ten initials, and its full stop; a pattern for Java and RE2 alike.
-ABBREVIATED = rf"(^|[^\p{{L}}\p{{M}}\p{{N}}])({'|'.join(ABBREVIATIONS)}|(?:\p{{Lu}}\.){{0,9}}\p{{Lu}})\."
+# An abbreviation, or up to ten initials, with its full stop; looked for only at a full stop.
+_ABBREVIATED = rf"(?:^|[^\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join(ABBREVIATIONS)}|(?:\p{{Lu}}\.){{0,9}}\p{{Lu}})\."
+_FULL_END = f"[{FULL_STOPS}][{CLOSERS}]*"
+_OPEN_END = rf"[{OPEN_STOPS}](?=[{CLOSERS}]*{SPACE}+[^\p{{Ll}}{OPEN_STOPS}\s])(?<!{_ABBREVIATED})[{CLOSERS}]*"
 
 
 def sentences(text: Column) -> Column:
@@ -59,14 +60,10 @@ def sentences(text: Column) -> Column:
 
     A sentence ends with its line, after a danda or a wide full stop, and after ``. ! ? …`` where white space follows and then
     neither a small letter nor another mark.  Quotation marks and brackets that close belong to it.  The full stop of
-    an abbreviation or an initial ends none, so a sentence that ends in one runs on.  U+FDD0, which is no character,
-    is left out.  Each step is one pass over the text.
+    an abbreviation or an initial ends none, so a sentence that ends in one runs on.
     """
-    marked = F.regexp_replace(F.replace(text, F.lit(NO_STOP), F.lit("")), ABBREVIATED, f"$1$2.{NO_STOP}")
-    ended = F.regexp_replace(marked, f"([{FULL_STOPS}][{CLOSERS}]*)", "$1\n")
-    parted = F.regexp_replace(ended, rf"([{OPEN_STOPS}][{CLOSERS}]*){SPACE}+([^\p{{Ll}}{OPEN_STOPS}\s])", "$1\n$2")
-    pieces = F.transform(F.split(F.replace(parted, F.lit(NO_STOP), F.lit("")), "\n"), strip)
-    return F.filter(pieces, lambda s: s != "")
+    pieces = F.split(F.regexp_replace(text, f"{_FULL_END}|{_OPEN_END}", "$0\n"), "\n")
+    return F.filter(F.transform(pieces, strip), lambda s: s != "")
 
 
 def line_ends(text: Column) -> Column:

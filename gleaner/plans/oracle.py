@@ -10,7 +10,7 @@ from gleaner.functions import pii
 from gleaner.functions.minhash import BASE
 from gleaner.functions.charmodel import PSEUDO
 from gleaner.functions.modify import TAG_OR_URL
-from gleaner.functions.text import ABBREVIATED, CLOSERS, FULL_STOPS, NO_STOP, OPEN_STOPS
+from gleaner.functions.text import ABBREVIATIONS, CLOSERS, FULL_STOPS, OPEN_STOPS
 from gleaner.functions.tokenize import PIECE
 from gleaner.plans.settings import BLOCK_TAG, DOMAIN_OF_LANGUAGE, MIN_LANGUAGE_SCORE, THREE_SCRIPTS
 
@@ -21,8 +21,10 @@ STRIP = "trim({0}, ' ' || chr(10))"
 CHARS = "length(array_to_string({0}, ''))"
 MARKS = '[.!?"”।॥。！？]'
 
-# Stops that are none are marked, then each end of a sentence becomes a line break.
-_STOPS = f"regexp_replace(text, '{ABBREVIATED}', '\\1\\2.{NO_STOP}', 'g')"
+# Stops of abbreviations and initials are marked by U+FDD0, then each end of a sentence becomes a line break.
+NO_STOP = "\ufdd0"
+_ABBREVIATED = rf"(^|[^\p{{L}}\p{{M}}\p{{N}}])({'|'.join(ABBREVIATIONS)}|(?:\p{{Lu}}\.){{0,9}}\p{{Lu}})\."
+_STOPS = f"regexp_replace(text, '{_ABBREVIATED}', '\\1\\2.{NO_STOP}', 'g')"
 _STOPS = f"regexp_replace({_STOPS}, '([{FULL_STOPS}][{CLOSERS}]*)', '\\1' || chr(10), 'g')"
 _STOPS = f"regexp_replace({_STOPS}, '([{OPEN_STOPS}][{CLOSERS}]*)\\s+([^\\p{{Ll}}{OPEN_STOPS}\\s])', '\\1' || chr(10) || '\\2', 'g')"
 SENTENCES = f"list_filter(list_transform(string_split(replace({_STOPS}, '{NO_STOP}', ''), chr(10)), lambda s: trim(s, ' ' || chr(10))), lambda s: s <> '')"

@@ -21,7 +21,7 @@ CASES = [
     ("वह आया।फिर गया. अब नहीं", ["वह आया।", "फिर गया.", "अब नहीं"]),
     ("你好。再见！", ["你好。", "再见！"]),
     ("Größe zählt. Über alles. äh. ja", ["Größe zählt.", "Über alles. äh. ja"]),
-    ("a﷐b. C﷐. D", ["ab.", "C. D"]),
+    ("a\ufdd0b. C\ufdd0. D", ["a\ufdd0b.", "C\ufdd0.", "D"]),
     ("One.  Two.\r\nThree.　", ["One.", "Two.", "Three."]),
     ("", []),
     (" \n\t ", []),
