@@ -8,9 +8,10 @@ orderings is an odd multiplier and an offset modulo 2**32, applied to well mixed
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from gleaner.functions.slices import by_slices, list_array
 
 # The base of the window hash and the multipliers of the 64-bit mixing step (MurmurHash3).
 BASE = 0x9E3779B97F4A7C15
@@ -65,12 +66,7 @@ def minhash(text: Column, char_ngrams: int = 24, num_hashes: int = 260, seed: in
     """Signature of ``num_hashes`` 32-bit values (as signed integers); null for a null or empty text."""
     factor, offset = orderings(num_hashes, seed)
 
-    @F.pandas_udf("array<int>")
-    def signatures(texts: pd.Series) -> pd.Series:
-        return pd.Series(
-            [signature(shingle_values(t, char_ngrams), factor, offset).view(np.int32) if t else None for t in texts],
-            dtype=object,
-        )
+    def signatures(texts: list[str | None]) -> pa.Array:
+        return list_array([signature(shingle_values(t, char_ngrams), factor, offset).view(np.int32) if t else None for t in texts], pa.int32())
 
-    # Marked so that a filter on the result does not make the optimizer run the function twice.
-    return signatures.asNondeterministic()(text)
+    return by_slices(signatures, "array<int>")(text)

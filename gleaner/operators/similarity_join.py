@@ -17,12 +17,13 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.minhash import shingle_hashes
+from gleaner.functions.slices import SLICE_BYTES, by_slices, list_array, spans
 from gleaner.operators.components import connected_components
 from gleaner.operators.skew import join_by_heavy_key
 from gleaner.session import materialize
@@ -33,11 +34,10 @@ CELLS = 1 << 20
 def shingle_sets(text: Column, width: int) -> Column:
     """The sorted hashes of the distinct character n-grams; a shorter text is its own single one."""
 
-    @F.pandas_udf("array<long>")
-    def sets(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts], dtype=object)
+    def sets(texts: list[str]) -> pa.Array:
+        return list_array([np.unique(shingle_hashes(t, width)).view(np.int64) for t in texts], pa.int64())
 
-    return sets.asNondeterministic()(text)
+    return by_slices(sets, "array<long>")(text)
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
@@ -76,21 +76,25 @@ def prefixes(sets: DataFrame, id_field: str, similarity: float, counts: np.ndarr
     shared = sets.sparkSession.sparkContext.broadcast(counts)  # CELLS numbers
     kind = sets.schema[id_field].dataType.simpleString()
 
+    def part(batch: pa.RecordBatch) -> pa.RecordBatch:
+        parts, which = [], []
+        for row, hashes in enumerate(_lists(batch.column(1))):
+            order = np.lexsort((hashes, shared.value[_cells(hashes)]))
+            n = len(hashes) - int(least_common(similarity, len(hashes))) + 1
+            parts.append(hashes[order[:n]])
+            which.append(np.full(min(n, len(hashes)), row))
+        held, shingle = np.concatenate(which), np.concatenate(parts)
+        sizes = np.array([len(h) for h in _lists(batch.column(1))], np.int64)
+        pos = np.arange(len(held)) - np.searchsorted(held, held, "left")
+        return pa.record_batch(
+            [batch.column(0).take(pa.array(held)), pa.array(sizes[held]), pa.array(pos), pa.array(shingle)], [id_field, "size", "pos", "shingle"]
+        )
+
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts, which = [], []
-            for row, hashes in enumerate(_lists(batch.column(1))):
-                order = np.lexsort((hashes, shared.value[_cells(hashes)]))
-                n = len(hashes) - int(least_common(similarity, len(hashes))) + 1
-                parts.append(hashes[order[:n]])
-                which.append(np.full(min(n, len(hashes)), row))
-            held = np.concatenate(which) if which else np.zeros(0, np.int64)
-            shingle = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-            sizes = np.array([len(h) for h in _lists(batch.column(1))], np.int64)
-            pos = np.arange(len(held)) - np.searchsorted(held, held, "left")
-            yield pa.record_batch(
-                [batch.column(0).take(pa.array(held)), pa.array(sizes[held]), pa.array(pos), pa.array(shingle)], [id_field, "size", "pos", "shingle"]
-            )
+            sizes = pc.list_value_length(batch.column(1)).to_numpy() * 8
+            for start, stop in spans(sizes, 4 * SLICE_BYTES):  # a set is eight times its text
+                yield part(batch.slice(start, stop - start))
 
     return sets.select(id_field, "shingles").mapInArrow(first, f"`{id_field}` {kind}, size long, pos long, shingle long")
 
