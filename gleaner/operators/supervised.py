@@ -12,15 +12,17 @@ What scoring needs is one weight per feature and label, the product of embedding
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions.slices import by_slices, list_array, text_slices
 from gleaner.session import discard, materialize, scratch_path
 
 PART_ROWS = 1024
@@ -68,11 +70,8 @@ class TextModel:
         shared = df.sparkSession.sparkContext.broadcast(self)  # features times labels
         place = list(self.labels).index(label)
 
-        @F.pandas_udf("double")
-        def share(texts: pd.Series) -> pd.Series:
-            return pd.Series(shared.value.probabilities(texts.tolist())[:, place])
-
-        return df.withColumn(into, share.asNondeterministic()(F.coalesce(F.col(text_field), F.lit(""))))
+        share = by_slices(lambda texts: pa.array(shared.value.probabilities(texts)[:, place]), "double")
+        return df.withColumn(into, share(F.coalesce(F.col(text_field), F.lit(""))))
 
     def table(self, spark: SparkSession) -> DataFrame:
         """``(feature, label, weight)`` of every known feature."""
@@ -116,6 +115,38 @@ def steps(embeddings: np.ndarray, layer: np.ndarray, rows: Sequence[tuple[int, n
         embeddings[feature] = held - lr * share[:, None] * back
 
 
+def mean_task(dim: int, n_labels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For ``mapInArrow`` over rows sorted by block and part: the mean of each block's embeddings, and of the layer, block -1.
+
+    A block is added up as its rows come, so a task holds one block's sums whatever the number of parts.
+    """
+
+    def done(block: int, total: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        at = np.flatnonzero(times)
+        averaged = (total[at] / times[at, None]).astype(np.float32)
+        used = at + block * FEATURE_BLOCK if block >= 0 else at[:0]
+        return pa.record_batch([pa.array([block], pa.int32()), pa.array([used.tobytes()]), pa.array([averaged.tobytes()])], ["block", "used", "numbers"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, total, times = None, np.zeros((0, dim)), np.zeros(0, np.int64)
+        for batch in batches:
+            for row in range(len(batch)):
+                at_block, used, numbers = (batch.column(c)[row] for c in ("block", "used", "numbers"))
+                if at_block.as_py() != block:
+                    if block is not None:
+                        yield done(block, total, times)
+                    block = at_block.as_py()
+                    size = FEATURE_BLOCK if block >= 0 else n_labels
+                    total, times = np.zeros((size, dim)), np.zeros(size, np.int64)
+                at = np.frombuffer(used.as_buffer(), np.int64) - block * FEATURE_BLOCK if block >= 0 else np.arange(n_labels)
+                total[at] += np.frombuffer(numbers.as_buffer(), np.float32).reshape(-1, dim)
+                times[at] += 1
+        if block is not None:
+            yield done(block, total, times)
+
+    return run
+
+
 def train_supervised(
     df: DataFrame,
     text_field: str = "text",
@@ -142,15 +173,21 @@ def train_supervised(
         raise ValueError("too few labels, or too many for weights in memory")
     numbers = {x: i for i, x in enumerate(labels)}
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [features(t, word_ngrams, buckets) for t in batch["text"]]
-            yield pd.DataFrame({"place": batch["place"], "label": batch["label"].map(numbers), "features": [f for f, _ in found], "counts": [c for _, c in found]})
+            done = 0
+            for texts in text_slices(batch.column("text")):
+                part = batch.slice(done, len(texts))
+                done += len(texts)
+                found = [features(t, word_ngrams, buckets) for t in texts.to_pylist()]
+                label = pa.array([numbers[x] for x in part.column("label").to_pylist()], pa.int32())
+                cells = [list_array([f[k] for f in found], pa.int64()) for k in (0, 1)]
+                yield pa.record_batch([part.column("place"), label, *cells], ["place", "label", "features", "counts"])
 
     path = scratch_path(spark, "training")
     # A sample of few files is cut by all cores.
     placed = labelled.withColumn("place", F.xxhash64("label", "text")).repartition(spark.sparkContext.defaultParallelism)
-    sample = materialize(placed.mapInPandas(cut, "place long, label int, features array<long>, counts array<long>"), "training", path)
+    sample = materialize(placed.mapInArrow(cut, "place long, label int, features array<long>, counts array<long>"), "training", path)
     parts = max(1, -(-sample.count() // part_rows))
     # So many partitions as asked for: the engine would join parts of few bytes into one task.
     sample = sample.withColumn("part", F.pmod(F.col("place"), F.lit(parts))).repartition(parts, "part")
@@ -172,23 +209,10 @@ def train_supervised(
                 out.append((int(block), int(rows["part"].iloc[0]), some.tobytes(), mine[some].tobytes()))
             return pd.DataFrame(out, columns=["block", "part", "used", "numbers"])
 
-        def mean(rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values("part")
-            if rows["block"].iloc[0] < 0:
-                total = np.mean([np.frombuffer(x, np.float32) for x in rows["numbers"]], axis=0, dtype=np.float64)
-                return pd.DataFrame({"block": [-1], "used": [b""], "numbers": [total.astype(np.float32).tobytes()]})
-            low = int(rows["block"].iloc[0]) * FEATURE_BLOCK
-            total, times = np.zeros((FEATURE_BLOCK, dim)), np.zeros(FEATURE_BLOCK, np.int64)
-            for used, numbers_ in zip(rows["used"], rows["numbers"]):
-                at = np.frombuffer(used, np.int64) - low
-                total[at] += np.frombuffer(numbers_, np.float32).reshape(-1, dim)
-                times[at] += 1
-            at = np.flatnonzero(times)
-            averaged = (total[at] / times[at, None]).astype(np.float32)
-            return pd.DataFrame({"block": [low // FEATURE_BLOCK], "used": [(at + low).tobytes()], "numbers": [averaged.tobytes()]})
-
         moved = sample.groupBy("part").applyInPandas(one_part, "block int, part long, used binary, numbers binary")
-        averaged = moved.groupBy("block").applyInPandas(mean, "block int, used binary, numbers binary")
+        # One part after the other: all that parts found for a block are more than a worker should hold.
+        ordered = moved.repartition("block").sortWithinPartitions("block", "part")
+        averaged = ordered.mapInArrow(mean_task(dim, len(labels)), "block int, used binary, numbers binary")
         embeddings, layer = embeddings.copy(), layer.copy()
         for row in averaged.collect():  # as many numbers as the parameters have
             numbers_ = np.frombuffer(row["numbers"], np.float32).reshape(-1, dim)

@@ -6,6 +6,7 @@ from zlib import crc32
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,3 +103,37 @@ def test_nulls_no_labels_and_limits(spark):
         train_supervised(df.filter("label IS NULL"))
     with pytest.raises(ValueError):
         train_supervised(df, dim=1 << 12, buckets=1 << 16)
+
+
+def test_means_are_added_up_as_parts_come():
+    """A block's result leaves when the next block begins, and no earlier part is held by then."""
+    random, dim, held = np.random.default_rng(1), 4, []
+    parts = [(np.sort(random.choice(supervised.FEATURE_BLOCK, 50, False)), random.normal(size=(50, dim)).astype(np.float32)) for _ in range(30)]
+    layers = [random.normal(size=(2, dim)).astype(np.float32) for _ in range(30)]
+
+    def rows():
+        for block in (-1, 0, 3):
+            for part in range(30):
+                used, numbers = (b"", layers[part]) if block < 0 else ((parts[part][0] + block * supervised.FEATURE_BLOCK).astype(np.int64).tobytes(), parts[part][1])
+                held.append(block)
+                yield pa.record_batch([pa.array([block], pa.int32()), pa.array([part]), pa.array([used]), pa.array([numbers.tobytes()])], ["block", "part", "used", "numbers"])
+
+    found = {}
+    for out in supervised.mean_task(dim, 2)(rows()):
+        block, used, numbers = (out.column(c)[0].as_py() for c in range(3))
+        found[block] = np.frombuffer(used, np.int64), np.frombuffer(numbers, np.float32).reshape(-1, dim)
+        assert len(held) == min(30 * len(found) + 1, 90)
+    assert list(found) == [-1, 0, 3] and np.array_equal(found[-1][1], np.mean(layers, axis=0, dtype=np.float64).astype(np.float32))
+    for block in (0, 3):
+        for feature, numbers in zip(found[block][0] - block * supervised.FEATURE_BLOCK, found[block][1]):
+            mine = [n[u == feature][0] for u, n in parts if feature in u]
+            assert np.allclose(numbers, np.mean(mine, axis=0))
+        assert len(found[block][0]) == len(set(np.concatenate([u for u, _ in parts])))
+
+
+def test_texts_are_scored_in_slices(spark, labelled, monkeypatch):
+    caught, udf = [], F.arrow_udf
+    monkeypatch.setattr(F, "arrow_udf", lambda f, returns: caught.append(f) or udf(f, returns))
+    TextModel(["x", "y"], np.zeros((64, 2)), 2).predict(labelled, "x", "text", "score")
+    sizes = [len(out) for out in caught[0](iter([pa.array(["some words " * 100] * 5000)]))]
+    assert sum(sizes) == 5000 and max(sizes) < 1000
