@@ -13,15 +13,17 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions.charmodel import runs
 from gleaner.functions.gazetteer import TOKEN, Gazetteer
+from gleaner.functions.slices import by_slices
 
 SPANS = "array<struct<type string, start int, end int, score double>>"
+ARROW_SPANS = pa.list_(pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
 # Entity types, patterns and scores.  The patterns are written so that
 # Java, Python and RE2 read them alike.  Groups repeat a bounded number of times (a host has at most 127 labels), since
@@ -204,13 +206,12 @@ def analyze(text: Column, entities: Sequence[str] | None = None, lexicon: Lexico
     """Array of spans in text order; null for a null text."""
     chosen = _chosen(entities)
 
-    @F.pandas_udf(SPANS)
-    def spans(texts: pd.Series) -> pd.Series:
+    def spans(texts: list[str | None]) -> pa.Array:
         found = all_spans([t or "" for t in texts], chosen, lexicon)
         rows = [None if t is None else [dict(zip(("type", "start", "end", "score"), s)) for s in row] for t, row in zip(texts, found)]
-        return pd.Series(rows, dtype=object)
+        return pa.array(rows, ARROW_SPANS)
 
-    return spans.asNondeterministic()(text)
+    return by_slices(spans, SPANS)(text)
 
 
 def _java(pattern: str) -> str:
@@ -231,8 +232,7 @@ def redact(
     if len(chosen) == 1 and chosen[0] in set(PATTERNS) - {"CREDIT_CARD", "EMAIL_ADDRESS"}:  # a pattern, and nothing to overlap
         return F.regexp_replace(text, _java(PATTERNS[chosen[0]][0]), f"<{chosen[0]}>")
 
-    @F.pandas_udf("string")
-    def spliced(texts: pd.Series) -> pd.Series:
+    def spliced(texts: list[str | None]) -> pa.Array:
         def splice(t: str, found: list[tuple[str, int, int, float]]) -> str:
             parts, at = [], 0
             for name, start, end, _ in found:
@@ -241,9 +241,9 @@ def redact(
             return "".join([*parts, t[at:]])
 
         found = all_spans([t or "" for t in texts], chosen, lexicon)
-        return pd.Series([None if t is None else splice(t, spans) for t, spans in zip(texts, found)], dtype=object)
+        return pa.array([None if t is None else splice(t, spans) for t, spans in zip(texts, found)], pa.string())
 
-    return spliced.asNondeterministic()(text)
+    return by_slices(spliced, "string")(text)
 
 
 def pii_redactor(entities: Sequence[str] | None = None, lexicon: Lexicon = Lexicon()):

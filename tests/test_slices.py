@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.functions import slices
+from gleaner.functions import pii, slices
 from gleaner.functions.minhash import minhash, shingle_hashes
 from gleaner.operators import similarity_join
 
@@ -61,6 +61,8 @@ LONG_BATCH = pa.array([f"Maria Garcia saw café {i} " * 100 for i in range(4000)
     [
         lambda text: minhash(text),
         lambda text: similarity_join.shingle_sets(text, 24),
+        lambda text: pii.redact(text, ["PERSON"]),
+        lambda text: pii.analyze(text),
     ],
 )
 def test_results_leave_before_the_next_slice(spark, monkeypatch, make):
