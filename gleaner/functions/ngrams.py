@@ -6,20 +6,19 @@ Duplicate-n-gram share of ``n``: characters of all words that lie in a second or
 n-gram, each word counted once, over the characters of the text.
 
 An n-gram can only repeat where its first n-1 words repeat, so each length starts from the repeats of the one before
-and the work shrinks quickly.  All texts of a batch are handled in the same numpy calls.
+and the work shrinks quickly.  All texts of a slice are handled in the same numpy calls.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-# A batch is cut into runs of about this many characters, so long documents do not add up in memory.
-_RUN_CHARS = 8_000_000
+from gleaner.functions.slices import by_slices
 
 
 def top_field(n: int) -> str:
@@ -99,27 +98,13 @@ def _covered(n, at, gram, size, doc, length, n_docs) -> np.ndarray:
     return np.bincount(doc[inside], weights=length[inside], minlength=n_docs)
 
 
-def _runs(texts: pd.Series) -> Iterator[list]:
-    run, size = [], 0
-    for t in texts:
-        run.append(t)
-        size += len(t) if t else 0
-        if size >= _RUN_CHARS:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 def repetition(text: Column, top_ns: Sequence[int], dup_ns: Sequence[int]) -> Column:
     """Struct column of all asked scores, ``top_2`` or ``dup_5`` and so on, from one pass over the text."""
     top_ns, dup_ns = sorted(set(top_ns)), sorted(set(dup_ns))
     fields = [top_field(n) for n in top_ns] + [dup_field(n) for n in dup_ns]
 
-    @F.pandas_udf(", ".join(f"{f} double" for f in fields))
-    def scores(texts: pd.Series) -> pd.DataFrame:
-        frames = [repetition_frame(run, top_ns, dup_ns) for run in _runs(texts)]
-        return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(columns=fields, dtype=float)
+    def scores(texts: list[str | None]) -> pa.Array:
+        frame = repetition_frame(texts, top_ns, dup_ns)
+        return pa.StructArray.from_arrays([pa.array(frame[f], from_pandas=True) for f in fields], fields)
 
-    # Marked so that filters on the scores stay above it and do not run it once more each.
-    return scores.asNondeterministic()(text)
+    return by_slices(scores, ", ".join(f"{f} double" for f in fields))(text)
