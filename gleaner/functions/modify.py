@@ -6,11 +6,12 @@ import html
 import re
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleaner.functions.encoding import repair_encoding
+from gleaner.functions.slices import by_slices
 from gleaner.functions.text import strip
 
 # The quotation marks to unify, and the tag and URL pattern to delete ([$-_] is a range, which has % in it).
@@ -67,8 +68,7 @@ def reformat_text(text: str) -> str:
 def reformat_unicode(text: Column) -> Column:
     """Repair encoding damage and put the text into one normal form."""
 
-    @F.pandas_udf("string")
-    def reformatted(texts: pd.Series) -> pd.Series:
-        return texts.map(reformat_text, na_action="ignore")
+    def reformatted(texts: list[str | None]) -> pa.Array:
+        return pa.array([None if t is None else reformat_text(t) for t in texts], pa.string())
 
-    return reformatted.asNondeterministic()(text)
+    return by_slices(reformatted, "string")(text)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import pii, slices
 from gleaner.functions.minhash import minhash, shingle_hashes
+from gleaner.functions.modify import reformat_unicode
 from gleaner.functions.ngrams import repetition
 from gleaner.operators import similarity_join
 
@@ -65,6 +66,7 @@ LONG_BATCH = pa.array([f"Maria Garcia saw café {i} " * 100 for i in range(4000)
         lambda text: pii.redact(text, ["PERSON"]),
         lambda text: pii.analyze(text),
         lambda text: repetition(text, (2, 3, 4), (5,)),
+        reformat_unicode,
     ],
 )
 def test_results_leave_before_the_next_slice(spark, monkeypatch, make):
